@@ -20,7 +20,8 @@ def top_k_with_ties(
 
     Adds ``tie_group`` (1, 2, ...), ``lo`` and ``hi`` (first and last zero-based
     position the row may take), and ``covered`` (positions the kept tie groups
-    of the group fill; less than ``k`` only if the group is smaller than that).
+    of the group fill; less than ``k`` only if the group is smaller than that)
+    and ``best`` (largest value of the group).
 
     Each slice of a group keeps its own first ``k`` (pruned before the shuffle),
     which includes every row of the group's first ``k``.  Values that many rows
@@ -54,6 +55,7 @@ def value_bands(df: DataFrame, by: Sequence[str], value: str, k: int) -> DataFra
         .filter(F.col("lo") < k)
         .withColumn("hi", F.col("lo") + F.col("_size") - 1)
         .withColumn("covered", F.max("hi").over(Window.partitionBy(*by)) + 1)
+        .withColumn("best", F.max(value).over(Window.partitionBy(*by)))
         .drop("_size")
     )
 

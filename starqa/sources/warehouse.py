@@ -22,6 +22,21 @@ def read_tables(
     }
 
 
+def read_tables_cast(
+    spark: SparkSession, folder: str, layout: dict[str, TableSpec]
+) -> dict[str, DataFrame]:
+    """Every table of a layout as stored, its columns cast to the declared types.
+
+    For exports whose integer widths or date types differ from the declared ones.
+    """
+    return {
+        name: spark.read.parquet(f"{folder}/{name}.parquet").select(
+            *[F.col(f.name).cast(f.dataType) for f in spec.struct()]
+        )
+        for name, spec in layout.items()
+    }
+
+
 @dataclass(frozen=True)
 class Star:
     """Fact, header and dimension frames under common column names.
@@ -76,19 +91,10 @@ class Star:
             "quarter", F.quarter("invoice_date")
         )
 
-    def year_list(self) -> DataFrame:
-        """One row holding the sorted years; bounded by the calendar."""
-        return (
-            self.invoices()
-            .select("year")
-            .distinct()
-            .agg(F.array_sort(F.collect_list("year")).alias("years"))
-        )
-
 
 def music_store(spark: SparkSession, folder: str) -> Star:
     """The music-store layout: invoices of tracks, by album, artist and genre."""
-    return star_of_music(read_tables(spark, folder, MUSIC_STORE))
+    return star_of_music(read_tables_cast(spark, folder, MUSIC_STORE))
 
 
 def star_of_music(tables: dict[str, DataFrame]) -> Star:
@@ -108,7 +114,7 @@ def star_of_music(tables: dict[str, DataFrame]) -> Star:
         invoice=tables["Invoice"].select(
             F.col("InvoiceId").alias("invoice_id"),
             F.col("CustomerId").alias("customer_id"),
-            F.to_timestamp_ntz("InvoiceDate").alias("invoice_date"),
+            F.col("InvoiceDate").alias("invoice_date"),
             as_money(F.col("Total")).alias("total"),
         ),
         line=line.withColumn(
