@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ASCII_ONLY = r"^[\x00-\x7f]*$"
 
@@ -36,7 +37,8 @@ def _python_folding():
         folded = fold(items).groupby(level=0).agg(list).to_dict()
         return pd.Series([folded.get(row) for row in lists.index], dtype=object)
 
-    return F.pandas_udf(fold_text, "string"), F.pandas_udf(fold_texts, "array<string>")
+    text = T.StringType()
+    return F.pandas_udf(fold_text, text), F.pandas_udf(fold_texts, T.ArrayType(text))
 
 
 _fold_text, _fold_texts = _python_folding()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Hash buckets the running total is taken in; only their sums meet in one task.
 BUCKETS = 256
-# Cells of the number line that draws and intervals are matched on.
+# Least number of cells the number line is cut into for matching.
 CELLS = 1024
 HASH_DIGITS = 15
 
@@ -53,25 +53,31 @@ def weighted_draw(
 
     Draws fall evenly over the cells of the line and an item is listed under
     each cell it touches, so matching is an equi-join on the cell whatever the
-    weights are.  Fails when there is nothing to draw from.
+    weights are.  There are at least as many cells as items, so a cell holds
+    few of them.  Fails when there is nothing to draw from.
     """
     total = items.agg(F.sum(ticks)).scalar()
     some = F.when(total > 0, total).otherwise(
         F.raise_error(F.lit("Could not draw a task: none is viable."))
     ).cast("decimal(18,0)")
     span = F.lit(16**HASH_DIGITS).cast("decimal(20,0)")
-    cell = lambda place: F.floor(place.cast("decimal(18,0)") * F.lit(CELLS).cast("decimal(4,0)") / F.col("_total")).cast("bigint")
+    cells = F.greatest(F.lit(CELLS), items.agg(F.count("*")).scalar()).cast("decimal(18,0)")
+    cell = lambda place: F.floor(
+        place.cast("decimal(18,0)") * F.col("_cells") / F.col("_total")
+    ).cast("bigint")
     placed = (
         draws.withColumn("_total", some)
+        .withColumn("_cells", cells)
         .withColumn("_place", F.floor(uniform(seed, F.col(draw_id)) * F.col("_total") / span).cast("bigint"))
         .withColumn("_cell", cell(F.col("_place")))
-        .drop("_total")
+        .drop("_total", "_cells")
     )
     listed = (
         with_intervals(items, key, ticks)
         .withColumn("_total", some)
+        .withColumn("_cells", cells)
         .withColumn("_cell", F.explode(F.sequence(cell(F.col("first")), cell(F.col("last")))))
-        .drop("_total", ticks)
+        .drop("_total", "_cells", ticks)
     )
     matched = F.col("_place").between(F.col("first"), F.col("last"))
     return placed.join(listed, "_cell").filter(matched).drop("_cell", "_place", "first", "last")

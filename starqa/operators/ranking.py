@@ -19,9 +19,9 @@ def top_k_with_ties(
     """Rows that stand among the first ``k`` of their group, ties kept whole.
 
     Adds ``tie_group`` (1, 2, ...), ``lo`` and ``hi`` (first and last zero-based
-    position the row may take), and ``covered`` (positions the kept tie groups
-    of the group fill; less than ``k`` only if the group is smaller than that)
-    and ``best`` (largest value of the group).
+    position the row may take), ``covered`` (positions the kept tie groups of
+    the group fill; less than ``k`` only if the group is smaller than that) and
+    ``best`` (largest value of the group).
 
     Each slice of a group keeps its own first ``k`` (pruned before the shuffle),
     which includes every row of the group's first ``k``.  Values that many rows
@@ -29,34 +29,37 @@ def top_k_with_ties(
     meet in one task.
     """
     by = list(by)
-    ranked = df.filter(F.col(value).isNotNull()).withColumn(
+    sliced = df.filter(F.col(value).isNotNull() & F.col(key).isNotNull()).withColumn(
         "_slice", F.pmod(F.xxhash64(key), F.lit(SLICES))
     )
     in_slice = Window.partitionBy(*by, "_slice").orderBy(F.desc(value))
     near = (
-        ranked.withColumn("_rank", F.rank().over(in_slice))
+        sliced.withColumn("_rank", F.rank().over(in_slice))
         .filter(F.col("_rank") <= k)
-        .drop("_rank", "_slice")
+        .drop("_rank")
     )
-    bands = value_bands(near, by, value, k)
-    return near.join(bands, [*by, value])
+    # Counting the key, not rows, keeps this branch's shuffle the same as the
+    # other one's, so that it runs once.  The slices are already together, so
+    # counting within them shuffles nothing.
+    counts = near.groupBy(*by, "_slice", value).agg(F.count(key).alias("_size"))
+    return near.drop("_slice").join(_bands(counts, by, value, k), [*by, value])
 
 
-def value_bands(df: DataFrame, by: Sequence[str], value: str, k: int) -> DataFrame:
+def _bands(counts: DataFrame, by: list[str], value: str, k: int) -> DataFrame:
     """Position band of each distinct value that starts before position ``k``."""
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_size"))
     down = Window.partitionBy(*by).orderBy(F.desc(value))
-    before = F.coalesce(
-        F.sum("_size").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
+    upto = down.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    equal = down.rangeBetween(Window.currentRow, Window.currentRow)
+    group = Window.partitionBy(*by)
     return (
-        counts.withColumn("lo", before)
-        .withColumn("tie_group", F.row_number().over(down))
+        counts.withColumn("hi", F.sum("_size").over(upto) - 1)
+        .withColumn("lo", F.col("hi") + 1 - F.sum("_size").over(equal))
+        .withColumn("tie_group", F.dense_rank().over(down))
         .filter(F.col("lo") < k)
-        .withColumn("hi", F.col("lo") + F.col("_size") - 1)
-        .withColumn("covered", F.max("hi").over(Window.partitionBy(*by)) + 1)
-        .withColumn("best", F.max(value).over(Window.partitionBy(*by)))
-        .drop("_size")
+        .withColumn("covered", F.max("hi").over(group) + 1)
+        .withColumn("best", F.max(value).over(group))
+        .drop("_slice", "_size")
+        .distinct()
     )
 
 

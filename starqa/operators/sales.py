@@ -7,10 +7,14 @@ that owns a large share of the lines is combined before it is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starqa.operators.joins import join_many_to_one
+from starqa.sources.storage import stored
 from starqa.sources.warehouse import Star
 
 
@@ -40,8 +44,14 @@ def invoice_revenue(star: Star, year: int | None = None) -> DataFrame:
     )
 
 
+def _of_year(df: DataFrame, year: int | None) -> DataFrame:
+    return df if year is None else df.filter(F.col("year") == year)
+
+
 def customer_year_revenue(star: Star, year: int | None = None) -> DataFrame:
     """Revenue per customer and year, exact (not yet rounded)."""
+    if "customer_year" in star.stored:
+        return _of_year(star.stored["customer_year"], year)
     return (
         invoice_revenue(star, year)
         .groupBy("customer_id", "year")
@@ -49,6 +59,13 @@ def customer_year_revenue(star: Star, year: int | None = None) -> DataFrame:
     )
 
 
+def dated_revenue(star: Star, year: int | None = None) -> DataFrame:
+    """Revenue with its year, at the coarsest grain at hand."""
+    if "customer_year" in star.stored:
+        return customer_year_revenue(star, year)
+    return invoice_revenue(star, year)
+
+
 def customer_year_orders(star: Star, year: int | None = None) -> DataFrame:
     """Number of invoices per customer and year; reads no lines."""
     return (
@@ -66,6 +83,8 @@ def _dated_lines(star: Star, year: int | None, *columns: str) -> DataFrame:
 
 def track_year_sales(star: Star, year: int | None = None) -> DataFrame:
     """Quantity and revenue per track and year."""
+    if "track_year" in star.stored:
+        return _of_year(star.stored["track_year"], year)
     return (
         _dated_lines(star, year, "track_id", "quantity", "revenue")
         .groupBy("track_id", "year")
@@ -75,6 +94,8 @@ def track_year_sales(star: Star, year: int | None = None) -> DataFrame:
 
 def artist_year_revenue(star: Star, year: int | None = None) -> DataFrame:
     """Revenue per artist name and year; lines without an artist drop out."""
+    if "artist_year" in star.stored:
+        return _of_year(star.stored["artist_year"], year)
     if "artist_id" in star.line.columns:
         per_key = (
             _dated_lines(star, year, "artist_id", "revenue")
@@ -96,6 +117,9 @@ def artist_year_revenue(star: Star, year: int | None = None) -> DataFrame:
 
 def country_genre_revenue(star: Star, country: str | None = None) -> DataFrame:
     """Revenue per customer country and genre, over all years."""
+    if "country_genre" in star.stored:
+        known = star.stored["country_genre"]
+        return known if country is None else known.filter(F.col("country") == country)
     customers = star.customer.select("customer_id", "country").filter(
         F.col("country").isNotNull()
     )
@@ -114,3 +138,24 @@ def country_genre_revenue(star: Star, country: str | None = None) -> DataFrame:
         .groupBy("country", "genre_name")
         .agg(F.sum("revenue").alias("revenue"))
     )
+
+
+AGGREGATES = {
+    "customer_year": customer_year_revenue,
+    "track_year": track_year_sales,
+    "artist_year": artist_year_revenue,
+    "country_genre": country_genre_revenue,
+}
+
+
+def with_stored_aggregates(star: Star, names: Collection[str] = tuple(AGGREGATES)) -> Star:
+    """The star with the named aggregates written down once.
+
+    For several questions over one star: lines are read once per aggregate
+    instead of once or more per question, and each question then starts from
+    the aggregate.
+    """
+    for name, aggregate in AGGREGATES.items():
+        if name in names and name not in star.stored:
+            star = replace(star, stored={**star.stored, name: stored(aggregate(star), name)})
+    return star

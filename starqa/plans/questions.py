@@ -23,7 +23,7 @@ from starqa.operators.sales import (
     country_genre_revenue,
     customer_year_orders,
     customer_year_revenue,
-    invoice_revenue,
+    dated_revenue,
     track_year_sales,
 )
 from starqa.sources.warehouse import Star
@@ -39,13 +39,24 @@ def year_row(df: DataFrame) -> DataFrame:
     )
 
 
-def year_array(df: DataFrame) -> Column:
-    """The sorted years of a frame as a scalar."""
+def year_array(df: DataFrame, years: Sequence[int] | None = None) -> Column:
+    """The sorted years of a frame as an array; ``years`` if they are known."""
+    if years is not None:
+        return F.array(*[F.lit(y) for y in years])
     return year_row(df).scalar()
 
 
-def year_pairs(df: DataFrame) -> Column:
-    """All pairs of an earlier and a later year of a frame as a scalar array."""
+def year_pairs(df: DataFrame, years: Sequence[int] | None = None) -> Column:
+    """All pairs of an earlier and a later year of a frame as an array."""
+    if years is not None:
+        return F.array(
+            *[
+                F.struct(F.lit(a).alias("year_a"), F.lit(b).alias("year_b"))
+                for a in years
+                for b in years
+                if a < b
+            ]
+        )
     pairs = F.flatten(
         F.transform(
             "years",
@@ -69,7 +80,7 @@ def customer_count_in_country(star: Star, country: str | None = None) -> DataFra
 def total_revenue_in_year(star: Star, year: int | None = None) -> DataFrame:
     """Revenue per year: ``year, value``."""
     return (
-        invoice_revenue(star, year)
+        dated_revenue(star, year)
         .filter(F.col("year").isNotNull())
         .groupBy("year")
         .agg(round_cents(total(F.col("revenue"))).alias("value"))
@@ -209,6 +220,7 @@ def revenue_increase(
     ks: Sequence[int] = fixed.TOP_KS,
     year_a: int | None = None,
     year_b: int | None = None,
+    years: Sequence[int] | None = None,
 ) -> DataFrame:
     """First ``k`` customers by revenue change for each pair of years.
 
@@ -218,6 +230,7 @@ def revenue_increase(
     per_year = customer_year_revenue(star).filter("customer_id is not null and year is not null")
     if year_a is not None and year_b is not None:
         per_year = per_year.filter(F.col("year").isin(year_a, year_b))
+        years = [year_a, year_b]
     # One row per customer: at most one map entry per calendar year.
     by_customer = per_year.groupBy("customer_id").agg(
         F.map_from_entries(
@@ -228,7 +241,7 @@ def revenue_increase(
     paired = (
         star.customer.select("customer_id")
         .join(by_customer, "customer_id", "left")
-        .withColumn("_pair", F.explode(year_pairs(per_year)))
+        .withColumn("_pair", F.explode(year_pairs(per_year, years)))
         .select("customer_id", "by_year", "_pair.*")
     )
     in_year = lambda y: F.coalesce(F.try_element_at("by_year", F.col(y)), zero)
@@ -269,7 +282,12 @@ def sold_members(star: Star, year: int | None = None) -> DataFrame:
     )
 
 
-def no_sales_in_year(star: Star, genre: str | None = None, year: int | None = None) -> DataFrame:
+def no_sales_in_year(
+    star: Star,
+    genre: str | None = None,
+    year: int | None = None,
+    years: Sequence[int] | None = None,
+) -> DataFrame:
     """Catalogue members of a genre without a sale of that genre in a year.
 
     Only sets of 1 to 15 members count.  Sizes are compared first, so that the
@@ -279,12 +297,15 @@ def no_sales_in_year(star: Star, genre: str | None = None, year: int | None = No
     if genre is not None:
         members = members.filter(F.col("genre") == genre)
     sold = sold_members(star, year)
-    years = year_array(sold if year is None else sold.filter(F.col("year") == year))
+    if year is not None:
+        years = [year]
+    elif years is None:
+        years = [int(y) for y in year_row(dated_revenue(star)).first()["years"]]
     sizes = (
         members.groupBy("genre")
         .agg(F.count("*").alias("n_members"))
         .filter(F.col("n_members") >= fixed.MIN_CATALOGUE)
-        .withColumn("year", F.explode(years))
+        .withColumn("year", F.explode(year_array(sold, years)))
         .join(sold.groupBy("genre", "year").agg(F.count("*").alias("n_sold")), ["genre", "year"], "left")
         .withColumn("n_silent", F.col("n_members") - F.coalesce("n_sold", F.lit(0)))
         .filter(F.col("n_silent").between(fixed.MIN_SET_ANSWERS, fixed.MAX_SET_ANSWERS))

@@ -1,6 +1,6 @@
-"""The task table: every viable question with its truth, and draws from it.
+"""The task table: every viable question with its truth.
 
-``task``    one row per viable question: task_id, template_id, difficulty,
+``tasks``   one row per viable question: task_id, template_id, difficulty,
             params_json, question, answer_format, answer_type, k, value,
             abs_tol, rel_tol, notes, n_truth, ticks
 ``truth``   one row per correct entity: task_id, role, lo, hi, key, display,
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from string import Formatter
 
 from pyspark.sql import Column, DataFrame
@@ -25,121 +25,117 @@ from pyspark.sql import functions as F
 from starqa import fixed_values as fixed
 from starqa.functions.money import cents_text
 from starqa.functions.names import alias_set
+from starqa.operators.sales import dated_revenue, with_stored_aggregates
 from starqa.plans import questions
+from starqa.sources.storage import stored
 from starqa.sources.warehouse import Star
 
 TICKS = 10**12
 
-TASK_COLUMNS = (
-    "task_id", "template_id", "difficulty", "params_json", "question", "answer_format",
-    "answer_type", "k", "value", "abs_tol", "rel_tol", "notes", "n_truth", "ticks",
-)
-TRUTH_COLUMNS = ("task_id", "role", "lo", "hi", "key", "display", "order_key", "aliases")
+PARAMS = {"country": "string", "genre": "string", "year": "int", "year_a": "int", "year_b": "int", "k": "int"}
 
 
-def fill(text: str, values: dict[str, Column]) -> Column:
-    """A text template with its ``{name}`` fields replaced by columns."""
-    parts = []
-    for literal, name, _, _ in Formatter().parse(text):
-        if literal:
-            parts.append(F.lit(literal))
-        if name:
-            parts.append(values[name].cast("string"))
-    return F.concat(*parts)
-
-
-def param_json(*names: str) -> Column:
-    return F.to_json(F.struct(*names))
+class Choices:
+    """The values each parameter can take; looked up once, when first needed."""
 
+    def __init__(self, star: Star):
+        self._star = star
 
-def task_id(template_id: str, *params: str) -> Column:
-    return F.md5(F.concat(F.lit(template_id), param_json(*params)))
+    @cached_property
+    def years(self) -> list[int]:
+        """Years with sales, ascending: one row, bounded by the calendar."""
+        return list(questions.year_row(dated_revenue(self._star)).first()["years"])
 
+    @cached_property
+    def countries(self) -> int:
+        known = self._star.customer.select("country").filter("country is not null")
+        return known.distinct().count()
 
-@dataclass(frozen=True)
-class Choices:
-    """How many values each parameter can take, as scalars."""
-
-    countries: Column
-    eligible: Column
-    genres: Column
-    years: Column
-
-    @staticmethod
-    def of(star: Star) -> Choices:
-        countries = star.customer.select("country").filter("country is not null").distinct()
-        return Choices(
-            countries=countries.agg(F.count("*")).scalar(),
-            eligible=questions.eligible_countries(star).agg(F.count("*")).scalar(),
-            genres=questions.genre_universe(star).agg(F.count("*")).scalar(),
-            years=F.size(sales_years(star)),
-        )
+    @cached_property
+    def eligible(self) -> int:
+        return questions.eligible_countries(self._star).count()
 
+    @cached_property
+    def genres(self) -> int:
+        return questions.genre_universe(self._star).count()
 
-def sales_years(star: Star) -> Column:
-    """Years with at least one sale, as a scalar array."""
-    return questions.year_array(questions.invoice_revenue(star))
 
+def _later_years(choices: Choices) -> Column:
+    """Number of years after the first of a pair."""
+    years = F.array(*[F.lit(y) for y in choices.years])
+    return F.size(F.filter(years, lambda y: y > F.col("params.year_a")))
 
-def _even(*counts: Column) -> Column:
-    """Ticks of one choice out of the product of the counts."""
-    return F.floor(F.lit(TICKS) / reduce(lambda a, b: a * b, counts)).cast("bigint")
 
-
-def _ticks(template: str, choices: Choices) -> Column:
-    ks = F.lit(len(fixed.TOP_KS))
-    return {
-        "customer_count_in_country": lambda: _even(choices.countries),
-        "total_revenue_in_year": lambda: _even(choices.years),
-        "tracks_sold_in_genre_year": lambda: _even(choices.genres, choices.years),
-        "top_customers_by_revenue": lambda: _even(choices.years, ks),
-        "top_artists_by_revenue": lambda: _even(choices.years, ks),
-        "top_genre_in_country": lambda: _even(choices.eligible),
-        "top_countries_by_revenue": lambda: _even(choices.years, ks),
-        # an earlier year first, then one of the years after it
-        "top_customer_revenue_increase": lambda: _even(
-            choices.years - 1, F.col("later_years"), ks
-        ),
-        "artists_with_no_sales_in_year": lambda: _even(choices.genres, choices.years),
-    }[template]()
+KS = len(fixed.TOP_KS)
 
 
 @dataclass(frozen=True)
 class Template:
-    """One question: its parameters and the frame of its answers."""
-
-    template_id: str
-    params: tuple[str, ...]
-    answers: Callable[[Star], DataFrame]
+    """One question: how its answers are found and among how many it is chosen."""
 
+    answers: Callable[[Star, Choices], DataFrame]
+    among: Callable[[Choices], int | Column]
+    needs: tuple[str, ...] = ()
 
 
 REGISTRY = {
-    t.template_id: t
-    for t in (
-        Template("customer_count_in_country", ("country",), questions.customer_count_in_country),
-        Template("total_revenue_in_year", ("year",), questions.total_revenue_in_year),
-        Template("tracks_sold_in_genre_year", ("genre", "year"), questions.tracks_sold_in_genre_year),
-        Template("top_customers_by_revenue", ("year", "k"), questions.top_customers),
-        Template("top_artists_by_revenue", ("year", "k"), questions.top_artists),
-        Template("top_genre_in_country", ("country",), questions.top_genre_in_country),
-        Template("top_countries_by_revenue", ("year", "k"), questions.top_countries),
-        Template("top_customer_revenue_increase", ("year_a", "year_b", "k"), questions.revenue_increase),
-        Template("artists_with_no_sales_in_year", ("genre", "year"), questions.no_sales_in_year),
-    )
+    "customer_count_in_country": Template(
+        lambda star, c: questions.customer_count_in_country(star), lambda c: c.countries
+    ),
+    "total_revenue_in_year": Template(
+        lambda star, c: questions.total_revenue_in_year(star),
+        lambda c: len(c.years),
+        ("customer_year",),
+    ),
+    "tracks_sold_in_genre_year": Template(
+        lambda star, c: questions.tracks_sold_in_genre_year(star),
+        lambda c: c.genres * len(c.years),
+        ("track_year", "customer_year"),
+    ),
+    "top_customers_by_revenue": Template(
+        lambda star, c: questions.top_customers(star),
+        lambda c: len(c.years) * KS,
+        ("customer_year",),
+    ),
+    "top_artists_by_revenue": Template(
+        lambda star, c: questions.top_artists(star),
+        lambda c: len(c.years) * KS,
+        ("artist_year", "customer_year"),
+    ),
+    "top_genre_in_country": Template(
+        lambda star, c: questions.top_genre_in_country(star),
+        lambda c: c.eligible,
+        ("country_genre",),
+    ),
+    "top_countries_by_revenue": Template(
+        lambda star, c: questions.top_countries(star),
+        lambda c: len(c.years) * KS,
+        ("customer_year",),
+    ),
+    "top_customer_revenue_increase": Template(
+        lambda star, c: questions.revenue_increase(star, years=c.years),
+        # an earlier year first, then one of the years after it
+        lambda c: (len(c.years) - 1) * _later_years(c) * KS,
+        ("customer_year",),
+    ),
+    "artists_with_no_sales_in_year": Template(
+        lambda star, c: questions.no_sales_in_year(star, years=c.years),
+        lambda c: c.genres * len(c.years),
+        ("track_year", "customer_year"),
+    ),
 }
 
 
 def chosen_templates(
     template_ids: Sequence[str] | None = None, difficulties: Sequence[str] | None = None
-) -> list[Template]:
+) -> list[str]:
     """Templates by id and tier; unknown ids and an empty choice are errors."""
     unknown = sorted(set(template_ids or ()) - set(REGISTRY))
     if unknown:
         raise KeyError(f"Unknown template id(s): {unknown}")
     tiers = {str(d) for d in difficulties or fixed.DIFFICULTIES}
     chosen = [
-        REGISTRY[name]
+        name
         for name in (template_ids or REGISTRY)
         if fixed.TEMPLATES[name]["difficulty"] in tiers
     ]
@@ -155,122 +151,154 @@ class TaskSet:
     universe: DataFrame
 
 
-def build_tasks(
-    star: Star,
-    template_ids: Sequence[str] | None = None,
-    difficulties: Sequence[str] | None = None,
-) -> TaskSet:
-    """Tasks, truth and candidate universe of the chosen templates."""
-    chosen = chosen_templates(template_ids, difficulties)
-    choices = Choices.of(star)
-    tasks, truths = [], []
-    for template in chosen:
-        spec = fixed.TEMPLATES[template.template_id]
-        answers = template.answers(star)
-        if spec["answer_type"] == fixed.NUMERIC:
-            per_task = answers.withColumn("n_truth", F.lit(0)).withColumn("k", F.lit(0))
-        elif spec["answer_type"] == fixed.ENTITY_SET:
-            per_task = (
-                answers.groupBy(*template.params)
-                .agg(F.count("*").cast("int").alias("n_truth"))
-                .withColumn("k", F.lit(0))
-            )
-            truths.append(_set_truth(answers, template))
-        else:
-            per_task = _ranked_tasks(answers, template)
-            truths.append(_ranked_truth(answers, template))
-        tasks.append(_task_rows(per_task, template, _ticks(template.template_id, choices)))
-    return TaskSet(
-        tasks=reduce(DataFrame.unionByName, tasks),
-        truth=reduce(DataFrame.unionByName, truths) if truths else _no_truth(star),
-        universe=genre_candidates(star),
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _params(df: DataFrame) -> Column:
+    return F.struct(
+        *[
+            (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name)
+            for name, kind in PARAMS.items()
+        ]
     )
 
 
-def _no_truth(star: Star) -> DataFrame:
-    return star.line.sparkSession.createDataFrame(
-        [],
-        "task_id string, role string, lo bigint, hi bigint, key string, display string, "
-        "order_key string, aliases array<string>",
+def _kind(template_id: str) -> str:
+    return fixed.TEMPLATES[template_id]["answer_type"]
+
+
+def _identified(df: DataFrame, template_id: str, *columns: Column | str) -> DataFrame:
+    return df.select(
+        F.lit(template_id).alias("template_id"),
+        F.md5(F.concat(F.lit(template_id), F.to_json(_params(df)))).alias("task_id"),
+        _params(df).alias("params"),
+        *columns,
     )
 
 
-def _ranked_tasks(answers: DataFrame, template: Template) -> DataFrame:
-    """One row per ranking; ties are counted before they are shuffled."""
-    extra = []
-    if template.template_id == "top_genre_in_country":
-        names = F.array_sort(F.collect_list("display"))
-        extra.append(F.array_join(names, ", ").alias("winners"))
-    keys = list(dict.fromkeys([*template.params, "k"]))
-    return answers.groupBy(*keys).agg(F.count("*").cast("int").alias("n_truth"), *extra)
-
-
-def _task_rows(per_task: DataFrame, template: Template, ticks: Column) -> DataFrame:
-    name = template.template_id
-    spec = fixed.TEMPLATES[name]
-    is_money = name == "total_revenue_in_year"
-    values = {p: F.col(p) for p in (*template.params, "k")}
-    if name == "top_genre_in_country":
-        values["winners"] = F.col("winners")
-    if spec["answer_type"] == fixed.NUMERIC:
-        values["count"] = F.col("value").cast("bigint")
-        values["value"] = cents_text(F.col("value"))
-        value = F.col("value").cast("double")
+def _entities(answers: DataFrame, template_id: str) -> DataFrame:
+    """Correct entities of one template, under the common columns."""
+    if _kind(template_id) == fixed.ENTITY_SET:
+        answers = answers.select(
+            "genre",
+            "year",
+            F.lit("member").alias("role"),
+            F.lit(0).cast("bigint").alias("lo"),
+            (F.col("n_silent") - 1).cast("bigint").alias("hi"),
+            F.col("member").alias("key"),
+            F.col("member").alias("display"),
+            F.col("member").alias("order_key"),
+            F.lit(None).cast("string").alias("last_name"),
+        )
     else:
-        values["count"] = F.col("n_truth")
-        value = F.lit(None).cast("double")
-    if name == "top_customer_revenue_increase":
-        per_task = _with_later_years(per_task)
-    exact = spec["answer_type"] == fixed.NUMERIC and not is_money
-    return per_task.select(
-        task_id(name, *template.params).alias("task_id"),
-        F.lit(name).alias("template_id"),
-        F.lit(spec["difficulty"]).alias("difficulty"),
-        param_json(*template.params).alias("params_json"),
-        fill(spec["question"], values).alias("question"),
-        fill(spec["answer_format"], values).alias("answer_format"),
-        F.lit(spec["answer_type"]).alias("answer_type"),
-        F.col("k").cast("int").alias("k"),
-        value.alias("value"),
-        F.lit(fixed.COUNT_ABS_TOL if exact else fixed.MONEY_ABS_TOL).alias("abs_tol"),
-        F.lit(fixed.COUNT_REL_TOL if exact else fixed.MONEY_REL_TOL).alias("rel_tol"),
-        fill(spec["notes"], values).alias("notes"),
-        F.col("n_truth").cast("int").alias("n_truth"),
-        ticks.alias("ticks"),
-    )
+        answers = answers.withColumn("role", F.lit("winner"))
+        if _kind(template_id) == fixed.CATEGORICAL:
+            answers = answers.drop("k")
+    columns = ("role", "lo", "hi", "key", "display", "order_key", "last_name")
+    return _identified(answers, template_id, *columns)
+
+
+def fill(text: str, values: dict[str, Column]) -> Column:
+    """A text template with its ``{name}`` fields replaced by columns."""
+    parts = []
+    for literal, name, _, _ in Formatter().parse(text):
+        if literal:
+            parts.append(F.lit(literal))
+        if name:
+            parts.append(values[name].cast("string"))
+    return F.concat(*parts)
 
 
-def _with_later_years(pairs: DataFrame) -> DataFrame:
-    """Number of years after the first year of each pair."""
-    # One row per pair of calendar years, so the count is small.
-    later = pairs.groupBy("year_a").agg(F.countDistinct("year_b").alias("later_years"))
-    return pairs.join(later, "year_a")
-
-
-def _ranked_truth(answers: DataFrame, template: Template) -> DataFrame:
-    spellings = [F.col("display"), F.col("key"), F.col("last_name")]
-    return answers.select(
-        task_id(template.template_id, *template.params).alias("task_id"),
-        F.lit("winner").alias("role"),
-        "lo",
-        "hi",
-        "key",
-        "display",
-        "order_key",
-        alias_set(*spellings).alias("aliases"),
+def _rendered(summary: DataFrame, chosen: list[str], choices: Choices) -> DataFrame:
+    """Task rows from one row per task: params, k, value, n_truth, winners."""
+    values = {name: F.col(f"params.{name}") for name in PARAMS}
+    whole = F.coalesce(F.col("value").cast("bigint"), F.col("n_truth"))
+    values |= {"winners": F.col("winners"), "count": whole, "value": cents_text(F.col("value"))}
+
+    def by_template(of: Callable[[str], Column]) -> Column:
+        cases = F
+        for name in chosen:
+            cases = cases.when(F.col("template_id") == name, of(name))
+        return cases
+
+    text = lambda part: by_template(lambda name: fill(fixed.TEMPLATES[name][part], values))
+    constant = lambda part: by_template(lambda name: F.lit(fixed.TEMPLATES[name][part]))
+    exact = lambda name: _kind(name) == fixed.NUMERIC and name != "total_revenue_in_year"
+    return summary.select(
+        "task_id",
+        "template_id",
+        constant("difficulty").alias("difficulty"),
+        F.to_json("params").alias("params_json"),
+        text("question").alias("question"),
+        text("answer_format").alias("answer_format"),
+        constant("answer_type").alias("answer_type"),
+        F.when(F.col("template_id") == "top_genre_in_country", 1)
+        .otherwise(F.coalesce("params.k", F.lit(0)))
+        .alias("k"),
+        F.col("value").cast("double").alias("value"),
+        by_template(
+            lambda name: F.lit(fixed.COUNT_ABS_TOL if exact(name) else fixed.MONEY_ABS_TOL)
+        ).alias("abs_tol"),
+        by_template(
+            lambda name: F.lit(fixed.COUNT_REL_TOL if exact(name) else fixed.MONEY_REL_TOL)
+        ).alias("rel_tol"),
+        text("notes").alias("notes"),
+        F.col("n_truth").cast("int").alias("n_truth"),
+        by_template(
+            lambda name: F.floor(F.lit(TICKS) / REGISTRY[name].among(choices)).cast("bigint")
+        ).alias("ticks"),
     )
 
 
-def _set_truth(answers: DataFrame, template: Template) -> DataFrame:
-    return answers.select(
-        task_id(template.template_id, *template.params).alias("task_id"),
-        F.lit("member").alias("role"),
-        F.lit(0).cast("bigint").alias("lo"),
-        (F.col("n_silent") - 1).cast("bigint").alias("hi"),
-        F.col("member").alias("key"),
-        F.col("member").alias("display"),
-        F.col("member").alias("order_key"),
-        alias_set(F.col("member")).alias("aliases"),
+def build_tasks(
+    star: Star,
+    template_ids: Sequence[str] | None = None,
+    difficulties: Sequence[str] | None = None,
+) -> TaskSet:
+    """Tasks, truth and candidate universe of the chosen templates.
+
+    Everything is written to the shared folder once, aggregates included, so
+    that draws, grading and reports start from small tables.
+    """
+    chosen = chosen_templates(template_ids, difficulties)
+    star = with_stored_aggregates(star, {n for name in chosen for n in REGISTRY[name].needs})
+    choices = Choices(star)
+    numeric = [name for name in chosen if _kind(name) == fixed.NUMERIC]
+    listed = [name for name in chosen if _kind(name) != fixed.NUMERIC]
+    answers = {name: REGISTRY[name].answers(star, choices) for name in chosen}
+    summaries = [
+        _identified(
+            answers[name],
+            name,
+            F.col("value").cast("decimal(38,2)").alias("value"),
+            F.lit(0).cast("bigint").alias("n_truth"),
+            F.lit(None).cast("string").alias("winners"),
+        )
+        for name in numeric
+    ]
+    if listed:
+        found = _union([_entities(answers[name], name) for name in listed])
+    else:
+        found = _entities(questions.top_genre_in_country(star), "top_genre_in_country").limit(0)
+    aliases = alias_set(F.col("display"), F.col("key"), F.col("last_name"))
+    truth = stored(found.withColumn("aliases", aliases).drop("last_name"), "truth")
+    if listed:
+        # Names of tied genres are listed in the notes; no other names are collected.
+        genre = F.when(F.col("template_id") == "top_genre_in_country", F.col("display"))
+        summaries.append(
+            truth.groupBy("template_id", "task_id", "params")
+            .agg(
+                F.count("*").alias("n_truth"),
+                F.array_join(F.array_sort(F.collect_list(genre)), ", ").alias("winners"),
+            )
+            .withColumn("value", F.lit(None).cast("decimal(38,2)"))
+        )
+    tasks = _rendered(_union(summaries), chosen, choices)
+    return TaskSet(
+        tasks=stored(tasks, "tasks"),
+        truth=truth.drop("template_id", "params"),
+        universe=stored(genre_candidates(star), "universe"),
     )
 
 
@@ -290,18 +318,19 @@ def flat_entities(truth: DataFrame) -> DataFrame:
 
 def param_grid(star: Star) -> DataFrame:
     """Every parameter value of every template with its weight, viable or not."""
-    choices = Choices.of(star)
-    ks = F.explode(F.array(*[F.lit(k) for k in fixed.TOP_KS]))
+    choices = Choices(star)
+    each_year = F.explode(F.array(*[F.lit(y) for y in choices.years]))
+    each_k = F.explode(F.array(*[F.lit(k) for k in fixed.TOP_KS]))
     countries = star.customer.select("country").filter("country is not null").distinct()
     genres = questions.genre_universe(star).select(F.col("genre_name").alias("genre"))
-    sales = questions.invoice_revenue(star).filter("year is not null")
-    years = sales.select("year").distinct()
-    genre_years = genres.withColumn("year", F.explode(sales_years(star)))
-    year_ks = years.withColumn("k", ks)
+    years = questions.year_row(dated_revenue(star)).select(F.explode("years").alias("year"))
+    genre_years = genres.withColumn("year", each_year)
+    year_ks = years.withColumn("k", each_k)
     pairs = (
         years.withColumnRenamed("year", "year_a")
-        .withColumn("year_b", F.explode(sales_years(star)))
+        .withColumn("year_b", each_year)
         .filter("year_b > year_a")
+        .withColumn("k", each_k)
     )
     frames = {
         "customer_count_in_country": countries,
@@ -311,18 +340,18 @@ def param_grid(star: Star) -> DataFrame:
         "top_artists_by_revenue": year_ks,
         "top_genre_in_country": questions.eligible_countries(star).select("country"),
         "top_countries_by_revenue": year_ks,
-        "top_customer_revenue_increase": _with_later_years(pairs).withColumn("k", ks),
+        "top_customer_revenue_increase": pairs,
         "artists_with_no_sales_in_year": genre_years,
     }
     rows = [
-        frame.select(
-            F.lit(name).alias("template_id"),
-            param_json(*REGISTRY[name].params).alias("params_json"),
-            _ticks(name, choices).alias("ticks"),
+        _identified(frame, name).select(
+            "template_id",
+            F.to_json("params").alias("params_json"),
+            F.floor(F.lit(TICKS) / REGISTRY[name].among(choices)).cast("bigint").alias("ticks"),
         )
         for name, frame in frames.items()
     ]
-    return reduce(DataFrame.unionByName, rows)
+    return _union(rows)
 
 
 NAMES_PER_PART = 1000

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +48,8 @@ class Star:
     ``track``     track_id, track_name, and album_id / genre_id or the resolved
                   album_title / artist_name / genre_name
     ``album``, ``artist``, ``genre``   the snowflaked dimensions, where present
+    ``stored``    aggregates already written down, by name (see
+                  :func:`starqa.operators.sales.with_stored_aggregates`)
     ``member``    column of ``track`` that names the catalogue member (the
                   "artist" of the no-sales question)
     """
@@ -60,6 +62,7 @@ class Star:
     genre: DataFrame
     album: DataFrame | None = None
     member: str = "artist_name"
+    stored: dict[str, DataFrame] = field(default_factory=dict)
 
     def tracks(self, *wanted: str) -> DataFrame:
         """Tracks with the wanted attributes, joining only what they need."""
@@ -189,18 +192,3 @@ def orders_store(spark: SparkSession, folder: str, last_name: str | None = None)
         genre=tables["part"].select(F.col("p_brand").alias("genre_name")).distinct(),
         member="member_name",
     )
-
-
-def with_stored_sales(star: Star, folder: str) -> Star:
-    """The star with its dated lines written once, by year, to a shared folder.
-
-    For several questions over one star: later reads prune to the years asked
-    for, and a lost executor costs a read rather than a repeated join.
-    """
-    spark = star.line.sparkSession
-    path = f"{folder}/dated_lines"
-    dated = star.line.join(
-        star.invoices().select("invoice_id", "year"), "invoice_id", "left"
-    )
-    dated.write.mode("errorifexists").partitionBy("year").parquet(path)
-    return replace(star, line=spark.read.parquet(path).drop("year"))
