@@ -26,13 +26,18 @@ def numeric_score(submitted: Column, value: Column, abs_tol: Column, rel_tol: Co
 
 def word_runs(text: Column, longest: Column) -> Column:
     """Distinct runs of 1 to ``longest`` consecutive words of a text."""
-    words = F.split(text, " ")
-    runs = lambda n: F.transform(
-        F.sequence(F.lit(1), F.size(words) - n + 1),
-        lambda start: F.array_join(F.slice(words, start, n), " "),
-    )
-    lengths = F.sequence(F.lit(1), F.least(longest, F.size(words)))
-    return F.array_distinct(F.flatten(F.transform(lengths, runs)))
+
+    def runs(words: Column) -> Column:
+        of_length = lambda n: F.transform(
+            F.sequence(F.lit(1), F.size(words) - n + 1),
+            lambda start: F.array_join(F.slice(words, start, n), " "),
+        )
+        lengths = F.sequence(F.lit(1), F.least(longest, F.size(words)))
+        return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
+
+    # Handing the words on as a value keeps the text from being split anew for
+    # every run.
+    return F.get(F.transform(F.array(F.split(text, " ")), runs), F.lit(0))
 
 
 def longest_alias(names: DataFrame) -> DataFrame:

@@ -60,10 +60,10 @@ class Choices:
         return questions.genre_universe(self._star).count()
 
 
-def _later_years(choices: Choices) -> Column:
-    """Number of years after the first of a pair."""
-    years = F.array(*[F.lit(y) for y in choices.years])
-    return F.size(F.filter(years, lambda y: y > F.col("params.year_a")))
+def _later_years(choices: Choices) -> str:
+    """SQL for the number of years after the first of a pair."""
+    years = ", ".join(map(str, choices.years))
+    return f"size(filter(array({years}), y -> y > params.year_a))"
 
 
 KS = len(fixed.TOP_KS)
@@ -74,7 +74,7 @@ class Template:
     """One question: how its answers are found and among how many it is chosen."""
 
     answers: Callable[[Star, Choices], DataFrame]
-    among: Callable[[Choices], int | Column]
+    among: Callable[[Choices], int | str]
     needs: tuple[str, ...] = ()
 
 
@@ -115,7 +115,7 @@ REGISTRY = {
     "top_customer_revenue_increase": Template(
         lambda star, c: questions.revenue_increase(star, years=c.years),
         # an earlier year first, then one of the years after it
-        lambda c: (len(c.years) - 1) * _later_years(c) * KS,
+        lambda c: f"{(len(c.years) - 1) * KS} * {_later_years(c)}",
         ("customer_year",),
     ),
     "artists_with_no_sales_in_year": Template(
@@ -155,13 +155,13 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _params(df: DataFrame) -> Column:
-    return F.struct(
-        *[
-            (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name)
-            for name, kind in PARAMS.items()
-        ]
+def _params(columns: list[str]) -> str:
+    """SQL for the struct of all parameters, null where a template has none."""
+    fields = ", ".join(
+        f"{_literal(name)}, cast({name if name in columns else 'null'} as {kind})"
+        for name, kind in PARAMS.items()
     )
+    return f"named_struct({fields})"
 
 
 def _kind(template_id: str) -> str:
@@ -169,10 +169,11 @@ def _kind(template_id: str) -> str:
 
 
 def _identified(df: DataFrame, template_id: str, *columns: Column | str) -> DataFrame:
+    params = _params(df.columns)
     return df.select(
         F.lit(template_id).alias("template_id"),
-        F.md5(F.concat(F.lit(template_id), F.to_json(_params(df)))).alias("task_id"),
-        _params(df).alias("params"),
+        F.expr(f"md5(concat({_literal(template_id)}, to_json({params})))").alias("task_id"),
+        F.expr(params).alias("params"),
         *columns,
     )
 
@@ -199,58 +200,63 @@ def _entities(answers: DataFrame, template_id: str) -> DataFrame:
     return _identified(answers, template_id, *columns)
 
 
-def fill(text: str, values: dict[str, Column]) -> Column:
-    """A text template with its ``{name}`` fields replaced by columns."""
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def fill(text: str, values: dict[str, str]) -> str:
+    """SQL for a text template with its ``{name}`` fields filled in."""
     parts = []
     for literal, name, _, _ in Formatter().parse(text):
         if literal:
-            parts.append(F.lit(literal))
+            parts.append(_literal(literal))
         if name:
-            parts.append(values[name].cast("string"))
-    return F.concat(*parts)
+            parts.append(f"cast({values[name]} as string)")
+    return f"concat({', '.join(parts)})"
 
 
 def _rendered(summary: DataFrame, chosen: list[str], choices: Choices) -> DataFrame:
-    """Task rows from one row per task: params, k, value, n_truth, winners."""
-    values = {name: F.col(f"params.{name}") for name in PARAMS}
-    whole = F.coalesce(F.col("value").cast("bigint"), F.col("n_truth"))
-    values |= {"winners": F.col("winners"), "count": whole, "value": cents_text(F.col("value"))}
+    """Task rows from one row per task: params, value, n_truth, winners."""
+    values = {name: f"params.{name}" for name in PARAMS} | {
+        "winners": "winners",
+        "count": "coalesce(cast(value as bigint), n_truth)",
+        "value": "value_text",
+    }
 
-    def by_template(of: Callable[[str], Column]) -> Column:
-        cases = F
-        for name in chosen:
-            cases = cases.when(F.col("template_id") == name, of(name))
-        return cases
+    def by_template(of: Callable[[str], object]) -> str:
+        cases = " ".join(f"when {_literal(name)} then {of(name)}" for name in chosen)
+        return f"case template_id {cases} end"
 
     text = lambda part: by_template(lambda name: fill(fixed.TEMPLATES[name][part], values))
-    constant = lambda part: by_template(lambda name: F.lit(fixed.TEMPLATES[name][part]))
+    constant = lambda part: by_template(lambda name: _literal(fixed.TEMPLATES[name][part]))
     exact = lambda name: _kind(name) == fixed.NUMERIC and name != "total_revenue_in_year"
-    return summary.select(
+    tolerance = lambda count, money: by_template(
+        lambda name: f"cast({count if exact(name) else money} as double)"
+    )
+    one = by_template(lambda name: "1" if _kind(name) == fixed.CATEGORICAL else "0")
+    return summary.withColumn("value_text", cents_text(F.col("value"))).selectExpr(
         "task_id",
         "template_id",
-        constant("difficulty").alias("difficulty"),
-        F.to_json("params").alias("params_json"),
-        text("question").alias("question"),
-        text("answer_format").alias("answer_format"),
-        constant("answer_type").alias("answer_type"),
-        F.when(F.col("template_id") == "top_genre_in_country", 1)
-        .otherwise(F.coalesce("params.k", F.lit(0)))
-        .alias("k"),
-        F.col("value").cast("double").alias("value"),
-        by_template(
-            lambda name: F.lit(fixed.COUNT_ABS_TOL if exact(name) else fixed.MONEY_ABS_TOL)
-        ).alias("abs_tol"),
-        by_template(
-            lambda name: F.lit(fixed.COUNT_REL_TOL if exact(name) else fixed.MONEY_REL_TOL)
-        ).alias("rel_tol"),
-        text("notes").alias("notes"),
-        F.col("n_truth").cast("int").alias("n_truth"),
-        by_template(
-            lambda name: F.floor(F.lit(TICKS) / REGISTRY[name].among(choices)).cast("bigint")
-        ).alias("ticks"),
+        f"{constant('difficulty')} as difficulty",
+        "to_json(params) as params_json",
+        f"{text('question')} as question",
+        f"{text('answer_format')} as answer_format",
+        f"{constant('answer_type')} as answer_type",
+        f"coalesce(params.k, {one}) as k",
+        "cast(value as double) as value",
+        f"{tolerance(fixed.COUNT_ABS_TOL, fixed.MONEY_ABS_TOL)} as abs_tol",
+        f"{tolerance(fixed.COUNT_REL_TOL, fixed.MONEY_REL_TOL)} as rel_tol",
+        f"{text('notes')} as notes",
+        "cast(n_truth as int) as n_truth",
+        f"{by_template(lambda name: _ticks(name, choices))} as ticks",
     )
 
 
+def _ticks(template_id: str, choices: Choices) -> str:
+    """SQL for the weight of one choice of parameters."""
+    return f"cast({TICKS} div ({REGISTRY[template_id].among(choices)}) as bigint)"
+
+
 def build_tasks(
     star: Star,
     template_ids: Sequence[str] | None = None,
@@ -347,7 +353,7 @@ def param_grid(star: Star) -> DataFrame:
         _identified(frame, name).select(
             "template_id",
             F.to_json("params").alias("params_json"),
-            F.floor(F.lit(TICKS) / REGISTRY[name].among(choices)).cast("bigint").alias("ticks"),
+            F.expr(_ticks(name, choices)).alias("ticks"),
         )
         for name, frame in frames.items()
     ]
