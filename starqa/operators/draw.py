@@ -24,7 +24,7 @@ def with_intervals(items: DataFrame, key: str, ticks: str) -> DataFrame:
     Ordered by a hash of the key and then the key.  Bucket sums are bounded by
     ``BUCKETS``; running totals inside a bucket are taken by one task each.
     """
-    bucketed = items.withColumn(
+    bucketed = items.filter(F.col(ticks) > 0).withColumn(
         "_bucket", F.conv(F.substring(F.md5(key), 1, 2), 16, 10).cast("int")
     )
     sums = bucketed.groupBy("_bucket").agg(F.sum(ticks).alias("_sum"))
@@ -56,17 +56,14 @@ def weighted_draw(
     weights are.  There are at least as many cells as items, so a cell holds
     few of them.  Fails when there is nothing to draw from.
     """
-    total = items.agg(F.sum(ticks)).scalar()
-    some = F.when(total > 0, total).otherwise(
-        F.raise_error(F.lit("Could not draw a task: none is viable."))
-    ).cast("decimal(18,0)")
+    total = F.coalesce(items.agg(F.sum(ticks)).scalar(), F.lit(0)).cast("decimal(18,0)")
     span = F.lit(16**HASH_DIGITS).cast("decimal(20,0)")
     cells = F.greatest(F.lit(CELLS), items.agg(F.count("*")).scalar()).cast("decimal(18,0)")
     cell = lambda place: F.floor(
-        place.cast("decimal(18,0)") * F.col("_cells") / F.col("_total")
+        place.cast("decimal(18,0)") * F.col("_cells") / F.nullif("_total", F.lit(0))
     ).cast("bigint")
     placed = (
-        draws.withColumn("_total", some)
+        draws.withColumn("_total", total)
         .withColumn("_cells", cells)
         .withColumn("_place", F.floor(uniform(seed, F.col(draw_id)) * F.col("_total") / span).cast("bigint"))
         .withColumn("_cell", cell(F.col("_place")))
@@ -74,13 +71,16 @@ def weighted_draw(
     )
     listed = (
         with_intervals(items, key, ticks)
-        .withColumn("_total", some)
+        .withColumn("_total", total)
         .withColumn("_cells", cells)
-        .withColumn("_cell", F.explode(F.sequence(cell(F.col("first")), cell(F.col("last")))))
+        .withColumn("_at", F.explode(F.sequence(cell(F.col("first")), cell(F.col("last")))))
         .drop("_total", "_cells", ticks)
     )
-    matched = F.col("_place").between(F.col("first"), F.col("last"))
-    return placed.join(listed, "_cell").filter(matched).drop("_cell", "_place", "first", "last")
+    # Every draw has its item unless there is none at all.
+    here = (F.col("_cell") == F.col("_at")) & F.col("_place").between(F.col("first"), F.col("last"))
+    drawn = placed.join(listed, here, "left").drop("_cell", "_place", "_at", "first", "last")
+    found = F.coalesce(F.col(key), F.raise_error(F.lit("Could not draw a task: none is viable.")))
+    return drawn.withColumn(key, found)
 
 
 def numbered_draws(spark: SparkSession, n: int) -> DataFrame:

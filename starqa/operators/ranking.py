@@ -38,10 +38,11 @@ def top_k_with_ties(
         .filter(F.col("_rank") <= k)
         .drop("_rank")
     )
-    # Counting the key, not rows, keeps this branch's shuffle the same as the
-    # other one's, so that it runs once.  The slices are already together, so
-    # counting within them shuffles nothing.
-    counts = near.groupBy(*by, "_slice", value).agg(F.count(key).alias("_size"))
+    # Looking at the keys as well as counting rows keeps this branch's shuffle the
+    # same as the other one's, so that it runs once.  The slices are together
+    # already, so counting within them shuffles nothing.
+    size = F.when(F.max(key).isNotNull(), F.count("*"))
+    counts = near.groupBy(*by, "_slice", value).agg(size.alias("_size"))
     return near.drop("_slice").join(_bands(counts, by, value, k), [*by, value])
 
 

@@ -26,7 +26,7 @@ def sales_view(star: Star, strict: bool = False) -> DataFrame:
     attributes = ["track_name", "album_title", "genre_name"]
     if "artist_id" not in star.line.columns:
         attributes.append("artist_name")
-    sales = join_many_to_one(sales, star.tracks(*attributes), "track_id", strict)
+    sales = join_many_to_one(sales, star.tracks(*attributes, strict=strict), "track_id", strict)
     if "artist_id" in star.line.columns:
         sales = join_many_to_one(sales, star.artist, "artist_id", strict)
     return sales.select(

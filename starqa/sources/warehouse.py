@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from starqa.functions.money import as_money
 from starqa.functions.names import full_name
+from starqa.operators.joins import join_many_to_one
 from starqa.sources.schemas import MUSIC_STORE, ORDERS, TableSpec
 
 
@@ -64,16 +65,16 @@ class Star:
     member: str = "artist_name"
     stored: dict[str, DataFrame] = field(default_factory=dict)
 
-    def tracks(self, *wanted: str) -> DataFrame:
+    def tracks(self, *wanted: str, strict: bool = False) -> DataFrame:
         """Tracks with the wanted attributes, joining only what they need."""
         tracks = self.track
         missing = set(wanted) - set(tracks.columns)
         if missing & {"album_title", "artist_id", "artist_name"}:
-            tracks = tracks.join(self.album, "album_id", "left")
+            tracks = join_many_to_one(tracks, self.album, "album_id", strict)
         if "artist_name" in missing:
-            tracks = tracks.join(self.artist, "artist_id", "left")
+            tracks = join_many_to_one(tracks, self.artist, "artist_id", strict)
         if "genre_name" in missing:
-            tracks = tracks.join(self.genre, "genre_id", "left")
+            tracks = join_many_to_one(tracks, self.genre, "genre_id", strict)
         return tracks.select("track_id", *wanted)
 
     def invoices(self, year: int | None = None) -> DataFrame:
