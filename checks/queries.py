@@ -23,6 +23,7 @@ from starqa.operators.sales import country_genre_revenue, customer_year_revenue,
 from starqa.plans import quality, questions
 from starqa.plans.tasks import TaskSet, build_tasks, describe, flat_entities, param_grid
 from starqa.sources.schemas import ORDERS
+from starqa.sources.storage import spread
 from starqa.sources.warehouse import Star, orders_store, read_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -354,7 +355,7 @@ def _texts(spark: SparkSession, folder: str) -> DataFrame:
     props = table(spark, folder, "events").select(
         F.lit("event").alias("kind"), F.col("event_id").alias("id"), F.col("props").alias("text")
     )
-    return documents.union(turns).union(props)
+    return spread(documents.union(turns).union(props))
 
 
 @query
@@ -375,7 +376,7 @@ def x3_parse_list(spark, folder):
 
 @query
 def x4_clean_item(spark, folder):
-    lines = table(spark, folder, "documents").select(
+    lines = spread(table(spark, folder, "documents")).select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")
     )
     return lines.select("doc_id", "pos", clean_item(F.col("line")).alias("item"))
@@ -388,7 +389,7 @@ def x7_mentions(spark, folder):
         F.explode(F.array_distinct(F.split(normalize(F.col("text")), " "))).alias("key")
     ).distinct()
     return mentions(
-        table(spark, folder, "documents"), "doc_id", "text",
+        spread(table(spark, folder, "documents")), "doc_id", "text",
         names.withColumn("aliases", F.array("key")),
     )
 
@@ -460,7 +461,7 @@ def l1_scrub(spark, folder):
 
 @query
 def l1b_scrub_documents(spark, folder):
-    documents = table(spark, folder, "documents")
+    documents = spread(table(spark, folder, "documents"))
     return documents.select("doc_id", scrub(F.col("text")).alias("scrubbed"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -21,6 +22,11 @@ def strip(col: Column) -> Column:
     return F.regexp_replace(col, rf"^{fixed.WS}+|{fixed.WS}+$", "")
 
 
+def with_value(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 @lru_cache(maxsize=1)
 def _other_digits() -> tuple[str, str]:
     """All non-ASCII decimal digits and the ASCII digit each stands for."""
@@ -68,12 +74,13 @@ def parse_numeric(answer: Column) -> Column:
     """
     text = strip(answer)
     found = F.transform(
-        F.regexp_extract_all(_ascii_digits(text), F.lit(fixed.NUMBER), 0),
+        F.regexp_extract_all(_ascii_digits(answer), F.lit(fixed.NUMBER), 0),
         # adding zero turns a negative zero into zero, so the two count as one
         lambda n: F.replace(n, F.lit(","), F.lit("")).cast("double") + F.lit(0.0),
     )
-    distinct = F.array_distinct(found)
-    stated = F.when(F.size(distinct) == 1, F.get(distinct, F.lit(0)))
+    stated = with_value(
+        F.array_distinct(found), lambda ns: F.when(F.size(ns) == 1, F.get(ns, F.lit(0)))
+    )
     return (
         F.when(text.rlike(rf"^{fixed.JSON_NUMBER}$"), text.try_cast("double"))
         .when(text.isin("NaN", "Infinity", "-Infinity"), text.try_cast("double"))
@@ -142,7 +149,9 @@ def parse_list(answer: Column) -> Column:
     lines = F.filter(
         F.transform(F.split(text, fixed.LINE_BREAK), strip), lambda line: line != ""
     )
-    parts = F.when(F.size(lines) > 1, lines).otherwise(_split_commas(text))
+    parts = with_value(
+        lines, lambda several: F.when(F.size(several) > 1, several).otherwise(_split_commas(text))
+    )
     written = F.filter(F.transform(parts, clean_item), lambda i: i != "")
     maybe_json = text.rlike(r"(?s)^(?:\[.*\]|\{.*\})$")
     return (

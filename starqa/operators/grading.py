@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starqa import fixed_values as fixed
-from starqa.functions.answers import parse_list, parse_numeric
+from starqa.functions.answers import parse_list, parse_numeric, with_value
 from starqa.functions.names import normalize, normalize_all
 from starqa.operators.ranking import SLICES
 
@@ -35,9 +35,7 @@ def word_runs(text: Column, longest: Column) -> Column:
         lengths = F.sequence(F.lit(1), F.least(longest, F.size(words)))
         return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
 
-    # Handing the words on as a value keeps the text from being split anew for
-    # every run.
-    return F.get(F.transform(F.array(F.split(text, " ")), runs), F.lit(0))
+    return with_value(F.split(text, " "), runs)
 
 
 def longest_alias(names: DataFrame) -> DataFrame:
@@ -184,14 +182,10 @@ def score_answers(
         .withColumn("_k", F.coalesce(F.nullif("k", F.lit(0)), F.col("n_truth")))
         .withColumn("_n_items", F.size("_items"))
         .withColumn("_n_named", F.size(F.array_remove(F.array_distinct("_norms"), "")))
+        .withColumn("_number", F.when(kind == fixed.NUMERIC, parse_numeric(F.col("answer"))))
         .withColumn(
             "_numeric",
-            F.when(
-                kind == fixed.NUMERIC,
-                numeric_score(
-                    parse_numeric(F.col("answer")), F.col("value"), F.col("abs_tol"), F.col("rel_tol")
-                ),
-            ),
+            numeric_score(F.col("_number"), F.col("value"), F.col("abs_tol"), F.col("rel_tol")),
         )
         .withColumn("_longest", longest_alias(universe).scalar())
         .withColumn("_probe", F.explode_outer(_probes(F.col("_longest"))))

@@ -227,7 +227,7 @@ def revenue_increase(
     A customer without sales in a year counts as 0.00 for it, so every customer
     takes part in every pair.  Pairs in which nobody gained are left out.
     """
-    per_year = customer_year_revenue(star).filter("customer_id is not null and year is not null")
+    per_year = customer_year_revenue(star).filter("year is not null")
     if year_a is not None and year_b is not None:
         per_year = per_year.filter(F.col("year").isin(year_a, year_b))
         years = [year_a, year_b]
@@ -237,11 +237,13 @@ def revenue_increase(
             F.collect_list(F.struct("year", round_cents(F.col("revenue"))))
         ).alias("by_year")
     )
+    # Read off the same rows, so that finding the years needs no further pass.
+    active = by_customer.select(F.explode(F.map_keys("by_year")).alias("year"))
     zero = F.lit(0).cast("decimal(38,2)")
     paired = (
         star.customer.select("customer_id")
         .join(by_customer, "customer_id", "left")
-        .withColumn("_pair", F.explode(year_pairs(per_year, years)))
+        .withColumn("_pair", F.explode(year_pairs(active, years)))
         .select("customer_id", "by_year", "_pair.*")
     )
     in_year = lambda y: F.coalesce(F.try_element_at("by_year", F.col(y)), zero)
@@ -299,13 +301,11 @@ def no_sales_in_year(
     sold = sold_members(star, year)
     if year is not None:
         years = [year]
-    elif years is None:
-        years = [int(y) for y in year_row(dated_revenue(star)).first()["years"]]
     sizes = (
         members.groupBy("genre")
         .agg(F.count("*").alias("n_members"))
         .filter(F.col("n_members") >= fixed.MIN_CATALOGUE)
-        .withColumn("year", F.explode(year_array(sold, years)))
+        .withColumn("year", F.explode(year_array(dated_revenue(star), years)))
         .join(sold.groupBy("genre", "year").agg(F.count("*").alias("n_sold")), ["genre", "year"], "left")
         .withColumn("n_silent", F.col("n_members") - F.coalesce("n_sold", F.lit(0)))
         .filter(F.col("n_silent").between(fixed.MIN_SET_ANSWERS, fixed.MAX_SET_ANSWERS))
