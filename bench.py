@@ -42,7 +42,7 @@ def main() -> None:
     from checks.queries import QUERIES
 
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     spark = session()
     seconds = {}
     for name in HEADLINE:

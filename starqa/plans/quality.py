@@ -135,11 +135,10 @@ def country_mismatches(invoices: DataFrame, customers: DataFrame) -> DataFrame:
     """Invoices billed to another country than their customer's.
 
     ``invoices`` has customer_id and billing_country, ``customers`` customer_id
-    and country.
+    and country.  A missing country agrees with none.
     """
-    return invoices.join(customers, "customer_id").filter(
-        ~F.col("billing_country").eqNullSafe(F.col("country"))
-    )
+    same = F.coalesce(F.col("billing_country") == F.col("country"), F.lit(False))
+    return invoices.join(customers, "customer_id").filter(~same)
 
 
 def date_range(star: Star) -> DataFrame:

@@ -71,10 +71,8 @@ def year_pairs(df: DataFrame, years: Sequence[int] | None = None) -> Column:
 
 def customer_count_in_country(star: Star, country: str | None = None) -> DataFrame:
     """Customers per country: ``country, value``."""
-    customers = star.customer.filter(F.col("country").isNotNull())
-    if country is not None:
-        customers = customers.filter(F.col("country") == country)
-    return customers.groupBy("country").agg(F.count("*").alias("value"))
+    counts = customers_per_country(star).withColumnRenamed("customers", "value")
+    return counts if country is None else counts.filter(F.col("country") == country)
 
 
 def total_revenue_in_year(star: Star, year: int | None = None) -> DataFrame:
@@ -180,13 +178,15 @@ def top_countries(
     return _named_plainly(for_each_k(top, ks), "country", ["year"])
 
 
+def customers_per_country(star: Star) -> DataFrame:
+    """Number of customers of each country: ``country, customers``."""
+    known = star.customer.filter(F.col("country").isNotNull())
+    return known.groupBy("country").agg(F.count("*").alias("customers"))
+
+
 def eligible_countries(star: Star) -> DataFrame:
     """Countries with at least two customers; all of them when none has two."""
-    counts = (
-        star.customer.filter(F.col("country").isNotNull())
-        .groupBy("country")
-        .agg(F.count("*").alias("customers"))
-    )
+    counts = customers_per_country(star)
     most = counts.agg(F.max("customers")).scalar()
     needed = F.least(F.lit(fixed.MIN_CUSTOMERS_PER_COUNTRY), most)
     return counts.filter(F.col("customers") >= needed)

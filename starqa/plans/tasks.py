@@ -47,13 +47,19 @@ class Choices:
         return list(questions.year_row(dated_revenue(self._star)).first()["years"])
 
     @cached_property
+    def _countries(self) -> tuple[int, int]:
+        enough = F.count_if(F.col("customers") >= fixed.MIN_CUSTOMERS_PER_COUNTRY)
+        every, eligible = questions.customers_per_country(self._star).agg(F.count("*"), enough).first()
+        return every, eligible or every
+
+    @property
     def countries(self) -> int:
-        known = self._star.customer.select("country").filter("country is not null")
-        return known.distinct().count()
+        return self._countries[0]
 
-    @cached_property
+    @property
     def eligible(self) -> int:
-        return questions.eligible_countries(self._star).count()
+        """Countries the top-genre question may be asked of."""
+        return self._countries[1]
 
     @cached_property
     def genres(self) -> int:
