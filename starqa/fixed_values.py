@@ -192,10 +192,14 @@ MESSAGE_FUNCTION = "Query references forbidden function(s): %s."
 
 # --------------------------------------------------------------------------
 # Text patterns (Java regex).  WS is the set of characters that
-# count as white space, DIGIT any decimal digit.
+# count as white space (WS_CHARS lists them), DIGIT any decimal digit.
 # --------------------------------------------------------------------------
 
 WS = r"[\t-\r\x1c-\x20\x85\p{Z}]"
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 DIGIT = r"\p{Nd}"
 LINE_BREAK = r"\r\n|[\n-\r\x1c-\x1e\x85\x{2028}\x{2029}]"
 NUMBER = r"-?[0-9][0-9,]*(?:\.[0-9]+)?"

@@ -19,7 +19,7 @@ HELD_COMMA = "\ufdd0"
 
 def strip(col: Column) -> Column:
     """Trim every kind of white space from both ends."""
-    return F.regexp_replace(col, rf"^{fixed.WS}+|{fixed.WS}+$", "")
+    return F.btrim(col, F.lit(fixed.WS_CHARS))
 
 
 def with_value(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -97,7 +97,7 @@ def clean_item(item: Column) -> Column:
     # Only an item that ends in a bracket can carry a note; checking that first
     # keeps long texts with many brackets linear.
     noted = F.when(
-        bare.rlike(rf"[)\]]{fixed.WS}*$"), F.regexp_replace(bare, fixed.TRAILING_NOTE, "")
+        bare.endswith(")") | bare.endswith("]"), F.regexp_replace(bare, fixed.TRAILING_NOTE, "")
     ).otherwise(bare)
     named = F.regexp_replace(noted, fixed.TRAILING_FIGURE, "")
     return strip(F.btrim(strip(named), F.lit("\"'")))
