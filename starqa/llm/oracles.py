@@ -6,6 +6,26 @@ from starqa.llm import mixing
 
 ORACLES: dict[str, str] = {}
 
+ORACLES["op2_substring_dedup"] = r"""
+with listed as (
+    select row_number() over () as n, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+), windows as (
+    select n, i, array_to_string(words[i:i + 34], ' ') as seen
+    from (select n, words, unnest(range(1, len(words) - 33)) as i from listed)
+), repeated as (
+    select n, list(i) as starts from (select n, i, count(*) over (partition by seen) as times from windows)
+    where times > 1 group by n
+), covered as (
+    select n, list_distinct(flatten(list_transform(starts, lambda i: range(i, i + 35)))) as gone from repeated
+), kept as (
+    select doc_id, words, gone, case when gone is null then words else list_where(words,
+        list_transform(range(1, len(words) + 1), lambda i: not list_contains(gone, i))) end as stay
+    from listed left join covered using (n)
+)
+select doc_id, len(words) as n_words, coalesce(len(gone), 0) as n_removed, sha256(array_to_string(stay, ' ')) as kept_sha256
+from kept
+"""
+
 ORACLES["op4_chat_format"] = r"""
 with rows as (
     select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations

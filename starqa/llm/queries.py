@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starqa.llm import chat, mixing, mtree, sharding
+from starqa.llm import chat, mixing, mtree, repeats, sharding, simhash
 from starqa.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,12 @@ def query(run: Query) -> Query:
     return run
 
 
+@query
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    done = repeats.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query
 def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -65,3 +71,9 @@ def op9_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op10_simhash_classes(spark: SparkSession, folder: str) -> DataFrame:
+    classes = simhash.near_duplicate_classes(table(spark, folder, "documents"))
+    return classes.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
