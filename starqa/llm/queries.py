@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starqa.llm import chat, mixing, mtree, repeats, sharding, simhash
+from starqa.llm import chat, langid, mixing, mtree, pieces, repeats, sharding, simhash
 from starqa.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,18 @@ def query(run: Query) -> Query:
     return run
 
 
+@query
+def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every text, and whether decoding them gives the text again (null texts count as empty)."""
+    encoded = pieces.encode_texts(table(spark, folder, "documents").select("doc_id", "text"))
+    back = pieces.decode_ids(encoded)
+    return back.select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 @query
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     done = repeats.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
@@ -59,6 +71,13 @@ def op5_mtree_search(spark: SparkSession, folder: str) -> DataFrame:
     return mtree.top_inner_products(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@query
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(documents, langid.held_out_third())
+    return found.select("doc_id", langid.held_out_third().alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, folder, "documents"))
