@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starqa.llm import chat, langid, mixing, mtree, pieces, quality, repeats, sharding, simhash
-from starqa.llm.common import table
+from starqa.llm import chat, hmm, langid, mixing, mtree, pieces, quality, repeats, sharding, simhash
+from starqa.llm.common import is_training, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,6 +83,13 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", langid.held_out_third().alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op7_hmm_score(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = ~is_training(F.col("doc_id"), 7, 2)
+    scored = hmm.score(table(spark, folder, "documents"), held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, folder, "documents"))
