@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from starqa.llm.common import chunks, is_training
+from starqa.llm.common import chunks, fresh, is_training
 from starqa.llm.vocabulary import LITERAL, SPACE, Pieces, load_pieces
 
 UNDETERMINED = "und"
@@ -190,16 +191,18 @@ class Scorer:
 
 def identify(
     documents: DataFrame, held_out: Column | None = None, pieces: Pieces | None = None,
-    text: str = "text", lang: str = "lang",
+    text: str = "text", lang: str = "lang", into: tuple[str, str] = ("lang_pred", "score"),
 ) -> DataFrame:
     """All columns, and ``lang_pred`` and ``score``, the posterior of that language with equal priors.
 
     Learns from the rows that are not ``held_out`` and have a text and a
     language.  ``und`` with score 0 where the text is null or has no letter, or
     if no language could be learned.  Equal likelihoods go to the first language
-    by name.  New columns must not be in the input.
+    by name.  Where the input has columns of these names (``into``), the new ones
+    get underscores.
     """
     spark = documents.sparkSession
+    into = tuple(fresh(documents, name) for name in into)
     names = [p for p in (pieces or load_pieces()).ids if len(p) < 64]
     seen = documents if held_out is None else documents.where(~held_out)
     languages, log_p = train(seen, names, text, lang)
@@ -221,11 +224,13 @@ def identify(
                     pa.array([languages[best[i]] if ok else UNDETERMINED for i, ok in enumerate(letters)], pa.string()),
                     pa.array([float(score[i]) if ok else 0.0 for i, ok in enumerate(letters)], pa.float64()),
                 ],
-                names=[*batch.schema.names, "lang_pred", "score"],
+                names=[*batch.schema.names, *into],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    return documents.mapInArrow(each, f"{fields}, lang_pred string, score double")
+    return documents.mapInArrow(
+        each,
+        T.StructType([*documents.schema.fields, T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())]),
+    )
 
 
 def held_out_third(doc_id: str = "doc_id") -> Column:

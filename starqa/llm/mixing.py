@@ -191,7 +191,8 @@ def mix(
         .withColumn("n_words", F.expr(f"least(size, (block_no + 1) * {block} - start) - first_word"))
     )
     same = pieces["source"].eqNullSafe(draws["source"]) & (pieces["block_no"] == draws["block_no"])
-    return sources, pieces.join(draws, same, "left").select(
+    # Sizes after an explode are guessed far too small, so neither side may be broadcast.
+    return sources, pieces.join(draws.hint("merge"), same, "left").select(
         "pack", "nth", "equal_no", "doc_id", pieces["source"], "mark", "mark2", "size", "shard", "place", "pass_no",
         F.when(F.col("shard").isNotNull(), F.col("first_word")).alias("first_word"),
         F.when(F.col("shard").isNotNull(), F.col("n_words")).alias("n_words"),

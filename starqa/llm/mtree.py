@@ -8,7 +8,7 @@ d(q, x)^2 = |q|^2 + M^2 - 2 q.x falls as the inner product rises.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from starqa.sources.storage import stored
 
 #: Vectors of a page at most (about), of a leaf, and entries of an inner node.
-PAGE, LEAF, FAN = 1024, 32, 16
+PAGE, LEAF, FAN = 2048, 128, 16
 #: Queries searched together, routing vectors of the top level, vectors of the pilot.
 QUERY_BLOCK, MAX_PIVOTS, PILOT = 256, 4096, 512
 #: Scaled components must stay below this for products to fit 64 bits.
@@ -61,6 +61,12 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", x - y, x - y))
 
 
+def _products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of all rows; as floats where every sum is exact that way."""
+    size = float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * x.shape[1]
+    return (x.astype(np.float64) @ y.astype(np.float64).T).astype(np.int64) if size < 1 << 52 else x @ y.T
+
+
 @dataclass
 class Tree:
     """Nodes as ranges of entries; an entry of an inner node leads to another node.
@@ -126,46 +132,72 @@ def _spread(lifted: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
 
 
 def search_tree(
-    tree: Tree, lifted: np.ndarray, whole: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int,
-    bound: float, distance: Callable[[int], float],
-) -> list[tuple[int, int]]:
-    """Best first: the up to k (score, id) of this tree that may be among the best; ``bound``: no farther ones count."""
-    q = np.append(query.astype(np.float64), 0.0)
-    best: list[tuple[int, int]] = []  # a heap of (score, -id): its root is the worst
-    queue: list[tuple[float, int, float]] = [(0.0, 0, -1.0)]
+    tree: Tree, whole: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, bounds: np.ndarray, top: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best first for a block of queries: query index, row and score of all that may be among a query's k best.
+
+    ``bounds``: distances beyond which nothing counts for a query; they shrink
+    as results come in.  The queue holds a node, the queries that still need it
+    and their distances to its routing vector; the least bound comes first.
+    """
+    none = np.iinfo(np.int64).min
+    norms = np.einsum("ij,ij->i", queries, queries).astype(np.float64)
+    bounds = bounds.copy()
+    scores = np.full((len(queries), k), none)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    everyone = np.arange(len(queries))
+    queue: list[tuple] = [(0.0, 0, everyone, None, np.zeros(len(queries)))]
+    reach = lambda who: bounds[who] * (1 + SLACK) + SLACK
     while queue:
-        least, node, to_center = heapq.heappop(queue)
-        reach = bound * (1 + SLACK) + SLACK
-        if least > reach:
-            break
+        _, node, who, to_center, least = heapq.heappop(queue)
+        still = least <= reach(who)
+        who = who[still]
         a = tree.first[node]
         entries = np.arange(a, a + tree.count[node])
-        if to_center >= 0:  # the triangle inequality over stored distances, before any is computed
-            gap = np.abs(to_center - tree.to_parent[entries]) - tree.radius[entries]
-            entries = entries[gap <= reach]
-        if not len(entries):
+        if to_center is not None and len(who):  # the triangle inequality over stored distances, before any is computed
+            gap = np.abs(to_center[still][:, None] - tree.to_parent[entries]) - tree.radius[entries]
+            near = gap <= reach(who)[:, None]
+            entries, who = entries[near.any(axis=0)], who[near.any(axis=1)]
+        if not len(entries) or not len(who):
             continue
         rows = tree.row[entries]
+        score = _products(queries[who], whole[rows])
         if tree.child[a] >= 0:
-            apart = _apart(lifted[rows], q)
-            for e, d in zip(entries.tolist(), apart.tolist(), strict=True):
-                if (low := d - tree.radius[e]) <= reach:
-                    heapq.heappush(queue, (max(low, 0.0), int(tree.child[e]), d))
+            apart = np.sqrt(np.maximum((norms[who] + top)[:, None] - 2.0 * score, 0.0))
+            low = np.maximum(apart - tree.radius[entries], 0.0)
+            wanted = low <= reach(who)[:, None]
+            for i, e in enumerate(entries.tolist()):
+                if (some := np.flatnonzero(wanted[:, i])).size:
+                    lows = low[some, i]
+                    heapq.heappush(queue, (float(lows.min()), int(tree.child[e]), who[some], apart[some, i], lows))
             continue
-        for score, vec in zip((whole[rows] @ query).tolist(), ids[rows].tolist(), strict=True):
-            if vec == own:
-                continue
-            if len(best) < k:
-                heapq.heappush(best, (score, -vec))
-            elif (score, -vec) > best[0]:
-                heapq.heapreplace(best, (score, -vec))
-        if len(best) == k:
-            bound = min(bound, distance(best[0][0]))
-    return [(score, -vec) for score, vec in best]
-
-
-def _distance(norm: float, top: float) -> Callable[[int], float]:
-    return lambda score: float(np.sqrt(max(norm + top - 2.0 * score, 0.0)))
+        score = np.where(ids[rows][None, :] == own[who][:, None], none, score)
+        best = np.concatenate((scores[who], score), axis=1)
+        scores[who] = np.partition(best, best.shape[1] - k, axis=1)[:, -k:]
+        worst = scores[who].min(axis=1)
+        at, column = np.nonzero((score >= worst[:, None]) & (score > none))
+        found.append((who[at], rows[column], score[at, column]))
+        distance = np.sqrt(np.maximum(norms[who] + top - 2.0 * worst, 0.0))
+        bounds[who] = np.where(worst > none, np.minimum(bounds[who], distance), bounds[who])
+    if not found:
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    query, row, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    enough = score >= scores.min(axis=1)[query]
+    query, row, score = query[enough], row[enough], score[enough]
+    order = np.lexsort((ids[row], -score, query))
+    query, row, score = query[order], row[order], score[order]
+    top_k = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[top_k], row[top_k], score[top_k]
+
+
+def _bounds(queries: np.ndarray, own: np.ndarray, sample: np.ndarray, ids: np.ndarray, k: int, top: float) -> np.ndarray:
+    """Distance of each query to its k-th best of a sample; infinite if there are fewer."""
+    if len(ids) <= k:
+        return np.full(len(queries), np.inf)
+    norms = np.einsum("ij,ij->i", queries, queries).astype(np.float64)
+    apart = np.sqrt(np.maximum((norms + top)[:, None] - 2.0 * _products(queries, sample), 0.0))
+    apart[own[:, None] == ids[None, :]] = np.inf
+    return np.partition(apart, k - 1, axis=1)[:, k - 1]
 
 
 def build_pages(vectors: DataFrame, pivots: np.ndarray, pivot_dims: np.ndarray, page: int) -> DataFrame:
@@ -238,18 +270,7 @@ def top_inner_products(
     pilot = spark.sparkContext.broadcast(sample[:PILOT])
     top = float(top)
 
-    def with_bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            bounds = []
-            for own, v in zip(pdf["vec_id"], pdf["v"], strict=True):
-                q = np.array(v, dtype=np.int64)
-                scores = sorted((int(q @ np.array(x, dtype=np.int64)) for i, x in pilot.value if i != own and len(x) == len(v)), reverse=True)
-                apart = _distance(float(q @ q), top)
-                bounds.append(apart(scores[k - 1]) if len(scores) >= k else float("inf"))
-            yield pdf.assign(bound=bounds)
-
     asked = plain.where(is_query)
-    asked = asked.mapInPandas(with_bounds, "vec_id long, v array<long>, bound double")
     blocks = max(1, -(-n // (50 * QUERY_BLOCK)))
     blocks = (
         asked.withColumn("dim", F.size("v").cast("long"))
@@ -257,7 +278,6 @@ def top_inner_products(
         .groupBy("block", "dim")
         .agg(
             F.collect_list("vec_id").alias("query_ids"),
-            F.collect_list("bound").alias("bounds"),
             F.flatten(F.collect_list("v")).alias("queries"),
         )
         .withColumn("page_no", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, n_pages - 1)).cast("long"))))
@@ -266,19 +286,15 @@ def top_inner_products(
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                ids = np.array(r.ids, dtype=np.int64)
+                ids, own = np.array(r.ids, dtype=np.int64), np.array(r.query_ids, dtype=np.int64)
                 whole = np.array(r.flat, dtype=np.int64).reshape(len(ids), -1)
-                lifted = _lifted(whole, top)
-                tree = build_tree(lifted)
-                queries = np.array(r.queries, dtype=np.int64).reshape(len(r.query_ids), -1)
-                found = [
-                    (own, vec, score)
-                    for own, q, bound in zip(r.query_ids, queries, r.bounds, strict=True)
-                    for score, vec in search_tree(
-                        tree, lifted, whole, ids, q, own, k, bound, _distance(float(q @ q), top)
-                    )
-                ]
-                yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype="int64")
+                queries = np.array(r.queries, dtype=np.int64).reshape(len(own), -1)
+                few = [(i, v) for i, v in pilot.value if len(v) == whole.shape[1]]
+                known = np.array([v for _, v in few], dtype=np.int64).reshape(len(few), -1)
+                bounds = _bounds(queries, own, known, np.array([i for i, _ in few], dtype=np.int64), k, top)
+                tree = build_tree(_lifted(whole, top))
+                query, row, score = search_tree(tree, whole, ids, queries, own, k, bounds, top)
+                yield pd.DataFrame({"query_id": own[query], "vec_id": ids[row], "score": score})
 
     found = blocks.join(pages, ["page_no", "dim"]).repartition("page_no", "block").mapInPandas(
         search, "query_id long, vec_id long, score long"
