@@ -141,10 +141,11 @@ def _profile_sql() -> str:
     for name, spec in ORDERS.items():
         targets = {c: f"{t}({k})" for c, t, k in spec.foreign_keys}
         for position, column in enumerate(spec.schema.split(", "), 1):
-            column = column.split()[0]
+            column, kind = column.split()
             selects.append(
                 f"select '{name}' as table_name, {position} as position, "
-                f"'{column}' as column_name, count(*) as row_count, "
+                f"'{column}' as column_name, '{kind}' as data_type, count(*) as row_count, "
+                f"count(distinct {column}) as distinct_count, "
                 f"count(*) - count({column}) as null_count, "
                 f"'{targets.get(column, '')}' as refers_to, "
                 f"{str(column == spec.primary_key).lower()} as is_primary_key from {name}"
@@ -202,7 +203,17 @@ ORACLES["a7_date_range"] = (
     "select min(o_orderdate) as first_date, max(o_orderdate) as last_date from orders"
 )
 ORACLES["p7_threshold"] = with_parts(["eligible"], "select * from eligible")
-ORACLES["p9_display_names"] = with_parts(["cust"], "select * from cust")
+ORACLES["p9_display_names"] = """
+select c_custkey as customer_id, trim(
+    coalesce(case when c_custkey % 5 <> 0 then split_part(c_name, '#', 1) end, '') || ' '
+    || coalesce(case when c_custkey % 7 <> 0 then split_part(c_name, '#', 2) end, '')) as customer_name
+from customer"""
+ORACLES["p6_null_dimension"] = with_parts(
+    ["lines", "cust"],
+    """select country, p_brand as genre_name, cast(round(sum(rev), 2) as double) as revenue
+    from lines join cust using (customer_id) join part on p_partkey = l_partkey
+    where customer_id % 4 <> 0 and l_partkey % 6 <> 0 group by all""",
+)
 ORACLES["a3_country_genre_revenue"] = with_parts(
     ["lines", "cust"],
     """select country, p_brand as genre_name, cast(round(sum(rev), 2) as double) as revenue
@@ -241,8 +252,9 @@ ORACLES["q5_top_artists"] = ranked_oracle("q5v", "year")
 ORACLES["q6_top_genre_by_country"] = ranked_oracle("q6v", "country", (1,))
 ORACLES["u2_losing_genres"] = with_parts(
     ["q6v"],
-    """select distinct p_brand as genre_name from part where p_brand not in
-    (select key from r where country = 'NATION_7')""",
+    """select country, genre_name from (select distinct country from r) cross join
+    (select distinct p_brand as genre_name from part)
+    where (country, genre_name) not in (select (country, key) from r)""",
     {"r": ranking("q6v", "country", (1,))},
 )
 ORACLES["q7_top_countries"] = ranked_oracle("q7v", "year")
@@ -347,6 +359,8 @@ def _task_select(name: str, chosen_value: str) -> str:
         '{spec["difficulty"]}' as difficulty, {params_json(name)} as params_json,
         {filled(spec["question"], values)} as question,
         {filled(spec["answer_format"], values)} as answer_format,
+        {filled(spec["question"], values)} || chr(10) || chr(10) || 'Answer format: '
+        || {filled(spec["answer_format"], values)} as prompt,
         '{spec["answer_type"]}' as answer_type, {k} as k,
         {"cast(value as double)" if numeric else "cast(null as double)"} as value,
         cast({fixed.MONEY_ABS_TOL if money or not numeric else 0} as double) as abs_tol,
@@ -435,15 +449,13 @@ ORACLES["v8_diversity"] = over_tasks(
     DRAWN,
 )
 ORACLES["t7_describe"] = over_tasks(
-    f"""select task_id, 0 as part, {CENTS.format("value")} as text from tasks
+    f"""select task_id, 0 as lo, '' as order_key, {CENTS.format("value")} as text from tasks
     where answer_type = 'numeric'
-    union all select task_id, 0, '{{' || string_agg(display, ', ' order by display) || '}}'
+    union all select task_id, 0, '', '{{' || string_agg(display, ', ' order by display) || '}}'
     from truth where role = 'member' group by task_id
-    union all select task_id, 0, string_agg(line, '; ' order by lo) from (
-      select task_id, lo, case when lo = hi then (lo + 1) || '. ' || max(display)
-        else (lo + 1) || '-' || (hi + 1) || '. '
-          || string_agg(display, ' | ' order by order_key) || ' (tied)' end as line
-      from truth where role = 'winner' group by task_id, lo, hi) group by task_id"""
+    union all select task_id, lo, order_key, case when lo = hi then (lo + 1) || '. ' || display
+        else (lo + 1) || '-' || (hi + 1) || '. ' || display || ' (tied)' end
+      from truth where role = 'winner'"""
 )
 
 
@@ -684,10 +696,14 @@ from events group by 1"""
 # ---------------------------------------------------------------- data quality
 
 ORACLES["v1_repeated_keys"] = " union all ".join(
-    f"""select '{name}' as table_name, cast({spec.primary_key} as varchar) as key, count(*) as n
-    from {name} group by {spec.primary_key} having count(*) > 1"""
-    for name, spec in ORDERS.items()
-    if spec.primary_key
+    [
+        f"""select '{name}' as table_name, cast({spec.primary_key} as varchar) as key, count(*) as n
+        from {name} group by {spec.primary_key} having count(*) > 1"""
+        for name, spec in ORDERS.items()
+        if spec.primary_key
+    ]
+    + ["""select 'numbered_lines', l_orderkey || ':' || l_linenumber, count(*)
+       from lineitem group by 2 having count(*) > 1"""]
 )
 ORACLES["v2_key_mismatches"] = " union all ".join(
     f"""select '{name}.{column} -> {parent}.{key}' as reference, 'orphan' as kind,

@@ -14,7 +14,6 @@ from starqa.functions.money import cents_text
 from starqa.operators.draw import weighted_draw
 from starqa.operators.ranking import first_per_group
 from starqa.plans.tasks import TaskSet
-from starqa.sources.storage import spread
 
 DRAW_SEED = 7
 VARIANTS = 8
@@ -77,7 +76,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def sql_log(spark: SparkSession, folder: str) -> DataFrame:
-    orders = spread(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"))
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").repartition("o_orderkey")
     return orders.select(F.col("o_orderkey").alias("query_id"), F.expr(LOGGED_SQL).alias("sql"))
 
 
@@ -161,7 +160,7 @@ def answer_variants(task_set: TaskSet) -> DataFrame:
 def drawn_answers(spark: SparkSession, folder: str, task_set: TaskSet) -> DataFrame:
     """One answer per order, to a drawn task: answer_id, task_id, variant, answer."""
     drawn = weighted_draw(
-        spread(table(spark, folder, "orders").select(F.col("o_orderkey").alias("answer_id"))),
+        table(spark, folder, "orders").select(F.col("o_orderkey").alias("answer_id")).repartition("answer_id"),
         "answer_id",
         task_set.tasks.select("task_id", "ticks"),
         "task_id",

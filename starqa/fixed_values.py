@@ -18,7 +18,9 @@ RANKED_LIST = "ranked_list"
 ENTITY_SET = "entity_set"
 NUMERIC = "numeric"
 CATEGORICAL = "categorical"
-ANSWER_TYPES = (RANKED_LIST, ENTITY_SET, NUMERIC, CATEGORICAL)
+
+# Stands between the question and the answer format of a prompt.
+BEFORE_FORMAT = "\n\nAnswer format: "
 
 # --------------------------------------------------------------------------
 # Numeric limits and tolerances

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 
 def as_money(col: Column) -> Column:
-    """A price read as double, as an exact two-decimal number."""
-    return col.cast("decimal(12,2)")
+    """A price or rate read as double, as an exact number: six decimals, so nothing is cut to cents.
+
+    What a double has beyond six decimals is its own inexactness: 0.995 is
+    stored as 0.99499....  A value too large for it ends the job.
+    """
+    return col.cast("decimal(18,6)")
 
 
 def round_cents(col: Column) -> Column:

@@ -15,19 +15,16 @@ def duplicate_keys(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
 
 
 def unique_on(df: DataFrame, key: str) -> DataFrame:
-    """The same rows, failing the job if ``key`` repeats.
+    """The same rows, failing the job if ``key`` repeats (nulls do not count).
 
-    The check groups on the join key, so the join that follows reuses its
-    partitioning, and repeated rows are combined before they are shuffled.
+    One value, the least key that repeats, is looked up once and compared by
+    every row; the rows stay as they are, so a join that follows is a plain
+    one and Spark can split its hot keys.
     """
-    rest = [c for c in df.columns if c != key]
-    grouped = df.groupBy(key).agg(
-        F.count("*").alias("_n"), F.first(F.struct(*rest)).alias("_row")
-    )
-    checked = F.when((F.col("_n") == 1) | F.col(key).isNull(), F.col("_row")).otherwise(
-        F.raise_error(F.concat(F.lit(f"many-to-one join: {key} repeats: "), F.col(key).cast("string")))
-    )
-    return grouped.select(key, checked.alias("_row")).select(key, "_row.*")
+    least = duplicate_keys(df.filter(F.col(key).isNotNull()), key).agg(F.min(key).cast("string"))
+    message = F.concat(F.lit(f"many-to-one join: {key} repeats: "), least.scalar())
+    # The message is null, and the filter true, if no key repeats.
+    return df.filter(F.when(message.isNotNull(), F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
 
 
 def join_many_to_one(

@@ -49,9 +49,10 @@ def unexpected_counts(counts: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def profile_tables(tables: dict[str, DataFrame], layout: dict[str, TableSpec]) -> DataFrame:
-    """One row per table and column: type, keys, row count and null count.
+    """One row per table and column: type, keys, row count, null count, nullability, distinct count.
 
-    One pass over each table.
+    Rows and nulls are counted in one pass over each table; Spark counts the
+    distinct values of all its columns in another that expands them.
     """
     profiles = []
     for name, df in tables.items():
@@ -61,6 +62,7 @@ def profile_tables(tables: dict[str, DataFrame], layout: dict[str, TableSpec]) -
         counted = df.agg(
             F.count("*").alias("row_count"),
             *[F.count_if(F.col(f.name).isNull()).alias(f"nulls_{i}") for i, f in enumerate(fields)],
+            *[F.count_distinct(F.col(f.name)).alias(f"distinct_{i}") for i, f in enumerate(fields)],
         )
         entries = F.array(
             *[
@@ -71,6 +73,8 @@ def profile_tables(tables: dict[str, DataFrame], layout: dict[str, TableSpec]) -
                     F.lit(f.name == spec.primary_key).alias("is_primary_key"),
                     F.lit(targets.get(f.name)).cast("string").alias("refers_to"),
                     F.col(f"nulls_{i}").alias("null_count"),
+                    F.col(f"distinct_{i}").alias("distinct_count"),
+                    F.lit(f.nullable).alias("nullable"),
                 )
                 for i, f in enumerate(fields)
             ]

@@ -209,10 +209,16 @@ def genre_universe(star: Star) -> DataFrame:
     return star.genre.select("genre_name").filter("genre_name is not null").distinct()
 
 
-def losing_genres(star: Star, country: str) -> DataFrame:
-    """Candidates that are not a winner of the given country."""
-    best = top_genre_in_country(star, country).select(F.col("key").alias("genre_name"))
-    return genre_universe(star).join(best, "genre_name", "left_anti")
+def losing_genres(star: Star, country: str | None = None) -> DataFrame:
+    """Candidates that are not a winner of their country: ``country, genre_name``, all countries in one job.
+
+    Every country that has winners is paired with the names of the genre
+    dimension, held as one array.
+    """
+    best = top_genre_in_country(star, country).select("country", F.col("key").alias("genre_name"))
+    names = genre_universe(star).agg(F.array_sort(F.collect_list("genre_name"))).scalar()
+    candidates = best.select("country").distinct().withColumn("genre_name", F.explode(names))
+    return candidates.join(best, ["country", "genre_name"], "left_anti")
 
 
 def revenue_increase(
@@ -237,7 +243,7 @@ def revenue_increase(
             F.collect_list(F.struct("year", round_cents(F.col("revenue"))))
         ).alias("by_year")
     )
-    # Read off the same rows, so that finding the years needs no further pass.
+    # Without stored aggregates the years cost another pass over the same sums.
     active = by_customer.select(F.explode(F.map_keys("by_year")).alias("year"))
     zero = F.lit(0).cast("decimal(38,2)")
     paired = (

@@ -1,7 +1,7 @@
 """The task table: every viable question with its truth.
 
 ``tasks``   one row per viable question: task_id, template_id, difficulty,
-            params_json, question, answer_format, answer_type, k, value,
+            params_json, question, answer_format, prompt, answer_type, k, value,
             abs_tol, rel_tol, notes, n_truth, ticks
 ``truth``   one row per correct entity: task_id, role, lo, hi, key, display,
             order_key, aliases
@@ -14,6 +14,7 @@ uniform choice of template and parameters arrives at it, times ``TICKS``.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import cached_property, reduce
@@ -135,7 +136,11 @@ REGISTRY = {
 def chosen_templates(
     template_ids: Sequence[str] | None = None, difficulties: Sequence[str] | None = None
 ) -> list[str]:
-    """Templates by id and tier; unknown ids and an empty choice are errors."""
+    """Templates by id and tier; unknown ids and an empty choice are errors.
+
+    An id that is named more than once is in the list as often: its tasks are
+    made once and weigh so many times as much.
+    """
     unknown = sorted(set(template_ids or ()) - set(REGISTRY))
     if unknown:
         raise KeyError(f"Unknown template id(s): {unknown}")
@@ -207,7 +212,7 @@ def _entities(answers: DataFrame, template_id: str) -> DataFrame:
 
 
 def _literal(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
 
 def fill(text: str, values: dict[str, str]) -> str:
@@ -221,8 +226,12 @@ def fill(text: str, values: dict[str, str]) -> str:
     return f"concat({', '.join(parts)})"
 
 
-def _rendered(summary: DataFrame, chosen: list[str], choices: Choices) -> DataFrame:
-    """Task rows from one row per task: params, value, n_truth, winners."""
+def _rendered(summary: DataFrame, weights: dict[str, int], choices: Choices) -> DataFrame:
+    """Task rows from one row per task: params, value, n_truth, winners.
+
+    ``weights``: how often each template was named.
+    """
+    chosen = list(weights)
     values = {name: f"params.{name}" for name in PARAMS} | {
         "winners": "winners",
         "count": "coalesce(cast(value as bigint), n_truth)",
@@ -247,6 +256,7 @@ def _rendered(summary: DataFrame, chosen: list[str], choices: Choices) -> DataFr
         "to_json(params) as params_json",
         f"{text('question')} as question",
         f"{text('answer_format')} as answer_format",
+        f"concat({text('question')}, {_literal(fixed.BEFORE_FORMAT)}, {text('answer_format')}) as prompt",
         f"{constant('answer_type')} as answer_type",
         f"coalesce(params.k, {one}) as k",
         "cast(value as double) as value",
@@ -254,7 +264,7 @@ def _rendered(summary: DataFrame, chosen: list[str], choices: Choices) -> DataFr
         f"{tolerance(fixed.COUNT_REL_TOL, fixed.MONEY_REL_TOL)} as rel_tol",
         f"{text('notes')} as notes",
         "cast(n_truth as int) as n_truth",
-        f"{by_template(lambda name: _ticks(name, choices))} as ticks",
+        f"{by_template(lambda name: f'{weights[name]} * {_ticks(name, choices)}')} as ticks",
     )
 
 
@@ -273,7 +283,8 @@ def build_tasks(
     Everything is written to the shared folder once, aggregates included, so
     that draws, grading and reports start from small tables.
     """
-    chosen = chosen_templates(template_ids, difficulties)
+    weights = Counter(chosen_templates(template_ids, difficulties))
+    chosen = list(weights)
     star = with_stored_aggregates(star, {n for name in chosen for n in REGISTRY[name].needs})
     choices = Choices(star)
     numeric = [name for name in chosen if _kind(name) == fixed.NUMERIC]
@@ -306,7 +317,7 @@ def build_tasks(
             )
             .withColumn("value", F.lit(None).cast("decimal(38,2)"))
         )
-    tasks = _rendered(_union(summaries), chosen, choices)
+    tasks = _rendered(_union(summaries), weights, choices)
     return TaskSet(
         tasks=stored(tasks, "tasks"),
         truth=truth.drop("template_id", "params"),
@@ -366,49 +377,27 @@ def param_grid(star: Star) -> DataFrame:
     return _union(rows)
 
 
-NAMES_PER_PART = 1000
-
-
 def describe(task_set: TaskSet) -> DataFrame:
-    """Truth as text: ``task_id, part, text``.
+    """Truth as text, line by line: ``task_id, lo, order_key, text``.
 
-    ``5.0``, ``{A, B}`` or ``1. A; 2-3. B | C (tied)``.  A tie group of more
-    than ``NAMES_PER_PART`` names is spread over further parts, each with the
-    same band heading, so that no row and no task holds an unbounded list.
+    ``5.0`` for a number; ``{A, B}`` for a set, which the rules bound; and for a
+    ranking one line per name, ``1. A`` or ``2-3. B (tied)``.  Lines of a task
+    are in order of ``lo`` and ``order_key``.  Nothing is gathered that grows
+    with a tie, so one rule holds for every size.
     """
     numeric = task_set.tasks.filter(F.col("answer_type") == fixed.NUMERIC).select(
-        "task_id", F.lit(0).cast("bigint").alias("part"), cents_text(F.col("value")).alias("text")
+        "task_id", F.lit(0).cast("bigint").alias("lo"), F.lit("").alias("order_key"), cents_text(F.col("value")).alias("text")
     )
-    size = F.col("hi") - F.col("lo") + 1
-    parts = F.ceil(size / NAMES_PER_PART)
-    part = F.when(size <= NAMES_PER_PART, F.lit(0).cast("bigint")).otherwise(
-        F.pmod(F.xxhash64("key"), parts)
-    )
-    bands = (
-        task_set.truth.withColumn("part", part)
-        .groupBy("task_id", "role", "part", "lo", "hi")
-        .agg(F.array_sort(F.collect_list(F.struct("order_key", "display"))).alias("names"))
-    )
-    names = F.transform("names", lambda n: n["display"])
-    first = (F.col("lo") + 1).cast("string")
-    line = (
-        F.when(
-            F.col("role") == "member",
-            F.concat(F.lit("{"), F.array_join(F.array_sort(names), ", "), F.lit("}")),
-        )
-        .when(F.col("lo") == F.col("hi"), F.concat(first, F.lit(". "), F.array_join(names, " | ")))
-        .otherwise(
-            F.concat(
-                first, F.lit("-"), (F.col("hi") + 1).cast("string"), F.lit(". "),
-                F.array_join(names, " | "), F.lit(" (tied)"),
-            )
-        )
+    members = task_set.truth.filter(F.col("role") == "member").groupBy("task_id").agg(
+        F.array_join(F.array_sort(F.collect_list("display")), ", ").alias("names")
     )
-    lines = bands.select("task_id", "part", "lo", line.alias("line"))
-    listed = lines.groupBy("task_id", "part").agg(
-        F.array_sort(F.collect_list(F.struct("lo", "line"))).alias("lines")
+    sets = members.select(
+        "task_id", F.lit(0).cast("bigint").alias("lo"), F.lit("").alias("order_key"),
+        F.concat(F.lit("{"), "names", F.lit("}")).alias("text"),
     )
-    texts = listed.select(
-        "task_id", "part", F.array_join(F.transform("lines", lambda n: n["line"]), "; ").alias("text")
+    first, last = ((F.col(c) + 1).cast("string") for c in ("lo", "hi"))
+    line = F.when(F.col("lo") == F.col("hi"), F.concat(first, F.lit(". "), "display")).otherwise(
+        F.concat(first, F.lit("-"), last, F.lit(". "), "display", F.lit(" (tied)"))
     )
-    return numeric.unionByName(texts)
+    ranked = task_set.truth.filter(F.col("role") == "winner").select("task_id", "lo", "order_key", line.alias("text"))
+    return numeric.unionByName(sets).unionByName(ranked)

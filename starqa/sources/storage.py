@@ -20,22 +20,6 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The same rows over all cores, if the input is too small to be split so.
-
-    For costly row-wise work on a few small files, which Spark reads in fewer
-    pieces than there are cores.  Inputs that fill one split per core are left
-    as they are, so at scale nothing is shuffled.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes")
-    )
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * split else df
-
-
 def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """The same rows, read back from a table written to the shared folder.
 

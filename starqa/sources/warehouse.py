@@ -153,7 +153,7 @@ def orders_store(spark: SparkSession, folder: str, last_name: str | None = None)
     """
     tables = read_tables(spark, folder, ORDERS)
     price = as_money(F.col("l_extendedprice"))
-    kept = (F.lit(1) - F.col("l_discount").cast("decimal(4,2)")).cast("decimal(4,2)")
+    kept = (F.lit(1) - as_money(F.col("l_discount"))).cast("decimal(8,6)")
     countries = tables["nation"].select(
         F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("country")
     )
@@ -177,7 +177,7 @@ def orders_store(spark: SparkSession, folder: str, last_name: str | None = None)
             F.col("l_partkey").alias("track_id"),
             F.col("l_suppkey").alias("artist_id"),
             price.alias("unit_price"),
-            F.col("l_quantity").cast("decimal(12,2)").alias("quantity"),
+            as_money(F.col("l_quantity")).alias("quantity"),
             (price * kept).alias("revenue"),
         ),
         track=tables["part"].select(

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from starqa.operators.sales import sales_view
 from starqa.plans import questions
 from starqa.sources.schemas import MUSIC_STORE
-from starqa.sources.storage import shared_folder, spread, stored
+from starqa.sources.storage import shared_folder, stored
 from starqa.sources.warehouse import music_store
 
 
@@ -30,10 +30,3 @@ def test_stored_tables_go_to_the_shared_folder(spark):
     assert back.columns == ["id", "year"] and sorted(back.collect()) == sorted(df.collect())
     folder = shared_folder(spark)
     assert all(folder in path for path in back.inputFiles())
-
-
-def test_spread_moves_small_inputs_only(spark):
-    small = spark.range(100, numPartitions=1)
-    assert spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    large = spark.range(10**12, numPartitions=3)
-    assert spread(large).rdd.getNumPartitions() == 3

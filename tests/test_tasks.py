@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from starqa.operators.draw import numbered_draws, weighted_draw
 from starqa.operators.grading import score_answers
 from starqa.plans import quality
-from starqa.plans.tasks import TICKS, build_tasks, chosen_templates, describe, flat_entities, param_grid
+from starqa.plans.tasks import TICKS, TaskSet, build_tasks, chosen_templates, describe, flat_entities, param_grid
 
 
 @pytest.fixture(scope="module")
@@ -57,12 +57,14 @@ def test_weights(music, by_template):
 
 
 def test_describe(music_tasks, by_template):
-    texts = {r.task_id: r.text for r in describe(music_tasks).collect()}
+    texts = {}
+    for r in sorted(describe(music_tasks).collect(), key=lambda r: (r.lo, r.order_key)):
+        texts[r.task_id] = f"{texts[r.task_id]}; {r.text}" if r.task_id in texts else r.text
     text = lambda name, params: texts[by_template[name][params].task_id]
     assert text("total_revenue_in_year", '{"year":2021}') == "7.94"
     assert text("customer_count_in_country", '{"country":"Brazil"}') == "2.0"
     assert text("top_customers_by_revenue", '{"year":2021,"k":3}') == (
-        "1-2. Ana Silva | Bo Silva (tied); 3-4. Cy Lund | Di (tied)"
+        "1-2. Ana Silva (tied); 1-2. Bo Silva (tied); 3-4. Cy Lund (tied); 3-4. Di (tied)"
     )
     assert text("artists_with_no_sales_in_year", '{"genre":"Latin","year":2023}') == "{AC/DC}"
     assert text("top_genre_in_country", '{"country":"Norway"}') == "1. Rock"
@@ -73,6 +75,25 @@ def test_aliases(music_tasks):
     assert {r.alias for r in rows} == {"ana silva", "1", "silva"}
 
 
+def test_describe_lists_a_large_tie_name_by_name(spark):
+    truth = spark.range(2500).select(
+        F.lit("t").alias("task_id"), F.lit("winner").alias("role"), F.lit(0).cast("bigint").alias("lo"),
+        F.lit(2499).cast("bigint").alias("hi"), F.lpad(F.col("id").cast("string"), 20, "0").alias("order_key"),
+        F.concat(F.lit("n"), "id").alias("display"),
+    )
+    tasks = spark.createDataFrame([], "task_id string, answer_type string, value double")
+    lines = describe(TaskSet(tasks, truth, None)).orderBy("lo", "order_key").collect()
+    assert [r.text for r in lines] == [f"1-2500. n{i} (tied)" for i in range(2500)]
+
+
+def test_prompt_and_repeated_templates(music, by_template):
+    once = by_template["total_revenue_in_year"]['{"year":2021}']
+    assert once.prompt == f"{once.question}\n\nAnswer format: {once.answer_format}"
+    twice = build_tasks(music, ["total_revenue_in_year", "total_revenue_in_year"]).tasks
+    row = {r.params_json: r for r in twice.collect()}['{"year":2021}']
+    assert twice.count() == len(by_template["total_revenue_in_year"]) and row.ticks == 2 * once.ticks
+
+
 def test_template_filters(music):
     assert chosen_templates(["top_artists_by_revenue"]) == ["top_artists_by_revenue"]
     assert len(chosen_templates(difficulties=["single_table"])) == 3
