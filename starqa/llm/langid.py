@@ -160,33 +160,24 @@ class Scorer:
         self.values = np.zeros((REMEMBERED, log_p.shape[1]))
 
     def texts(self, texts: list[str | None]) -> np.ndarray:
+        """One row per text; words new to all of them are looked at together."""
         lists = [t.encode().split() if t else [] for t in texts]
-        return np.stack([self._sum(words) for words in self._known(lists)]) if lists else np.zeros((0, self.log_p.shape[1]))
-
-    def _known(self, lists: list[list[bytes]]) -> Iterator[list[np.ndarray]]:
-        """For each text the values of its words, in slices that fit the memory."""
-        half = REMEMBERED // 2
-        for words in lists:
-            parts = []
-            for a in range(0, max(len(words), 1), half):
-                some = words[a : a + half]
-                new = list({w for w in some if w not in self.place})
-                if len(self.place) + len(new) > REMEMBERED:
-                    self.place.clear()
-                    new = list(set(some))
-                for b in range(0, len(new), 10_000):
-                    group = new[b : b + 10_000]
-                    lattice = Lattice(group, self.automaton, len(self.log_p) - 1)
-                    first = len(self.place)
-                    self.values[first : first + len(group)] = lattice.forward(self.log_p[lattice.piece])[lattice.finish]
-                    self.place.update(zip(group, range(first, first + len(group)), strict=True))
-                at = np.fromiter(map(self.place.__getitem__, some), dtype=np.int64, count=len(some))
-                parts.append(self.values[at].sum(axis=0))
-            yield parts
-
-    @staticmethod
-    def _sum(parts: list[np.ndarray]) -> np.ndarray:
-        return np.sum(parts, axis=0)
+        words = list(chain.from_iterable(lists))
+        new = list(set(words).difference(self.place))
+        if len(self.place) + len(new) > len(self.values):
+            new = list(set(words))
+            self.place.clear()
+            self.values = np.zeros((max(REMEMBERED, len(new)), self.log_p.shape[1]))
+        for a in range(0, len(new), 10_000):
+            group = new[a : a + 10_000]
+            lattice = Lattice(group, self.automaton, len(self.log_p) - 1)
+            first = len(self.place)
+            self.values[first : first + len(group)] = lattice.forward(self.log_p[lattice.piece])[lattice.finish]
+            self.place.update(zip(group, range(first, first + len(group)), strict=True))
+        at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
+        ends = np.cumsum([len(x) for x in lists])
+        sums = np.concatenate((np.zeros((1, self.values.shape[1])), np.cumsum(self.values[at], axis=0)))
+        return sums[ends] - sums[np.concatenate(([0], ends[:-1]))]
 
 
 def identify(
