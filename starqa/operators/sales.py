@@ -108,6 +108,10 @@ def artist_year_revenue(star: Star, year: int | None = None) -> DataFrame:
             track_year_sales(star, year)
             .join(star.tracks("artist_name"), "track_id")
         )
+    return _by_artist(per_key)
+
+
+def _by_artist(per_key: DataFrame) -> DataFrame:
     return (
         per_key.filter(F.col("artist_name").isNotNull())
         .groupBy("artist_name", "year")
@@ -132,6 +136,10 @@ def country_genre_revenue(star: Star, country: str | None = None) -> DataFrame:
         .groupBy("country", "track_id")
         .agg(F.sum("revenue").alias("revenue"))
     )
+    return _by_country_genre(star, per_track)
+
+
+def _by_country_genre(star: Star, per_track: DataFrame) -> DataFrame:
     return (
         per_track.join(star.tracks("genre_name"), "track_id")
         .filter(F.col("genre_name").isNotNull())
@@ -140,22 +148,58 @@ def country_genre_revenue(star: Star, country: str | None = None) -> DataFrame:
     )
 
 
-AGGREGATES = {
-    "customer_year": customer_year_revenue,
-    "track_year": track_year_sales,
-    "artist_year": artist_year_revenue,
-    "country_genre": country_genre_revenue,
+#: What each stored aggregate is summed by.
+SETS = {
+    "customer_year": ("customer_id", "year"),
+    "track_year": ("track_id", "year"),
+    "artist_year": ("artist_id", "year"),
+    "country_genre": ("country", "track_id"),
 }
 
 
-def with_stored_aggregates(star: Star, names: Collection[str] = tuple(AGGREGATES)) -> Star:
+def with_stored_aggregates(star: Star, names: Collection[str] = tuple(SETS)) -> Star:
     """The star with the named aggregates written down once.
 
-    For several questions over one star: lines are read once per aggregate
-    instead of once or more per question, and each question then starts from
-    the aggregate.
+    For several questions over one star: lines meet their headers once, are
+    summed by all the keys in one aggregation, and each question then starts
+    from its part of the table of sums.
     """
-    for name, aggregate in AGGREGATES.items():
-        if name in names and name not in star.stored:
-            star = replace(star, stored={**star.stored, name: stored(aggregate(star), name)})
+    wanted = [n for n in SETS if n in names and n not in star.stored]
+    if not wanted:
+        return star
+    keyed = "artist_id" in star.line.columns
+    sets = {n: SETS[n] for n in dict.fromkeys(n if keyed or n != "artist_year" else "track_year" for n in wanted)}
+    headers = star.invoices().select("invoice_id", "customer_id", "year")
+    if "country_genre" in sets:
+        headers = headers.join(star.customer.select("customer_id", "country"), "customer_id", "left")
+    keys = list(dict.fromkeys(key for by in sets.values() for key in by))
+    in_line = [k for k in ("track_id", "artist_id") if k in keys]
+    lines = star.line.select("invoice_id", *in_line, "quantity", "revenue").join(headers, "invoice_id")
+    # The key that only one of the sets has tells them apart.
+    sign = {"customer_year": "customer_id", "artist_year": "artist_id", "country_genre": "country"}
+    name = F.lit("track_year")
+    for n in sets:
+        if n in sign:
+            name = F.when(F.grouping(sign[n]) == 0, n).otherwise(name)
+    sums = lines.groupingSets([list(by) for by in sets.values()], *keys).agg(
+        F.sum("quantity").alias("quantity"), F.sum("revenue").alias("revenue"), name.alias("aggregate")
+    )
+    table = stored(sums, "sums", partition_by="aggregate")
+    part = lambda n: table.filter(F.col("aggregate") == n)
+    ready = {}
+    if "customer_year" in sets:
+        ready["customer_year"] = part("customer_year").select("customer_id", "year", "revenue")
+    if "track_year" in sets:
+        ready["track_year"] = part("track_year").select("track_id", "year", "quantity", "revenue")
+    star = replace(star, stored={**star.stored, **ready})
+    if "artist_year" in wanted:
+        if keyed:
+            per_key = part("artist_year").join(star.artist, "artist_id")
+            by_artist = _by_artist(per_key)
+        else:
+            by_artist = artist_year_revenue(star)
+        star = replace(star, stored={**star.stored, "artist_year": by_artist})
+    if "country_genre" in wanted:
+        per_track = part("country_genre").filter(F.col("country").isNotNull())
+        star = replace(star, stored={**star.stored, "country_genre": _by_country_genre(star, per_track)})
     return star
