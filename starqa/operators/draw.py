@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 BUCKETS = 256
 # Least number of cells the number line is cut into for matching.
 CELLS = 1024
+# Cells are joined to larger ones, FAN at a time, so often.
+FAN, LEVELS = 32, 5
 HASH_DIGITS = 15
 
 
@@ -46,15 +48,39 @@ def with_intervals(items: DataFrame, key: str, ticks: str) -> DataFrame:
     )
 
 
+def _covering(first: str, last: str) -> str:
+    """SQL for the cells of all levels that make up the cells from ``first`` to ``last``.
+
+    At each level those that lie in the range but whose next larger cell does
+    not: at most 2 * FAN, so however heavy an item is its list stays short.
+    """
+    parts = []
+    for level in range(LEVELS):
+        width, wider = FAN**level, FAN ** (level + 1)
+        a, b = f"(({first} + {width - 1}) div {width})", f"(({last} + 1) div {width} - 1)"
+        if level == LEVELS - 1:
+            found = f"if({a} <= {b}, sequence({a}, {b}), array())"
+        else:
+            # Where the larger cells inside begin and end, in cells of this level.
+            begin, end = f"(({first} + {wider - 1}) div {wider} * {FAN})", f"(({last} + 1) div {wider} * {FAN} - 1)"
+            left = f"if({a} < {begin}, sequence({a}, {begin} - 1), array())"
+            right = f"if({end} < {b}, sequence({end} + 1, {b}), array())"
+            whole = f"if({a} <= {b}, sequence({a}, {b}), array())"
+            found = f"if({begin} <= {end}, concat({left}, {right}), {whole})"
+        parts.append(f"transform({found}, c -> struct({level} as level, c as cell))")
+    return f"concat({', '.join(parts)})"
+
+
 def weighted_draw(
     draws: DataFrame, draw_id: str, items: DataFrame, key: str, ticks: str, seed: int
 ) -> DataFrame:
     """One item for each draw, with probability proportional to its ticks.
 
-    Draws fall evenly over the cells of the line and an item is listed under
-    each cell it touches, so matching is an equi-join on the cell whatever the
-    weights are.  There are at least as many cells as items, so a cell holds
-    few of them.  Fails when there is nothing to draw from.
+    Draws fall evenly over the cells of the line.  An item is listed under the
+    cells it touches, written as few cells of several levels; a draw looks for
+    its cell of each level.  So matching is an equi-join whatever the weights
+    are.  There are at least as many cells as items, so a cell holds few of
+    them.  Fails when there is nothing to draw from.
     """
     total = F.coalesce(items.agg(F.sum(ticks)).scalar(), F.lit(0)).cast("decimal(18,0)")
     span = F.lit(16**HASH_DIGITS).cast("decimal(20,0)")
@@ -66,21 +92,33 @@ def weighted_draw(
         draws.withColumn("_total", total)
         .withColumn("_cells", cells)
         .withColumn("_place", F.floor(uniform(seed, F.col(draw_id)) * F.col("_total") / span).cast("bigint"))
-        .withColumn("_cell", cell(F.col("_place")))
-        .drop("_total", "_cells")
+        .withColumn("_own", cell(F.col("_place")))
+        .withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+        .withColumn("_cell", F.expr(f"_own div cast(power({FAN}, _level) as bigint)"))
+        .drop("_total", "_cells", "_own")
     )
     listed = (
         with_intervals(items, key, ticks)
         .withColumn("_total", total)
         .withColumn("_cells", cells)
-        .withColumn("_at", F.explode(F.sequence(cell(F.col("first")), cell(F.col("last")))))
-        .drop("_total", "_cells", ticks)
+        .withColumn("_from", cell(F.col("first")))
+        .withColumn("_to", cell(F.col("last")))
+        .withColumn("_at", F.explode(F.expr(_covering("_from", "_to"))))
+        .drop("_total", "_cells", "_from", "_to", ticks)
     )
-    # Every draw has its item unless there is none at all.
-    here = (F.col("_cell") == F.col("_at")) & F.col("_place").between(F.col("first"), F.col("last"))
+    here = (
+        (F.col("_level") == F.col("_at.level")) & (F.col("_cell") == F.col("_at.cell"))
+        & F.col("_place").between(F.col("first"), F.col("last"))
+    )
+    # Every draw has its item, at one level, unless there is none at all.
     drawn = placed.join(listed, here, "left").drop("_cell", "_place", "_at", "first", "last")
-    found = F.coalesce(F.col(key), F.raise_error(F.lit("Could not draw a task: none is viable.")))
-    return drawn.withColumn(key, found)
+    missing = (total == 0) & (F.col("_level") == 0)
+    fail = F.raise_error(F.lit("Could not draw a task: none is viable.")).cast(items.schema[key].dataType)
+    return (
+        drawn.withColumn(key, F.when(missing, fail).otherwise(F.col(key)))
+        .filter(F.col(key).isNotNull())
+        .drop("_level")
+    )
 
 
 def numbered_draws(spark: SparkSession, n: int) -> DataFrame:

@@ -163,3 +163,12 @@ def test_draw_from_nothing_fails(spark):
     items = spark.createDataFrame([], "item string, ticks bigint")
     with pytest.raises(Exception, match="none is viable"):
         draw(spark, items, 3, 1)
+
+
+def test_one_item_with_nearly_all_the_weight(spark):
+    """Its list of cells stays short, and every draw still has exactly one item."""
+    items = spark.range(20_000).select(
+        F.col("id").cast("string").alias("item"), F.when(F.col("id") == 7, 10**9).otherwise(1).cast("bigint").alias("ticks")
+    )
+    rows = weighted_draw(numbered_draws(spark, 2000), "draw_id", items, "item", "ticks", 3).collect()
+    assert len(rows) == 2000 and sum(r["item"] == "7" for r in rows) > 1990
