@@ -169,8 +169,14 @@ def score_answers(
     )
     kind = F.col("answer_type")
     listed = kind.isin(fixed.RANKED_LIST, fixed.ENTITY_SET, fixed.CATEGORICAL)
+    joined = answers.join(wanted, "task_id", "left")
+    # A number is scored as it stands; only the others have names to look up.
+    number = numeric_score(parse_numeric(F.col("answer")), F.col("value"), F.col("abs_tol"), F.col("rel_tol"))
+    by_number = joined.filter(kind == fixed.NUMERIC).select(
+        "answer_id", "task_id", "answer_type", F.coalesce(number, F.lit(0.0)).alias("score")
+    )
     parsed = (
-        answers.join(wanted, "task_id", "left")
+        joined.filter(~F.coalesce(kind == fixed.NUMERIC, F.lit(False)))
         .withColumn("_items", F.when(listed, parse_list(F.col("answer"))))
         # a name that is blank once cleaned cannot answer a categorical question
         .withColumn(
@@ -182,17 +188,15 @@ def score_answers(
         .withColumn("_k", F.coalesce(F.nullif("k", F.lit(0)), F.col("n_truth")))
         .withColumn("_n_items", F.size("_items"))
         .withColumn("_n_named", F.size(F.array_remove(F.array_distinct("_norms"), "")))
-        .withColumn("_number", F.when(kind == fixed.NUMERIC, parse_numeric(F.col("answer"))))
-        .withColumn(
-            "_numeric",
-            numeric_score(F.col("_number"), F.col("value"), F.col("abs_tol"), F.col("rel_tol")),
-        )
         .withColumn("_longest", longest_alias(universe).scalar())
         .withColumn("_probe", F.explode_outer(_probes(F.col("_longest"))))
     )
-    kept = ["task_id", "answer_type", "n_truth", "_k", "_n_items", "_n_named", "_numeric"]
+    kept = ["task_id", "answer_type", "n_truth", "_k", "_n_items", "_n_named"]
     probed = parsed.select(
-        "answer_id", *kept, F.col("_probe.scope").alias("scope"), F.col("_probe.pos").alias("pos"),
+        "answer_id", *kept,
+        # An answer without names looks under a scope that is nobody's, not all of them under null.
+        F.coalesce("_probe.scope", F.concat(F.lit("\n"), F.col("answer_id").cast("string"))).alias("scope"),
+        F.col("_probe.pos").alias("pos"),
         F.col("_probe.norm").alias("alias"),
     )
     found = probed.join(_lookup(tasks, truth, universe), ["scope", "alias"], "left")
@@ -228,12 +232,12 @@ def score_answers(
     )
     ranked_score = F.when(F.col("_k") > 0, _ranked_hits() / F.col("_k")).otherwise(0.0)
     score = (
-        F.when(kind == fixed.NUMERIC, F.col("_numeric"))
-        .when(kind == fixed.ENTITY_SET, set_score)
+        F.when(kind == fixed.ENTITY_SET, set_score)
         .when(kind == fixed.CATEGORICAL, named_score)
         .when(kind == fixed.RANKED_LIST, ranked_score)
         .otherwise(0.0)
     )
-    return per_answer.select(
+    by_name = per_answer.select(
         "answer_id", "task_id", "answer_type", F.coalesce(score, F.lit(0.0)).alias("score")
     )
+    return by_number.unionByName(by_name)
