@@ -693,6 +693,24 @@ select case when event_type <> 'error' then 'ok' else {samples.ERROR_TYPE} end a
     count(*) filter (event_id % 61 > 50) as truncated, max(value) as slowest_s
 from events group by 1"""
 
+# Every segment is one item of the answer, so no two items name the same customer: the
+# first customer of a segment, in order of the ranking, is the one its item stands for.
+ORACLES["g4b_ranked_shared_alias"] = over_tasks(
+    """select t.task_id as answer_id, t.task_id, t.answer_type, count(hit.pos) / cast(t.k as double) as score
+    from tasks t left join (
+      select task_id, k, pos from (
+        select truth.task_id, ranked.k, pos, lo, hi, row_number() over (
+            partition by truth.task_id, pos order by lo, order_key) as n
+        from truth join tasks ranked on ranked.task_id = truth.task_id
+            and ranked.template_id = 'top_customers_by_revenue'
+        join customer on c_custkey = try_cast(key as bigint)
+        join (select c_mktsegment as segment, row_number() over (order by c_mktsegment) - 1 as pos
+            from (select distinct c_mktsegment from customer)) on segment = c_mktsegment)
+      where n = 1 and pos < k and pos between lo and hi) hit on hit.task_id = t.task_id
+    where t.template_id = 'top_customers_by_revenue'
+    group by t.task_id, t.answer_type, t.k"""
+)
+
 # ---------------------------------------------------------------- data quality
 
 ORACLES["v1_repeated_keys"] = " union all ".join(

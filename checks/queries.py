@@ -454,10 +454,7 @@ def g4_ranked(spark, folder, tasks):
 
 @query
 def g4b_ranked_shared_alias(spark, folder):
-    """Customers answered by market segment, an alias that many of them share.
-
-    No SQL: which customer a segment stands for depends on the items before it.
-    """
+    """Customers answered by market segment, an alias that many of them share."""
     star = orders_store(spark, folder, last_name="c_mktsegment")
     tasks = build_tasks(star, ["top_customers_by_revenue"])
     ranked = tasks.tasks.select("task_id")
