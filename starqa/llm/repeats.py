@@ -25,9 +25,9 @@ from starqa.llm.common import fresh
 
 WINDOW = 35
 #: Rows of the sketch; cells of a block; cells of the whole sketch at most.
-ROWS, BLOCK_CELLS, MAX_CELLS = 2, 1 << 16, 1 << 30
+ROWS, BLOCK_CELLS, MAX_CELLS = 2, 1 << 18, 1 << 30
 #: Cells that a task gathers before it hands them on; bytes of text worked on together.
-GATHERED, CHUNK = 1 << 22, 1 << 20
+GATHERED, CHUNK = 1 << 21, 1 << 18
 _GOLDEN = 0x9E3779B97F4A7C15
 _WORD_BASE, _BYTE_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 
@@ -101,24 +101,29 @@ def _groups(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.R
 
 
 def _packed(cells: np.ndarray) -> bytes:
-    """Sorted cells of a block as differences, low bytes first, compressed."""
-    steps = np.diff(cells, prepend=0).astype("<u2")
-    return zstandard.compress(steps.view(np.uint8).reshape(-1, 2).T.tobytes(), 1)
+    """Sorted cells of a block as differences, low bytes first, compressed; nothing for none."""
+    if not len(cells):
+        return b""
+    steps = np.diff(cells, prepend=0).astype("<u4")
+    return zstandard.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    steps = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(2, -1).T
-    return np.cumsum(np.ascontiguousarray(steps).view("<u2").ravel().astype(np.int64))
+    if not data:
+        return np.zeros(0, dtype=np.int64)
+    steps = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(4, -1).T
+    return np.cumsum(np.ascontiguousarray(steps).view("<u4").ravel().astype(np.int64))
 
 
 def _partial_sketch(row_cells: int, window: int, text: str):
     """Per block of cells: those hit in this partition once, and those hit twice or more."""
 
     def emit(gathered: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        cells = np.sort(np.concatenate(gathered))
-        new = np.flatnonzero(np.diff(cells, prepend=-1))
+        cells = np.concatenate(gathered)
+        cells.sort()
+        new = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
         often = np.diff(np.append(new, len(cells))) > 1
-        cells = cells[new]
+        cells = cells[new].astype(np.int64)
         edges = np.arange(cells[0] // BLOCK_CELLS, cells[-1] // BLOCK_CELLS + 2)
         cuts = np.searchsorted(cells, edges * BLOCK_CELLS)
         blocks, once, twice = [], [], []
@@ -138,7 +143,7 @@ def _partial_sketch(row_cells: int, window: int, text: str):
         for _, texts in _groups(batches, text):
             for cells in Windows(texts, window).cells(row_cells):
                 if len(cells):
-                    gathered.append(cells)
+                    gathered.append(cells.astype(np.uint32))
                     size += len(cells)
             if size >= GATHERED:
                 yield from emit(gathered)
@@ -151,25 +156,18 @@ def _partial_sketch(row_cells: int, window: int, text: str):
 
 def _merged_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For the blocks of this partition: one bit per cell, whether it was hit twice or more in all."""
-    hit: dict[int, np.ndarray] = {}
-    often: dict[int, np.ndarray] = {}
+    hits: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, once, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if block not in hit:
-                hit[block], often[block] = np.zeros(BLOCK_CELLS // 8, np.uint8), np.zeros(BLOCK_CELLS // 8, np.uint8)
-            for cells, many in ((_unpacked(once), False), (_unpacked(twice), True)):
-                bits = np.zeros(BLOCK_CELLS, dtype=np.uint8)
-                bits[cells] = 1
-                bits = np.packbits(bits)
-                often[block] |= bits if many else bits & hit[block]
-                hit[block] |= bits
-    blocks = sorted(often)
-    for at in range(0, len(blocks), 256):
-        some = blocks[at : at + 256]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some, pa.int64()), pa.array([zstandard.compress(often[b].tobytes(), 1) for b in some], pa.binary())],
-            names=["block", "bits"],
-        )
+            own = hits.setdefault(block, np.zeros(BLOCK_CELLS, np.uint8))
+            single = _unpacked(once)
+            own[single] = np.minimum(own[single] + 1, 2)
+            own[_unpacked(twice)] = 2
+    blocks = sorted(hits)
+    for at in range(0, len(blocks), 64):
+        some = blocks[at : at + 64]
+        bits = [zstandard.compress(np.packbits(hits[b] > 1).tobytes(), 1) for b in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(bits, pa.binary())], names=["block", "bits"])
 
 
 class Sketch:
@@ -213,7 +211,7 @@ def window_sketch(texts: DataFrame, text: str, window: int) -> Sketch:
         .repartition(parts, "block")
         .mapInArrow(_merged_sketch, "block long, bits binary")
     )
-    return Sketch({r["block"]: bytes(r["bits"]) for r in merged.toLocalIterator()}, row_cells)
+    return Sketch({r["block"]: bytes(r["bits"]) for r in merged.collect()}, row_cells)
 
 
 def _mark(text: str) -> Column:
