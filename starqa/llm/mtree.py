@@ -290,7 +290,7 @@ def top_inner_products(
                 whole = np.array(r.flat, dtype=np.int64).reshape(len(ids), -1)
                 queries = np.array(r.queries, dtype=np.int64).reshape(len(own), -1)
                 few = [(i, v) for i, v in pilot.value if len(v) == whole.shape[1]]
-                known = np.array([v for _, v in few], dtype=np.int64).reshape(len(few), -1)
+                known = np.array([v for _, v in few], dtype=np.int64).reshape(len(few), whole.shape[1])
                 bounds = _bounds(queries, own, known, np.array([i for i, _ in few], dtype=np.int64), k, top)
                 tree = build_tree(_lifted(whole, top))
                 query, row, score = search_tree(tree, whole, ids, queries, own, k, bounds, top)
