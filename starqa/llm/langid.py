@@ -25,7 +25,7 @@ from starqa.llm.vocabulary import LITERAL, SPACE, Pieces, load_pieces
 
 UNDETERMINED = "und"
 #: Distinct words that a task counts before it turns them into piece counts; words whose likelihoods a worker remembers.
-COUNTED, REMEMBERED = 100_000, 300_000
+COUNTED, REMEMBERED = 400_000, 600_000
 #: Added to each expected count.
 SMOOTHING = 0.05
 _LETTER = re.compile(r"[^\W\d_]")
