@@ -230,10 +230,18 @@ def near_duplicate_classes(
     return rows.join(classes, F.col("fp") == F.col("of")).drop("of")
 
 
-def one_of_each_class(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with the smallest id of each class, one row each, all columns as they were."""
-    classes = near_duplicate_classes(documents, doc_id, text)
-    kept = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark", "mark2")).alias("k"))
+def one_of_each_class(
+    documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """The documents with the smallest id of each class of near copies, one row each, all columns as they were.
+
+    Classes are those of ``nearcopies``: fingerprints of texts with a similarity
+    of 0.8 differ in about 10 of 64 bits, far more than anchors can cover.
+    """
+    from starqa.llm.nearcopies import near_copy_classes
+
+    classes = near_copy_classes(documents, doc_id, text, shingle, similarity)
+    kept = classes.groupBy("root").agg(F.min("k").alias("k"))
     kept = kept.select(F.col("k.mark").alias("_mark"), F.col("k.mark2").alias("_mark2"))
     row, mark, mark2 = (fresh(documents, n) for n in ("_row", "_m", "_n"))
     keys = identity(doc_id, text)

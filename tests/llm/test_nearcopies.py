@@ -1,0 +1,72 @@
+"""Near copies against comparing all pairs of texts by their words."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from conftest import SMALL
+from starqa.llm import simhash
+
+
+def shingles(text, size):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def kept_by_hand(rows, size, p, q):
+    """Ids of the first of each class, linking all pairs with p / q or more of the shingles in common."""
+    rows = sorted(rows)
+    sets = [shingles(t, size) for _, t in rows]
+    owner = list(range(len(rows)))
+
+    def root(i):
+        while owner[i] != i:
+            i = owner[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if q * len(sets[i] & sets[j]) >= p * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                owner[b] = a
+    return {rows[i][0] for i in range(len(rows)) if root(i) == i}
+
+
+def changed(words, n, rng):
+    words = list(words)
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    return words
+
+
+def made(seed):
+    """Groups of near copies of all lengths, a common passage, copies of copies, and exact copies."""
+    rng = random.Random(seed)
+    passage = [f"p{i}" for i in range(20)]
+    texts = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([1, 4, 5, 8, 9, 12, 30, 60, 150]))]
+        base += passage * rng.randint(0, 1)
+        for _ in range(rng.randint(1, 12)):
+            words = changed(base, rng.randint(0, 1 + len(base) // 12), rng)
+            texts.append(words if rng.random() < 0.7 else words[rng.randint(0, len(words) // 6) :])
+            if rng.random() < 0.3:
+                texts += [changed(texts[-1], 1, rng), texts[-1]]
+    rng.shuffle(texts)
+    return [(i, " ".join(t).upper() if i % 9 == 0 else "  ".join(t)) for i, t in enumerate(texts)] + [(9000, ""), (9001, None)]
+
+
+@pytest.mark.parametrize("seed, size, similarity, p, q", [(1, 5, 0.8, 4, 5), (2, 3, 0.6, 3, 5)])
+def test_kept_equals_brute_force(spark, seed, size, similarity, p, q):
+    rows = made(seed)
+    kept = simhash.one_of_each_class(spark.createDataFrame(rows, "doc_id long, text string"), shingle=size, similarity=similarity)
+    ids = [r.doc_id for r in kept.collect()]
+    assert len(ids) == len(set(ids)) and set(ids) == kept_by_hand(rows, size, p, q)
+    assert 20 < len(ids) < len(rows) * 0.9
+
+
+def test_pipeline_stage_keeps_no_near_copies(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect()}
+    assert kept == kept_by_hand([(r.doc_id, r.text) for r in docs.collect()], 5, 4, 5)
