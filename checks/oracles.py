@@ -6,6 +6,7 @@ from string import Formatter
 
 from checks import samples
 from checks.queries import SQL_CONSTRUCTS
+from checks.samples import JSON_TEXTS
 from starqa import fixed_values as fixed
 from starqa.sources.schemas import ORDERS
 
@@ -530,6 +531,20 @@ parts as (select kind, id, case when len(ls) > 1 then ls else
 items as (select kind, id, list_filter(list_transform(ps, lambda x: {cleaned("x")}),
     lambda x: x <> '') as its from parts)
 select kind, id, unnest(range(len(its))) as pos, unnest(its) as item from items"""
+ORACLES["x3b_parse_list_json"] = f"""
+with texts as (
+    select 'event' as kind, event_id as id, props as t from events
+    {"".join(f"union all select '{k}', event_id, printf('{t}', event_id, event_type, user_id) from events " for k, t in JSON_TEXTS.items())}),
+lists as (select kind, id, t, case when t like '[%' then cast(t as json) else
+    list_filter(list_transform(json_keys(t), lambda k: json_extract(t, '$."' || k || '"')),
+      lambda v: json_type(v) = 'ARRAY')[1] end as l from (select kind, id, {stripped("t")} as t from texts)),
+listed as (select kind, id, case when l is null then string_split(t, ',') else
+    list_transform(cast(l as json[]), lambda v: case when v is null or json_type(v) = 'NULL' then 'None'
+      when json_type(v) = 'BOOLEAN' then upper(cast(v as varchar)[1]) || cast(v as varchar)[2:]
+      else v->>'$' end) end as ps from lists),
+items as (select kind, id, list_transform(list_filter(ps, lambda x: {stripped("x")} <> ''),
+    lambda x: {cleaned("x")}) as its from listed)
+select kind, id, unnest(range(len(its))) as pos, unnest(its) as item from items"""
 ORACLES["x4_clean_item"] = f"""select doc_id, pos, {cleaned("line")} as item from (
     select doc_id, unnest(range(len(ls))) as pos, unnest(ls) as line
     from (select doc_id, string_split(text, chr(10)) as ls from documents))"""

@@ -395,6 +395,16 @@ def x3_parse_list(spark, folder):
     return texts.select("kind", "id", F.posexplode(parse_list(F.col("text"))).alias("pos", "item"))
 
 
+@query
+def x3b_parse_list_json(spark, folder):
+    """The event texts that x3 leaves out, and objects and lists of JSON made of each event."""
+    events = table(spark, folder, "events").repartition("event_id")
+    kinds = {"event": F.col("props")} | {k: F.format_string(t, "event_id", "event_type", "user_id") for k, t in samples.JSON_TEXTS.items()}
+    made = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), t.alias("text")) for k, t in kinds.items())))
+    texts = events.select(F.col("event_id").alias("id"), made.alias("made")).select("id", "made.*")
+    return texts.select("kind", "id", F.posexplode(parse_list(F.col("text"))).alias("pos", "item"))
+
+
 @query
 def x4_clean_item(spark, folder):
     lines = table(spark, folder, "documents").repartition("doc_id").select(

@@ -168,3 +168,11 @@ def drawn_answers(spark: SparkSession, folder: str, task_set: TaskSet) -> DataFr
         DRAW_SEED,
     ).withColumn("variant", (F.col("answer_id") % VARIANTS).cast("int"))
     return drawn.join(answer_variants(task_set), ["task_id", "variant"])
+
+
+#: JSON texts by kind, of an event's id, type and user.
+JSON_TEXTS = {
+    "object": '{"k": %d, "in": {"a": [1]}, "names": ["1. %s", "", " %d (note)", null, true, 7, "a, b"], "more": ["x"]}',
+    "array": '["%d", "%s", [1], %d, false]',
+    "no list": '{"k": %d, "name": "%s, %d"}',
+}
