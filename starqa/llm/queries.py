@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starqa.llm import chat, hmm, langid, mixing, mtree, pieces, quality, repeats, sharding, simhash
+from starqa.llm import chat, hmm, langid, mixing, mtree, pieces, quality, repeats, secrets, sharding, simhash
 from starqa.llm.common import is_training, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,17 @@ def op9_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
 def op10_simhash_classes(spark: SparkSession, folder: str) -> DataFrame:
     classes = simhash.near_duplicate_classes(table(spark, folder, "documents"))
     return classes.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op13_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, folder, "documents"))
+    of = lambda kind: F.filter("found", lambda s: s["kind"] == kind)
+    base = F.filter("found", lambda s: s["kind"] != "random")
+    return found.select(
+        "doc_id",
+        *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(secrets.written(base), 256).alias("base_sha256"),
+        secrets.written(F.col("found")).alias("spans"),
+        F.size(of("random")).cast("long").alias("n_random"),
+    )
