@@ -64,3 +64,45 @@ select query_id, rank::int as rank, vec_id, score from (
     select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
 ) where rank <= 5
 """
+
+#: crc32 of an id's digits: each byte is taken in, then eight steps of one bit (-1) follow.
+ORACLES["op12_prefix_trie"] = r"""
+with ids as (
+    select conv_id, list_reduce(list_concat([4294967295::bigint], flatten(list_transform(
+        string_split(conv_id::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda a, b: case when b >= 0 then xor(a, b) when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end) as state
+    from (select distinct conv_id from conversations where conv_id is not null)
+), turns as (
+    select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+        row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos
+    from conversations where conv_id is not null
+), marked as (
+    select conv_id, pos, sha256(length(role) || ':' || role || text) as mark, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words
+    from turns
+), listed as (
+    select conv_id, list(mark order by pos) as marks, list(words order by pos) as words from marked group by conv_id
+), rebuilt as (
+    select c.conv_id, list_concat(coalesce(b.marks[1:h], []), c.marks[h + 1:]) as marks, list_concat(coalesce(b.words[1:h], []), c.words[h + 1:]) as words
+    from (select *, (xor(state, 4294967295) % 4)::int as h from ids join listed using (conv_id)) c
+    left join listed b on b.conv_id = c.conv_id - c.conv_id % 20
+), steps as (
+    select conv_id, d, len(marks) as n, array_to_string(marks[1:d], ',') as path, array_to_string(marks[1:d - 1], ',') as before,
+        case when d > 0 then words[d] else 0 end as w
+    from rebuilt, unnest(range(0, len(marks) + 1)) as t(d)
+), nodes as (
+    select path, d, min(conv_id) as conv_id, any_value(before) as before, count(*) as n_convs, any_value(w) as w,
+        sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (n = d), '')) as ends_sha256
+    from steps group by path, d
+), counted as (
+    select a.*, p.conv_id as parent_conv_id,
+        (select count(*) from nodes c where c.d = a.d + 1 and c.before = a.path) as n_children
+    from nodes a left join nodes p on p.d = a.d - 1 and p.path = a.before and a.d > 0
+), summed as (
+    select a.path, a.d, sum((c.n_convs - 1) * c.w)::bigint as saved_tokens, count(*) filter (c.n_children = 0) as n_leaves
+    from counted a join (select c.d, c.n_convs, c.w, c.n_children, s.path as above, s.d as above_d
+        from counted c join steps s on s.conv_id = c.conv_id and s.d <= c.d) c on c.above = a.path and c.above_d = a.d
+    group by a.path, a.d
+)
+select conv_id, d as depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+from counted join summed using (path, d)
+"""
