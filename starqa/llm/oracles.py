@@ -65,6 +65,41 @@ select query_id, rank::int as rank, vec_id, score from (
 ) where rank <= 5
 """
 
+ORACLES["op11_phrase_mining"] = r"""
+with pieces as (
+    select lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from (select coalesce(lang, 'und') as lang, coalesce(text, '') as text from documents)
+), listed as (
+    select lang, regexp_extract_all(piece, '[^\x20\x09]+') as words from pieces
+), totals as (
+    select lang, sum(len(words))::bigint as n from listed group by lang
+), grams as (
+    select lang, k, array_to_string(words[i:i + k - 1], ' ') as phrase
+    from listed, unnest(range(1, 6)) as t(k), unnest(range(1, len(words) - k + 2)) as u(i)
+), counts as (
+    select lang, k, phrase, count(*) as f from grams group by lang, k, phrase having count(*) >= 100
+), candidates as (
+    select lang, k, phrase, f, string_split(phrase, ' ') as words from counts where k > 1
+), cuts as (
+    select c.lang, c.phrase, c.f as a, t.j, l.f as l, r.f as r, (1000::hugeint * c.f * n) // (l.f::hugeint * r.f) as score
+    from candidates c join totals using (lang), unnest(range(1, c.k)) as t(j)
+    join counts l on l.lang = c.lang and l.phrase = array_to_string(c.words[1:t.j], ' ')
+    join counts r on r.lang = c.lang and r.phrase = array_to_string(c.words[t.j + 1:], ' ')
+), inside as (
+    select distinct c.lang, array_to_string(c.words[i:i + m - 1], ' ') as phrase, c.f
+    from candidates c, unnest(range(2, c.k)) as t(m), unnest(range(1, c.k - m + 2)) as u(i)
+), kept as (
+    select c.* from candidates c where not exists (
+        select 1 from inside i where i.lang = c.lang and i.phrase = c.phrase and 100 * i.f >= 100 * c.f)
+), worst as (
+    select * from (select *, row_number() over (partition by lang, phrase order by score, j) as pick from cuts) where pick = 1
+), placed as (
+    select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score::bigint as score
+    from worst join kept using (lang, phrase) join totals using (lang)
+)
+select * from placed where rank <= 2000
+"""
+
 #: crc32 of an id's digits: each byte is taken in, then eight steps of one bit (-1) follow.
 ORACLES["op12_prefix_trie"] = r"""
 with ids as (

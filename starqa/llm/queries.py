@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starqa.llm import chat, hmm, langid, mixing, mtree, pieces, quality, repeats, secrets, sharding, simhash, trie
+from starqa.llm import chat, hmm, langid, mixing, mtree, phrases, pieces, quality, repeats, secrets, sharding, simhash, trie
 from starqa.llm.common import is_training, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +110,11 @@ def op10_simhash_classes(spark: SparkSession, folder: str) -> DataFrame:
     return classes.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op11_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
 @query
 def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     turns = trie.numbered_turns(table(spark, folder, "conversations"))
