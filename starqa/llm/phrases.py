@@ -34,29 +34,48 @@ SLICES = 32
 #: Ids of what is too rare, and of breaks.
 GAP = -1
 
-PIECE = "chunk long, lang string, own long, word string, a long, b long, times long, sequence binary"
-
-
-def _binary(ids: np.ndarray) -> bytes:
-    return ids.astype("<i4").tobytes()
-
-
-def _rows(chunk: int, lang: str | None, times: np.ndarray, sequence: np.ndarray, words=None, pairs=None) -> pa.RecordBatch:
-    """A row per entry of a chunk's dictionary, ``own`` its number there, and one with the sequence of those numbers."""
-    n = len(times)
-    more = lambda values, kind: pa.concat_arrays([pa.array(values, kind), pa.nulls(1, kind)])
-    a, b = pairs if pairs is not None else ([None] * n, [None] * n)
-    columns = [
-        pa.array([chunk] * (n + 1), pa.int64()),
-        pa.array([lang] * (n + 1), pa.string()),
-        more(np.arange(n), pa.int64()),
-        more([None] * n, pa.string()) if words is None else pa.concat_arrays([words, pa.nulls(1, pa.string())]),
-        more(a, pa.int64()),
-        more(b, pa.int64()),
-        more(times, pa.int64()),
-        pa.array([None] * n + [_binary(sequence)], pa.binary()),
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PIECE.split(", ")])
+#: Pairs that are merged in one task, about: a block of the line of all pairs.
+BLOCK = 1 << 20
+#: Spreads the second halves of pairs over a block's line; odd, so that it can be undone.
+SPREAD = 0x9E3779B1
+
+WORDS = "chunk long, lang string, own long, word string, times long, sequence binary"
+PAIRS = "chunk long, block long, base long, codes binary, times binary, sequence binary"
+COUNTED = "chunk long, block long, a long, b long, f long, j long, own array<long>, js array<long>"
+
+
+def _batch(schema: str, columns: list) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    fields = [f.split() for f in schema.split(", ")]
+    arrays = [pa.array(c, kinds[kind]) for (_, kind), c in zip(fields, columns, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in fields])
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 in seven bits a byte, the last byte of each below 128."""
+    values = values.astype(np.uint64)
+    lengths = np.ones(len(values), np.int64)
+    for bits in range(7, 64, 7):
+        lengths += values >= np.uint64(1 << bits)
+    ends = np.cumsum(lengths)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for i in range(int(lengths.max(initial=0))):
+        on = np.flatnonzero(lengths > i)
+        more = np.where(lengths[on] > i + 1, 128, 0)
+        out[ends[on] - lengths[on] + i] = (values[on] >> np.uint64(7 * i) & np.uint64(127)).astype(np.int64) | more
+    return out.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """What ``packed`` was given."""
+    raw = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(raw < 128) + 1
+    lengths = np.diff(ends, prepend=0)
+    values = np.zeros(len(ends), np.int64)
+    for i in range(int(lengths.max(initial=0))):
+        on = np.flatnonzero(lengths > i)
+        values[on] |= (raw[ends[on] - lengths[on] + i] & 127).astype(np.int64) << (7 * i)
+    return values
 
 
 def _slices(data: bytes) -> Iterator[bytes]:
@@ -86,7 +105,12 @@ def _word_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids = tokens.indices.to_numpy()[1:] - 1
                 times = np.bincount(ids[ids >= 0], minlength=len(tokens.dictionary) - 1)
                 if len(times):
-                    yield _rows(chunk, lang, times, ids, words=tokens.dictionary[1:].cast(pa.string()))
+                    n = len(times)
+                    words = pa.concat_arrays([tokens.dictionary[1:].cast(pa.string()), pa.nulls(1, pa.string())])
+                    yield _batch(WORDS, [
+                        [chunk] * (n + 1), [lang] * (n + 1), [*range(n), None], words,
+                        [*times.tolist(), None], [None] * n + [ids.astype("<i4").tobytes()],
+                    ])
                     chunk += 1
 
 
@@ -121,39 +145,111 @@ def tile_counts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return code >> 32, code & 0xFFFFFFFF, np.concatenate([*times, counted]), number
 
 
-def _pair_rows(key: tuple, pieces: pa.Table, ranks: pa.Table) -> pa.Table:
-    """The next sequence of a chunk: its numbers become ranks, neighbours that both have one become pairs.
+def _line(a: np.ndarray, b: np.ndarray, f: np.ndarray, before: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A pair's code, and its place on a line on which all pairs lie evenly.
 
-    Ranks are those of this chunk's own symbols in rising order of the ranks of
-    all, so that the frequent ones meet in the first tiles; they have 31 bits
-    whatever the number of symbols of all chunks is.
+    The first half has a stretch of the line as long as it is frequent (``f``,
+    after ``before``), the second half a place there by its spread number.  So
+    neither a frequent first half nor frequent pairs make one part of the line
+    crowded.  Codes rise along the line.
     """
-    ids = np.frombuffer(pieces.column("sequence")[0].as_py(), "<i4").astype(np.int64)
-    own, of_all = ranks.column("own").to_numpy(), np.unique(ranks.column("rank").to_numpy())
-    here = np.full(max(int(ids.max(initial=0)), int(own.max(initial=0))) + 2, GAP, np.int64)
-    here[own] = np.searchsorted(of_all, ranks.column("rank").to_numpy())
-    symbols = here[ids]  # GAP is the last entry, which is GAP
-    paired = np.flatnonzero((symbols[:-1] >= 0) & (symbols[1:] >= 0))
-    a, b, times, number = tile_counts(symbols[paired], symbols[paired + 1])
-    # Between two runs of pairs one gap is enough.
-    apart = np.flatnonzero(np.diff(paired) > 1) + 1
-    sequence = np.insert(number, apart, GAP)
-    batch = _rows(key[0].as_py(), pieces.column("lang")[0].as_py(), times, sequence, pairs=(of_all[a], of_all[b]))
-    return pa.Table.from_batches([batch if len(times) else batch.slice(0, 0)])
+    spread = b * SPREAD & ((1 << bits) - 1)
+    return a << bits | spread, before + f * (spread / (1 << bits))
+
+
+def _pair_rows(bits: int, blocks: int, total: int):
+    """Function for a chunk: its sequence and the ranks of its symbols give the next sequence and packed pairs by block."""
+
+    def rows(key: tuple, pieces: pa.Table, given: pa.Table) -> pa.Table:
+        none = _batch(PAIRS, [[]] * 6)
+        ids = np.frombuffer(pieces.column("sequence")[0].as_py(), "<i4").astype(np.int64)
+        flat = given.column("given").combine_chunks().flatten()
+        own, rank, f, before = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("own", "rank", "f", "before"))
+        if not len(own):
+            return pa.Table.from_batches([none])
+        # The chunk's own symbols, most frequent first, so that those meet in the first tiles.
+        order = np.argsort(rank)
+        here = np.full(max(int(ids.max(initial=0)), int(own.max())) + 2, GAP, np.int64)
+        here[own[order]] = np.arange(len(order))
+        rank, f, before = rank[order], f[order], before[order]
+        symbols = here[ids]  # GAP is the last entry, which is GAP
+        paired = np.flatnonzero((symbols[:-1] >= 0) & (symbols[1:] >= 0))
+        if not len(paired):
+            return pa.Table.from_batches([none])
+        a, b, times, number = tile_counts(symbols[paired], symbols[paired + 1])
+        codes, place = _line(rank[a], rank[b], f[a], before[a], bits)
+        order = np.argsort(codes)
+        codes, times = codes[order], times[order]
+        block = np.minimum((place[order] * (blocks / total)).astype(np.int64), blocks - 1)
+        final = np.empty(len(order), np.int64)
+        final[order] = np.arange(len(order))
+        # Between two runs of pairs one gap is enough.
+        apart = np.flatnonzero(np.diff(paired) > 1) + 1
+        sequence = np.insert(final[number], apart, GAP).astype("<i4").tobytes()
+        cuts = np.flatnonzero(np.diff(block, prepend=-1))
+        parts = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(block)]))
+        chunk, n = key[0].as_py(), len(parts)
+        return pa.Table.from_batches([_batch(PAIRS, [
+            [chunk] * (n + 1), [*block[cuts].tolist(), None], [*cuts.tolist(), None],
+            [*(packed(np.diff(codes[x:y], prepend=0)) for x, y in parts), None],
+            [*(packed(times[x:y]) for x, y in parts), None],
+            [None] * n + [sequence],
+        ])])
+
+    return rows
+
+
+def _block_rows(bits: int, least: int):
+    """Function for a block: its frequent pairs, and for each chunk which of its pairs these are."""
+    undo = pow(SPREAD, -1, 1 << bits) if bits else 0
+
+    def rows(key: tuple, parts: pa.Table) -> pa.Table:
+        block = key[0].as_py()
+        lists = [np.cumsum(unpacked(x)) for x in parts.column("codes").to_pylist()]
+        codes, which = np.unique(np.concatenate(lists), return_inverse=True)
+        times = np.concatenate([unpacked(x) for x in parts.column("times").to_pylist()])
+        f = np.zeros(len(codes), np.int64)
+        np.add.at(f, which, times)
+        frequent = np.flatnonzero(f >= least)
+        place = np.full(len(codes), GAP, np.int64)
+        place[frequent] = np.arange(len(frequent))
+        j = place[which]
+        n = len(frequent)
+        b = (codes[frequent] & ((1 << bits) - 1)) * undo & ((1 << bits) - 1)
+        out = [_batch(COUNTED, [
+            [None] * n, [block] * n, codes[frequent] >> bits, b, f[frequent], np.arange(n), [None] * n, [None] * n,
+        ])]
+        answers, start = [], 0
+        for chunk, base, codes_here in zip(parts.column("chunk").to_pylist(), parts.column("base").to_pylist(), lists):
+            mine = j[start : start + len(codes_here)]
+            start += len(codes_here)
+            at = np.flatnonzero(mine >= 0)
+            if len(at):
+                answers.append((chunk, block, None, None, None, None, at + base, mine[at]))
+        if answers:
+            out.append(_batch(COUNTED, list(zip(*answers))))
+        return pa.Table.from_batches(out)
+
+    return rows
 
 
 def ranked(frequent: DataFrame, order: list[Column]) -> DataFrame:
-    """The rows with ``rank``: 0, 1, ... in that order, without one task that sees them all."""
+    """The rows with ``rank`` (0, 1, ... in that order) and ``before``, the sum of ``f`` of all earlier ones.
+
+    No task sees them all.
+    """
     parts = int(frequent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = frequent.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     rows = stored(placed.withColumn("at", F.monotonically_increasing_id()), "frequent")
     rows = rows.withColumn("part", F.shiftright("at", 33))
     # A row per partition.
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("part").count()
-    starts = sizes.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    placed = rows.join(starts, "part").withColumn("rank", F.expr("start + at - (part << 33)"))
-    return stored(placed.drop("part", "at", "start"), "ranked")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"), F.sum("f").alias("sum"))
+    starts = sizes.select("part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("n", "sum")))
+    within = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("sum", F.coalesce(F.sum("f").over(within), F.lit(0))).join(starts, "part")
+    placed = placed.withColumn("rank", F.expr("n_before + at - (part << 33)")).withColumn("before", F.expr("sum_before + sum"))
+    return stored(placed.drop("part", "at", "sum", "n_before", "sum_before"), "ranked")
 
 
 def _lowest_score(n: Column) -> Column:
@@ -193,54 +289,69 @@ def collocations(
     frequency, and each chunk gets back only the ranks of its own words, so no
     task sees the whole vocabulary.  Pairs of neighbouring ranks are counted in
     tiles; frequent pairs get ranks and are the next symbols: neighbours that
-    overlap in all but one word are a phrase one word longer.  A phrase within a
-    chunk travels as one row, however often it occurs.
+    overlap in all but one word are a phrase one word longer.
+
+    A chunk's pairs travel as sorted, packed lists, one for each block of a line
+    on which all pairs lie evenly; about 2^20 pairs meet in a block, which tells
+    each chunk which of its pairs are frequent.  Ranks have 31 bits.
     """
     texts = documents.select(
         F.coalesce(F.col(lang).cast("string"), F.lit(UNDETERMINED)).alias("lang"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    pieces = stored(texts.mapInArrow(_word_rows, PIECE), "word-numbers")
+    pieces = stored(texts.mapInArrow(_word_rows, WORDS), "word-numbers")
     words = pieces.where(F.col("times") > 0)
-    counts = words.groupBy("lang", "word").agg(F.sum("times").alias("a"))
-    counts = stored(counts, "word-counts")
-    totals = counts.groupBy("lang").agg(F.sum("a").alias("n"))
-    known = ranked(counts.where(F.col("a") >= least), [F.desc("a"), F.col("lang"), F.col("word")])
-    known = known.select(
-        "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", "rank",
-        F.array("a").alias("pre"), F.array("a").alias("suf"),
+    counts = stored(words.groupBy("lang", "word").agg(F.sum("times").alias("f")), "word-counts")
+    totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
+    found = ranked(counts.where(F.col("f") >= least), [F.desc("f"), F.col("lang"), F.col("word")])
+    known = found.select(
+        "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", "rank",
+        F.array("f").alias("pre"), F.array("f").alias("suf"),
     )
-    ranks = words.join(known.select("lang", F.col("phrase").alias("word"), "rank"), ["lang", "word"])
+    symbol = F.struct("own", "rank", "f", "before")
+    given = words.join(found, ["lang", "word"]).groupBy(F.col("chunk").alias("of")).agg(F.collect_list(symbol).alias("given"))
     levels: list[DataFrame] = []
     inside: list[DataFrame] = []
     for length in range(2, longest + 1):
-        chunked = pieces.where(F.col("sequence").isNotNull()).select("chunk", "lang", "sequence")
-        given = ranks.select(F.col("chunk").alias("of"), "own", "rank")
+        symbols, total = found.agg(F.count("*"), F.coalesce(F.sum("f"), F.lit(0))).first()
+        if symbols >= 1 << 31:
+            raise ValueError("more frequent phrases than ranks")
+        bits, blocks = max(symbols - 1, 0).bit_length(), total // BLOCK + 1
+        chunked = pieces.where(F.col("sequence").isNotNull()).select("chunk", "sequence")
         both = chunked.groupBy("chunk").cogroup(given.groupBy("of"))
-        pieces = stored(both.applyInArrow(_pair_rows, PIECE), f"pair-numbers-{length}")
-        pairs = pieces.where(F.col("times") > 0)
-        frequent = pairs.groupBy("lang", "a", "b").agg(F.sum("times").alias("times")).where(F.col("times") >= least)
-        found = ranked(frequent, [F.desc("times"), F.col("a"), F.col("b")])
-        left = known.select(F.col("rank").alias("a"), "phrase", "pre")
+        pieces = stored(both.applyInArrow(_pair_rows(bits, blocks, max(total, 1)), PAIRS), f"pair-numbers-{length}")
+        lists = pieces.where(F.col("block").isNotNull()).select("chunk", "block", "base", "codes", "times")
+        counted = stored(lists.groupBy("block").applyInArrow(_block_rows(bits, least), COUNTED), f"pair-counts-{length}")
+        pairs = counted.where(F.col("chunk").isNull()).select("block", "a", "b", "f", "j")
+        found = ranked(pairs, [F.desc("f"), F.col("a"), F.col("b")])
+        left = known.select(F.col("rank").alias("a"), "lang", "phrase", "pre")
         right = known.select(F.col("rank").alias("b"), "last", "suf")
-        named = found.withColumnRenamed("times", "f").join(left, "a").join(right, "b").select(
+        named = found.select("a", "b", "f", "rank").join(left, "a").join(right, "b").select(
             "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "a", "b", "f", "rank",
             F.concat("pre", F.array("f")).alias("pre"), F.concat("suf", F.array("f")).alias("suf"),
         )
         named = stored(named, f"phrases-{length}")
         # What contains a phrase and is longer contains one that is longer by one word and no rarer.
         inside.append(named.select(F.col("a").alias("rank"), "f").union(named.select(F.col("b").alias("rank"), "f")))
-        ranks = pairs.join(found.select("a", "b", "rank"), ["a", "b"])
-        known = named.select("lang", "phrase", "last", F.col("f").alias("a"), "rank", "pre", "suf")
+        # A block has at most its pairs by ``least`` frequent ones.
+        ranks = found.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("j", "rank", "f", "before"))).alias("ranks"))
+        answers = counted.where(F.col("chunk").isNotNull()).select(F.col("chunk").alias("of"), "block", "own", "js")
+        of = lambda x: F.get("ranks", x["js"].cast("int"))
+        known_to = F.transform(
+            F.arrays_zip("own", "js"),
+            lambda x: F.struct(x["own"].alias("own"), *(of(x)[c].alias(c) for c in ("rank", "f", "before"))),
+        )
+        given = answers.join(ranks, "block").select("of", known_to.alias("given"))
+        known = named.select("lang", "phrase", "last", "f", "rank", "pre", "suf")
         levels.append(known)
     kept = []
     for known, longer in zip(levels, [*inside[1:], None]):
         if longer is not None:
             most = longer.groupBy("rank").agg(F.max("f").alias("longer"))
             known = known.join(most, "rank", "left").where(
-                F.col("longer").isNull() | (100 * F.col("longer") < INSIDE * F.col("a"))
+                F.col("longer").isNull() | (100 * F.col("longer") < INSIDE * F.col("f"))
             )
-        kept.append(known.select("lang", "phrase", "a", "pre", "suf"))
+        kept.append(known.select("lang", "phrase", F.col("f").alias("a"), "pre", "suf"))
     candidates = reduce(DataFrame.unionAll, kept).join(totals, "lang")
     worst = _lowest_score(F.col("n"))
     scored = candidates.withColumn("worst", worst).select(

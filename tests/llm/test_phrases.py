@@ -59,6 +59,7 @@ def texts(seed, count, vocabulary):
 def test_against_the_plain_version(spark, monkeypatch, seed, least, top):
     monkeypatch.setattr(phrases, "CHUNK", 3000)
     monkeypatch.setattr(phrases, "DENSE", 20)
+    monkeypatch.setattr(phrases, "BLOCK", 700)
     rows = texts(seed, 120, 40)
     frame = spark.createDataFrame(rows, "lang string, text string").repartition(3)
     wanted = by_hand(rows, least, top=top)
@@ -77,6 +78,27 @@ def test_tiles_count_like_a_counter():
     assert all(len(x) == 0 for x in phrases.tile_counts(*(np.empty(0, np.int64),) * 2))
 
 
+def test_packed_numbers():
+    rng = np.random.default_rng(2)
+    for values in ([], [0], [127, 128, 0, 2**62, 16383, 16384], rng.integers(0, 2**40, 999) >> rng.integers(0, 40, 999)):
+        assert phrases.unpacked(phrases.packed(np.array(values, np.int64))).tolist() == list(values)
+
+
+def test_pairs_lie_evenly_on_the_line():
+    """Codes rise with places, tell pairs apart, and no stretch is crowded, however frequent a first half is."""
+    f = np.array([5000, 300, 200, *[10] * 400])
+    before = np.cumsum(f) - f
+    a = np.repeat(np.arange(len(f)), np.minimum(f, len(f)))
+    b = np.concatenate([np.arange(min(x, len(f))) for x in f])
+    codes, place = phrases._line(a, b, f[a], before[a], 9)
+    order = np.argsort(codes)
+    assert len(np.unique(codes)) == len(codes) and (np.diff(place[order]) >= 0).all()
+    undo = pow(phrases.SPREAD, -1, 1 << 9)
+    assert (codes >> 9 == a).all() and ((codes & 511) * undo & 511 == b).all()
+    in_block = np.bincount((place / f.sum() * 20).astype(int), minlength=20)
+    assert in_block.max() <= 1.3 * f.sum() / 20
+
+
 def test_odd_rows(spark, edges, nothing):
     assert found(nothing) == []
     rows = [(r.lang, r.text) for r in edges.collect()]
