@@ -155,6 +155,29 @@ def _profile_sql() -> str:
 
 
 ORACLES["s5_profile"] = _profile_sql()
+ORACLES["s5b_profile_sketch"] = " union all ".join(
+    f"select '{name}' as table_name, '{column}' as column_name, {str(column != spec.primary_key).lower()} as nullable, "
+    f"count(distinct {column}) as distinct_count, true as within_bound from {name}"
+    for name, spec in ORDERS.items()
+    for column in (c.split()[0] for c in spec.schema.split(", "))
+)
+
+
+def _sample_sql() -> str:
+    selects = []
+    for name, spec in ORDERS.items():
+        fields = [c.split() for c in spec.schema.split(", ")]
+        quote = lambda c, kind: f"chr(39) || {c} || chr(39)" if kind == "string" else f"cast({c} as varchar)"
+        text = " || ', ' || ".join(f"'{c}=' || coalesce({quote(c, kind)}, 'None')" for c, kind in fields)
+        order = ", ".join([spec.primary_key] if spec.primary_key else [c for c, _ in fields])
+        selects.append(
+            f"select '{name}' as table_name, n::int as sample, text from (select row_number() over (order by {order}) as n, "
+            f"{text} as text from {name}) where n <= 3"
+        )
+    return " union all ".join(selects)
+
+
+ORACLES["s5c_sample_rows"] = _sample_sql()
 ORACLES["s7_preview"] = f"""select o_orderkey, o_custkey, o_orderstatus,
   (select count(*) from orders) > {fixed.PREVIEW_ROWS} as truncated
   from orders order by o_orderkey limit {fixed.PREVIEW_ROWS}"""
@@ -425,17 +448,29 @@ ORACLES["t1_param_grid"] = with_parts(
     {"facts": FACTS, "ks": "select unnest([3, 5]) as k"},
 )
 
+# The alias table of tasks: what light slots lack and heavy ones have to spare, as one line.
+IN_ORDER = "order by substr(md5(task_id), 1, 2), task_id"
 DRAWN = {
-    "placed_tasks": """select *, sum(ticks) over (order by substr(md5(task_id), 1, 2), task_id
-        rows unbounded preceding) as upto, sum(ticks) over () as total from tasks"""
+    "scaled_tasks": f"""select task_id, row_number() over ({IN_ORDER}) - 1 as slot, ticks::hugeint * n as scaled, total,
+        sum(greatest(ticks::hugeint * n - total, 0)) over ({IN_ORDER}) as spares,
+        sum(greatest(total - ticks::hugeint * n, 0)) over ({IN_ORDER}) as lacks
+        from (select *, count(*) over () as n, sum(ticks) over () as total from tasks where ticks > 0)""",
+    "heavy_tasks": "select *, lead(task_id) over (order by slot) as next from scaled_tasks where scaled >= total",
+    "light_tasks": "select *, lacks - (total - scaled) as begins from scaled_tasks where scaled < total",
+    "alias_tasks": """select l.slot, l.task_id, h.task_id as other, l.scaled as threshold from light_tasks l
+        asof join (select * from heavy_tasks where scaled > total) h on l.begins < h.spares
+        union all select h.slot, h.task_id, coalesce(h.next, h.task_id),
+            h.total - greatest(coalesce(l.lacks - h.spares, 0), 0)
+        from heavy_tasks h asof left join light_tasks l on l.begins < h.spares""",
 }
 
 
 def drawn(source: str, key: str) -> str:
-    return f"""select d.draw_id, t.* from (select {key} as draw_id, cast((
-        cast(('0x' || substr(md5('{samples.DRAW_SEED}|' || {key}), 1, 15))::bigint as hugeint)
-        * (select cast(sum(ticks) as hugeint) from tasks)) // 1152921504606846976 as bigint) as place
-        from {source}) d join placed_tasks t on d.place >= t.upto - t.ticks and d.place < t.upto"""
+    share = lambda first, size: f"""cast((cast(('0x' || substr(md5('{samples.DRAW_SEED}|' || {key}), {first}, 15))::bigint as hugeint)
+        * (select {size} from tasks where ticks > 0)) // 1152921504606846976 as bigint)"""
+    return f"""select d.draw_id, t.* from (select {key} as draw_id, {share(1, "count(*)")} as slot,
+        {share(16, "cast(sum(ticks) as hugeint)")} as rest from {source}) d join alias_tasks a on a.slot = d.slot
+        join tasks t on t.task_id = case when d.rest < a.threshold then a.task_id else a.other end"""
 
 
 ORACLES["t4_draw"] = over_tasks(
@@ -459,6 +494,17 @@ ORACLES["t7_describe"] = over_tasks(
       from truth where role = 'winner'"""
 )
 
+ORACLES["t7b_describe_text"] = over_tasks(
+    f"""select task_id, 0 as chunk, {CENTS.format("value")} as text from tasks where answer_type = 'numeric'
+    union all select task_id, 0, '{{' || string_agg(display, ', ' order by display) || '}}'
+    from truth where role = 'member' group by task_id
+    union all select task_id, pos // {samples.NAMES_A_CHUNK}, string_agg(case when pos <> lo then ' | ' else
+        case when pos > 0 then '; ' else '' end || (lo + 1) || case when hi > lo then '-' || (hi + 1) else '' end || '. ' end
+        || display || case when pos = hi and hi > lo then ' (tied)' else '' end, '' order by pos)
+    from (select *, row_number() over (partition by task_id order by lo, order_key, key) - 1 as pos
+      from truth where role = 'winner') group by task_id, pos // {samples.NAMES_A_CHUNK}"""
+)
+
 
 def folded(col: str) -> str:
     """Name normalisation in DuckDB terms."""
@@ -478,6 +524,21 @@ ORACLES["v7_task_invariants"] = over_tasks(
     where answer_type <> 'numeric' and task_id not in (select task_id from truth)"""
 )
 
+ORACLES["v7b_injected_faults"] = over_tasks(
+    """select task_id, template_id, params_json, problem from (
+    select task_id, template_id, params_json, case
+        when answer_type = 'numeric' then case when digit in ('0', '1') then 'no value' end
+        when entities is null then 'no entities'
+        when covered < k then 'bands too short'
+        when entities <> n_truth + case when digit in ('4', '5') then 1 else 0 end then 'entities miscounted' end as problem
+    from (select *, substr(md5(task_id), 1, 1) as digit from tasks) left join (
+        select task_id, count(*) as entities, max(hi) + 1 as covered from (
+            select *, substr(md5(task_id), 1, 1) as digit, max(lo) over (partition by task_id) as last_lo,
+                row_number() over (partition by task_id order by lo desc, order_key desc, key desc) as back from truth)
+        where digit not in ('0', '1') and not (digit in ('2', '3') and case when role = 'member' then back = 1 else lo = last_lo end)
+        group by task_id) using (task_id)) where problem is not null"""
+)
+
 # ---------------------------------------------------------------- text
 
 TEXTS = """select 'document' as kind, doc_id as id, text from documents
@@ -553,6 +614,13 @@ with names as (select distinct unnest(string_split({folded("text")}, ' ')) as ke
 words as (select distinct doc_id, unnest(string_split({folded("text")}, ' ')) as key from documents)
 select doc_id, key from words join names using (key) where key <> ''"""
 
+ORACLES["x7b_long_mentions"] = f"""
+with named as (select item_id::varchar as key, string_split({folded("text")}, ' ') as w from benchmark),
+aliases as (select distinct key, unnest([array_to_string(w[1:2], ' '), array_to_string(w[1:3], ' '), array_to_string(w[1:5], ' '),
+    array_to_string(w[greatest(1, len(w)):], ' '), array_to_string(w[greatest(1, len(w) - 3):], ' ')]) as alias from named),
+texts as (select doc_id, ' ' || {folded("text")} || ' ' as t from documents)
+select distinct doc_id, key from texts join (select * from aliases where alias <> '') a on contains(t, ' ' || alias || ' ')"""
+
 # ---------------------------------------------------------------- grading
 
 VARIANT_PARTS = {

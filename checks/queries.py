@@ -16,13 +16,13 @@ from starqa.functions.answers import clean_item, parse_list, parse_numeric, stri
 from starqa.functions.names import full_name, normalize
 from starqa.functions.sqltext import screen, scrub
 from starqa.operators import audit
-from starqa.operators.draw import weighted_draw
+from starqa.operators.draw import draw_from
 from starqa.operators.grading import mentions, score_answers
 from starqa.operators.joins import duplicate_keys, reconcile
 from starqa.operators.ranking import preview, top_k
 from starqa.operators.sales import country_genre_revenue, customer_year_revenue, sales_view
 from starqa.plans import quality, questions
-from starqa.plans.tasks import TaskSet, build_tasks, describe, flat_entities, param_grid
+from starqa.plans.tasks import TaskSet, build_tasks, describe, describe_text, flat_entities, param_grid
 from starqa.sources.schemas import ORDERS, TableSpec
 from starqa.sources.warehouse import Star, orders_store, read_tables
 
@@ -91,6 +91,26 @@ def s5_profile(spark, folder):
     )
 
 
+@query
+def s5b_profile_sketch(spark, folder):
+    """Distinct counts by sketch, compared with the exact ones, and which columns may be null."""
+    tables = read_tables(spark, folder, ORDERS)
+    exact = quality.profile_tables(tables, ORDERS)
+    sketch = quality.profile_tables(tables, ORDERS, distinct="sketch")
+    names = ["table_name", "column_name"]
+    both = exact.join(sketch.select(*names, F.col("distinct_count").alias("estimate")), names)
+    off = F.abs(F.col("estimate") - F.col("distinct_count"))
+    return both.select(
+        *names, "nullable", "distinct_count",
+        (off <= quality.SKETCH_ERROR * F.col("distinct_count")).alias("within_bound"),
+    )
+
+
+@query
+def s5c_sample_rows(spark, folder):
+    return quality.sample_rows(read_tables(spark, folder, ORDERS), ORDERS, 3)
+
+
 @query
 def s7_preview(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
@@ -334,15 +354,15 @@ def t1_param_grid(star):
 @query
 def t2_task_table(spark, folder):
     """Built afresh, so that its time is that of the whole job."""
-    return build_tasks(orders_store(spark, folder)).tasks
+    return build_tasks(orders_store(spark, folder), reuse=False).tasks
 
 
 @task_query
 def t4_draw(spark, folder, tasks):
     """A task for every customer."""
     draws = table(spark, folder, "customer").select(F.col("c_custkey").alias("draw_id"))
-    items = tasks.tasks.select("task_id", "template_id", "params_json", "ticks")
-    return weighted_draw(draws, "draw_id", items, "task_id", "ticks", samples.DRAW_SEED)
+    drawn = draw_from(samples.task_slots(tasks), draws, "draw_id", samples.DRAW_SEED)
+    return drawn.select("draw_id", "task_id", "template_id", "params_json")
 
 
 @query
@@ -357,6 +377,11 @@ def t7_describe(spark, folder, tasks):
     return describe(tasks)
 
 
+@task_query
+def t7b_describe_text(spark, folder, tasks):
+    return describe_text(tasks, samples.NAMES_A_CHUNK)
+
+
 @task_query
 def t8_flat_entities(spark, folder, tasks):
     return flat_entities(tasks.truth).select("task_id", "role", "lo", "hi", "key", "display", "alias")
@@ -425,6 +450,15 @@ def x7_mentions(spark, folder):
     )
 
 
+@query
+def x7b_long_mentions(spark, folder):
+    """Which benchmark items' beginnings and endings, of one to five words, each document mentions."""
+    words = F.split(normalize(F.col("text")), " ")
+    ends = [F.array_join(F.slice(words, 1, n), " ") for n in (2, 3, 5)] + [F.array_join(F.slice(words, F.greatest(F.lit(1), F.size(words) - n + 1), n), " ") for n in (1, 4)]
+    names = table(spark, folder, "benchmark").select(F.col("item_id").cast("string").alias("key"), F.array(*ends).alias("aliases"))
+    return mentions(table(spark, folder, "documents").repartition("doc_id"), "doc_id", "text", names)
+
+
 # ---------------------------------------------------------------- grading
 
 
@@ -567,13 +601,15 @@ def v7_task_invariants(spark, folder, tasks):
     return quality.incomplete_tasks(tasks)
 
 
+@task_query
+def v7b_injected_faults(spark, folder, tasks):
+    return quality.incomplete_tasks(samples.with_faults(tasks))
+
+
 @task_query
 def v8_diversity(spark, folder, tasks):
     draws = table(spark, folder, "customer").select(F.col("c_custkey").alias("draw_id"))
-    items = tasks.tasks.select("task_id", "template_id", "difficulty", "question", "ticks")
-    return quality.draw_diversity(
-        weighted_draw(draws, "draw_id", items, "task_id", "ticks", samples.DRAW_SEED)
-    )
+    return quality.draw_diversity(draw_from(samples.task_slots(tasks), draws, "draw_id", samples.DRAW_SEED))
 
 
 # ---------------------------------------------------------------- SQL constructs
@@ -592,7 +628,7 @@ def sql_query(name: str, text: str) -> None:
 SQL_CONSTRUCTS = {
     "n1_case_replace": (
         "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'big' ELSE 'small' END AS bucket, "
-        "replace(o_orderpriority, '-', ' ') AS priority FROM {orders} ORDER BY o_orderkey LIMIT 30"
+        "replace(o_orderpriority, '-', ' ') AS priority FROM {orders}"
     ),
     "n2_cte_count": (
         "WITH t AS (SELECT o_custkey FROM {orders}) SELECT count(*) AS n FROM t"

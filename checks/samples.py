@@ -6,12 +6,15 @@ and DuckDB read alike.
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starqa import fixed_values as fixed
 from starqa.functions.money import cents_text
-from starqa.operators.draw import weighted_draw
+from starqa.operators.draw import alias_table, draw_from
 from starqa.operators.ranking import first_per_group
 from starqa.plans.tasks import TaskSet
 
@@ -157,19 +160,43 @@ def answer_variants(task_set: TaskSet) -> DataFrame:
     return numeric.unionByName(listed)
 
 
+@lru_cache(maxsize=8)
+def task_slots(task_set: TaskSet) -> DataFrame:
+    """The alias table of a task set, built once and then drawn from."""
+    items = task_set.tasks.select("task_id", "template_id", "difficulty", "params_json", "question", "ticks")
+    return alias_table(items, "task_id", "ticks")
+
+
 def drawn_answers(spark: SparkSession, folder: str, task_set: TaskSet) -> DataFrame:
     """One answer per order, to a drawn task: answer_id, task_id, variant, answer."""
-    drawn = weighted_draw(
-        table(spark, folder, "orders").select(F.col("o_orderkey").alias("answer_id")).repartition("answer_id"),
-        "answer_id",
-        task_set.tasks.select("task_id", "ticks"),
-        "task_id",
-        "ticks",
-        DRAW_SEED,
-    ).withColumn("variant", (F.col("answer_id") % VARIANTS).cast("int"))
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("answer_id")).repartition("answer_id")
+    drawn = draw_from(task_slots(task_set), orders, "answer_id", DRAW_SEED).select(
+        "answer_id", "task_id", (F.col("answer_id") % VARIANTS).cast("int").alias("variant")
+    )
     return drawn.join(answer_variants(task_set), ["task_id", "variant"])
 
 
+#: Names in a piece of a described ranking.
+NAMES_A_CHUNK = 2
+
+
+def with_faults(task_set: TaskSet) -> TaskSet:
+    """The task set with one fault of each kind, put in by a hash of the task.
+
+    ``0``, ``1``: no value, or no truth at all; ``2``, ``3``: the last band of a
+    ranking or the last name of a set is missing; ``4``, ``5``: one entity more is
+    claimed.  All others stay right.
+    """
+    digit = F.substring(F.md5("task_id"), 1, 1)
+    tasks = task_set.tasks.withColumn("value", F.when(~digit.isin("0", "1"), F.col("value"))).withColumn(
+        "n_truth", F.col("n_truth") + F.when(digit.isin("4", "5"), 1).otherwise(0)
+    )
+    last = task_set.truth.groupBy("task_id").agg(F.max(F.struct("lo", "order_key", "key")).alias("_last"))
+    truth = task_set.truth.join(last, "task_id").filter(~digit.isin("0", "1"))
+    gone = F.when(F.col("role") == "member", F.col("key") == F.col("_last.key")).otherwise(F.col("lo") == F.col("_last.lo"))
+    return replace(task_set, tasks=tasks, truth=truth.filter(~(digit.isin("2", "3") & gone)).drop("_last"))
+
+
 #: JSON texts by kind, of an event's id, type and user.
 JSON_TEXTS = {
     "object": '{"k": %d, "in": {"a": [1]}, "names": ["1. %s", "", " %d (note)", null, true, 7, "a, b"], "more": ["x"]}',

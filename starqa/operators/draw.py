@@ -1,74 +1,141 @@
-"""Seeded weighted draws with replacement, as an equi-join."""
+"""Seeded weighted draws with replacement, from an alias table."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Hash buckets the running total is taken in; only their sums meet in one task.
+from starqa.sources.storage import stored
+
+# Hash buckets the running totals are taken in; only their sums meet in one task.
 BUCKETS = 256
-# Least number of cells the number line is cut into for matching.
-CELLS = 1024
-# Cells are joined to larger ones, FAN at a time, so often.
-FAN, LEVELS = 32, 5
 HASH_DIGITS = 15
+# Sums of up to 10^18 ticks times up to 10^12 items.
+WIDE = "decimal(38,0)"
 
 
-def uniform(seed: int, draw_id: Column) -> Column:
-    """A whole number below ``16**HASH_DIGITS``, fixed by seed and draw."""
+def uniform(seed: int, draw_id: Column, part: int = 0) -> Column:
+    """A whole number below ``16**HASH_DIGITS``, fixed by seed, draw and part (0 or 1)."""
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), draw_id.cast("string")))
-    return F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("decimal(20,0)")
+    digits = F.substring(digest, 1 + part * HASH_DIGITS, HASH_DIGITS)
+    return F.conv(digits, 16, 10).cast("decimal(20,0)")
+
 
+def _share(seed: int, draw_id: Column, part: int, size: Column) -> Column:
+    """A whole number below ``size``."""
+    span = F.lit(16**HASH_DIGITS).cast("decimal(20,0)")
+    whole = (uniform(seed, draw_id, part) * size.cast("decimal(18,0)")).cast(WIDE)
+    return F.call_function("div", whole, span.cast(WIDE))
 
-def with_intervals(items: DataFrame, key: str, ticks: str) -> DataFrame:
-    """Items laid end to end on the number line: adds ``first`` and ``last``.
 
-    Ordered by a hash of the key and then the key.  Bucket sums are bounded by
-    ``BUCKETS``; running totals inside a bucket are taken by one task each.
+def _with_totals(items: DataFrame, key: str, ticks: str) -> DataFrame:
+    """Adds to each item its slot, and how much it and all before it lack or have to spare.
+
+    With n items a slot holds the n-th part of all ticks; everything is
+    multiplied by n, so that it stays whole: an item has ``ticks * n``, a slot
+    holds the sum of all ticks.  ``lacks`` and ``spares`` are running totals in
+    the order of a hash of the key and then the key.
     """
-    bucketed = items.filter(F.col(ticks) > 0).withColumn(
-        "_bucket", F.conv(F.substring(F.md5(key), 1, 2), 16, 10).cast("int")
+    kept = items.filter(F.col(ticks) > 0)
+    n, total = (kept.agg(a).scalar().cast(WIDE) for a in (F.count("*"), F.sum(ticks)))
+    bucket = F.conv(F.substring(F.md5(key), 1, 2), 16, 10).cast("int")
+    over = (F.col("_scaled") - F.col("_full")).cast(WIDE)
+    sized = (
+        kept.select(F.struct(*[c for c in items.columns if c != ticks]).alias("own"), F.col(key).alias("_key"),
+                    bucket.alias("_bucket"), (F.col(ticks).cast("decimal(18,0)") * n).cast(WIDE).alias("_scaled"), total.alias("_full"))
+        .withColumn("_heavy", F.col("_scaled") >= F.col("_full"))
+        .withColumn("_spare", F.greatest(over, F.lit(0).cast(WIDE)))
+        .withColumn("_lack", F.greatest((-over).cast(WIDE), F.lit(0).cast(WIDE)))
     )
-    sums = bucketed.groupBy("_bucket").agg(F.sum(ticks).alias("_sum"))
-    earlier = Window.partitionBy(F.lit(1)).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
+    sums = sized.groupBy("_bucket").agg(
+        F.count("*").alias("_rows"), *(F.sum(c).cast(WIDE).alias(f"{c}_sum") for c in ("_spare", "_lack"))
     )
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
-        "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset")
+        "_bucket",
+        *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).cast(WIDE).alias(f"{c}_before") for c in ("_rows", "_spare_sum", "_lack_sum")),
+    )
+    within = Window.partitionBy("_bucket").orderBy("_key")
+    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = sized.select("*", F.row_number().over(within).alias("_row"), *(F.sum(c).over(upto).cast(WIDE).alias(f"{c}_upto") for c in ("_spare", "_lack")))
+    return running.join(offsets, "_bucket").select(
+        "own", "_key", "_bucket", "_scaled", "_full", "_heavy", "_lack",
+        (F.col("_rows_before") + F.col("_row") - 1).cast("bigint").alias("slot"),
+        (F.col("_spare_sum_before") + F.col("_spare_upto")).cast(WIDE).alias("_spares"),
+        (F.col("_lack_sum_before") + F.col("_lack_upto")).cast(WIDE).alias("_lacks"),
     )
-    within = Window.partitionBy("_bucket").orderBy(key).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+
+
+def alias_table(items: DataFrame, key: str, ticks: str) -> DataFrame:
+    """One row per item with ticks: ``slot``, ``own``, ``other``, ``threshold`` and ``full``.
+
+    A slot is chosen evenly; it gives its own item below ``threshold`` (of
+    ``full``) and the other one above.  ``own`` and ``other`` have all columns of
+    the item but its ticks.
+
+    Light items lack something to fill their slot, heavy ones have it to spare.
+    Laid end to end in one order, what is lacked and what is spared are the same
+    line: a light item is filled by the first heavy one whose end lies beyond its
+    own beginning.  The light item in which a heavy one ends takes the rest from
+    the heavy one's own slot, which the next heavy one fills.  So both sides
+    sorted together by place give every partner, whatever the weights are: the
+    sort is a range partitioning, and only a row per partition meets in one task.
+    """
+    totals = _with_totals(items, key, ticks)
+    begin = (F.col("_lacks") - F.col("_lack")).cast(WIDE)
+    # Where places are equal the heavy item comes first: it ends before the light one begins.
+    line = totals.withColumn("_place", F.when(F.col("_heavy"), F.col("_spares")).otherwise(begin))
+    order = [F.col("_place"), F.desc("_heavy"), F.col("_bucket"), F.col("_key")]
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = line.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows = stored(placed.withColumn("_at", F.monotonically_increasing_id()), "alias-line")
+    rows = rows.withColumn("_part", F.shiftright("_at", 33))
+
+    heavy = F.when(F.col("_heavy"), F.col("own"))
+    light_end = F.when(~F.col("_heavy"), F.col("_lacks"))
+    # Running backwards, since a frame that has no end is read anew for every row.
+    after = Window.partitionBy("_part").orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("_part").agg(
+        F.min_by(heavy, F.when(F.col("_heavy"), F.col("_at"))).alias("_first"), F.max(light_end).alias("_last")
     )
-    return (
-        bucketed.withColumn("_upto", F.sum(ticks).over(within))
-        .join(offsets, "_bucket")
-        .withColumn("last", F.col("_offset") + F.col("_upto") - 1)
-        .withColumn("first", F.col("_offset") + F.col("_upto") - F.col(ticks))
-        .drop("_bucket", "_offset", "_upto")
+    later = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    sooner = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(
+        "_part",
+        F.last("_first", ignorenulls=True).over(later).alias("_heavy_after"),
+        F.max("_last").over(sooner).alias("_light_before"),
     )
+    met = rows.select(
+        "*", F.last(heavy, ignorenulls=True).over(after).alias("_heavy_in"), F.max(light_end).over(before).alias("_light_in")
+    ).join(carried, "_part")
+    taken = F.coalesce(F.greatest("_light_in", "_light_before") - F.col("_spares"), F.lit(0)).cast(WIDE)
+    threshold = F.when(F.col("_heavy"), F.col("_full") - F.greatest(taken, F.lit(0).cast(WIDE))).otherwise(F.col("_scaled"))
+    table = met.select(
+        "slot", "own", F.coalesce("_heavy_in", "_heavy_after", "own").alias("other"),
+        threshold.cast("bigint").alias("threshold"), F.col("_full").cast("bigint").alias("full"),
+    )
+    return stored(table, "alias-table")
 
 
-def _covering(first: str, last: str) -> str:
-    """SQL for the cells of all levels that make up the cells from ``first`` to ``last``.
+def draw_from(table: DataFrame, draws: DataFrame, draw_id: str, seed: int) -> DataFrame:
+    """The draws, each with the columns of the item it drew.
 
-    At each level those that lie in the range but whose next larger cell does
-    not: at most 2 * FAN, so however heavy an item is its list stays short.
+    A draw is one row and finds one row of the table; draws fall evenly over the
+    slots.  Fails when there is nothing to draw from.
     """
-    parts = []
-    for level in range(LEVELS):
-        width, wider = FAN**level, FAN ** (level + 1)
-        a, b = f"(({first} + {width - 1}) div {width})", f"(({last} + 1) div {width} - 1)"
-        if level == LEVELS - 1:
-            found = f"if({a} <= {b}, sequence({a}, {b}), array())"
-        else:
-            # Where the larger cells inside begin and end, in cells of this level.
-            begin, end = f"(({first} + {wider - 1}) div {wider} * {FAN})", f"(({last} + 1) div {wider} * {FAN} - 1)"
-            left = f"if({a} < {begin}, sequence({a}, {begin} - 1), array())"
-            right = f"if({end} < {b}, sequence({end} + 1, {b}), array())"
-            whole = f"if({a} <= {b}, sequence({a}, {b}), array())"
-            found = f"if({begin} <= {end}, concat({left}, {right}), {whole})"
-        parts.append(f"transform({found}, c -> struct({level} as level, c as cell))")
-    return f"concat({', '.join(parts)})"
+    n, full = (F.coalesce(table.agg(a).scalar(), F.lit(0)) for a in (F.count("*"), F.max("full")))
+    fail = F.raise_error(F.lit("Could not draw a task: none is viable.")).cast("boolean")
+    placed = (
+        draws.filter(F.when(n == 0, fail).otherwise(F.lit(True)))
+        .withColumn("_slot", _share(seed, F.col(draw_id), 0, n))
+        .withColumn("_rest", _share(seed, F.col(draw_id), 1, full))
+    )
+    # Every draw has its slot; one without an id has none, and draws nothing.
+    drawn = placed.join(table, F.col("_slot") == F.col("slot"), "left")
+    item = F.when(F.col("_rest") < F.col("threshold"), F.col("own")).otherwise(F.col("other"))
+    fields = table.schema["own"].dataType.names
+    return drawn.withColumn("_item", item).select(*draws.columns, *(F.col("_item")[f].alias(f) for f in fields))
 
 
 def weighted_draw(
@@ -76,49 +143,10 @@ def weighted_draw(
 ) -> DataFrame:
     """One item for each draw, with probability proportional to its ticks.
 
-    Draws fall evenly over the cells of the line.  An item is listed under the
-    cells it touches, written as few cells of several levels; a draw looks for
-    its cell of each level.  So matching is an equi-join whatever the weights
-    are.  There are at least as many cells as items, so a cell holds few of
-    them.  Fails when there is nothing to draw from.
+    Draws that start from the same items more than once keep the table
+    (:func:`alias_table`) and use :func:`draw_from`.
     """
-    total = F.coalesce(items.agg(F.sum(ticks)).scalar(), F.lit(0)).cast("decimal(18,0)")
-    span = F.lit(16**HASH_DIGITS).cast("decimal(20,0)")
-    cells = F.greatest(F.lit(CELLS), items.agg(F.count("*")).scalar()).cast("decimal(18,0)")
-    cell = lambda place: F.floor(
-        place.cast("decimal(18,0)") * F.col("_cells") / F.nullif("_total", F.lit(0))
-    ).cast("bigint")
-    placed = (
-        draws.withColumn("_total", total)
-        .withColumn("_cells", cells)
-        .withColumn("_place", F.floor(uniform(seed, F.col(draw_id)) * F.col("_total") / span).cast("bigint"))
-        .withColumn("_own", cell(F.col("_place")))
-        .withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
-        .withColumn("_cell", F.expr(f"_own div cast(power({FAN}, _level) as bigint)"))
-        .drop("_total", "_cells", "_own")
-    )
-    listed = (
-        with_intervals(items, key, ticks)
-        .withColumn("_total", total)
-        .withColumn("_cells", cells)
-        .withColumn("_from", cell(F.col("first")))
-        .withColumn("_to", cell(F.col("last")))
-        .withColumn("_at", F.explode(F.expr(_covering("_from", "_to"))))
-        .drop("_total", "_cells", "_from", "_to", ticks)
-    )
-    here = (
-        (F.col("_level") == F.col("_at.level")) & (F.col("_cell") == F.col("_at.cell"))
-        & F.col("_place").between(F.col("first"), F.col("last"))
-    )
-    # Every draw has its item, at one level, unless there is none at all.
-    drawn = placed.join(listed, here, "left").drop("_cell", "_place", "_at", "first", "last")
-    missing = (total == 0) & (F.col("_level") == 0)
-    fail = F.raise_error(F.lit("Could not draw a task: none is viable.")).cast(items.schema[key].dataType)
-    return (
-        drawn.withColumn(key, F.when(missing, fail).otherwise(F.col(key)))
-        .filter(F.col(key).isNotNull())
-        .drop("_level")
-    )
+    return draw_from(alias_table(items, key, ticks), draws, draw_id, seed)
 
 
 def numbered_draws(spark: SparkSession, n: int) -> DataFrame:

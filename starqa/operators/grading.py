@@ -46,14 +46,42 @@ def longest_alias(names: DataFrame) -> DataFrame:
 
 
 def mentions(texts: DataFrame, text_id: str, text: str, names: DataFrame) -> DataFrame:
-    """Which names a text mentions as whole words: ``text_id, key``."""
-    aliases = names.select("key", F.explode("aliases").alias("alias")).distinct()
-    runs = (
-        texts.withColumn("_words", normalize(F.col(text)))
-        .withColumn("_longest", longest_alias(names).scalar())
-        .select(text_id, F.explode(word_runs(F.col("_words"), F.col("_longest"))).alias("alias"))
+    """Which names a text mentions as whole words: ``text_id, key``.
+
+    Words of texts are rows with their place, and names are found by their first
+    word; the other words of a longer name are looked up at the places that
+    follow.  So a text of any length is no more than its words, and a name may
+    have any number of them.  Texts of one id are told apart by a hash.
+    """
+    words = texts.select(
+        F.col(text_id).alias("_id"),
+        F.xxhash64(text).alias("_mark"),
+        F.posexplode(F.split(normalize(F.col(text)), " ")).alias("_at", "_word"),
+    ).filter(F.col("_word") != "")
+    aliases = names.select("key", F.explode("aliases").alias("alias")).filter("alias <> ''").distinct()
+    parts = aliases.select("alias").distinct().withColumn("_parts", F.split("alias", " "))
+    begun = words.join(parts, F.col("_word") == F.col("_parts")[0]).select("_id", "_mark", "_at", "alias", "_parts")
+    short = begun.filter(F.size("_parts") == 1).select("_id", "alias")
+    rest = F.expr("transform(slice(_parts, 2, size(_parts)), (p, i) -> struct(p as word, i + 1 as step))")
+    awaited = begun.filter(F.size("_parts") > 1).select(
+        "_id", "_mark", "_at", "alias", (F.size("_parts") - 1).alias("_more"), F.explode(rest).alias("_next")
+    )
+    there = words.select(F.col("_id").alias("_of"), F.col("_mark").alias("_of_mark"), F.col("_at").alias("_place"), F.col("_word").alias("_found"))
+    same = (
+        F.col("_id").eqNullSafe(F.col("_of"))
+        & F.col("_mark").eqNullSafe(F.col("_of_mark"))
+        & (F.col("_at") + F.col("_next.step") == F.col("_place"))
+        & (F.col("_next.word") == F.col("_found"))
     )
-    return runs.join(aliases, "alias").select(text_id, "key").distinct()
+    # Equal texts of one id are one text: a word that is there counts once.
+    long = (
+        awaited.distinct().join(there, same, "left_semi")
+        .groupBy("_id", "_mark", "_at", "alias", "_more").count()
+        .filter(F.col("count") == F.col("_more"))
+        .select("_id", "alias")
+    )
+    found = short.union(long).distinct().join(aliases, "alias")
+    return found.select(F.col("_id").alias(text_id), "key").distinct()
 
 
 def _first_candidates(truth: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -170,14 +198,13 @@ def score_answers(
     kind = F.col("answer_type")
     listed = kind.isin(fixed.RANKED_LIST, fixed.ENTITY_SET, fixed.CATEGORICAL)
     joined = answers.join(wanted, "task_id", "left")
-    # A number is scored as it stands; only the others have names to look up.
-    number = numeric_score(parse_numeric(F.col("answer")), F.col("value"), F.col("abs_tol"), F.col("rel_tol"))
-    by_number = joined.filter(kind == fixed.NUMERIC).select(
-        "answer_id", "task_id", "answer_type", F.coalesce(number, F.lit(0.0)).alias("score")
-    )
+    # A number is scored as it stands and carries its score along; only the others
+    # have names to look up.
+    submitted = parse_numeric(F.when(kind == fixed.NUMERIC, F.col("answer")))
+    number = numeric_score(submitted, F.col("value"), F.col("abs_tol"), F.col("rel_tol"))
     parsed = (
-        joined.filter(~F.coalesce(kind == fixed.NUMERIC, F.lit(False)))
-        .withColumn("_items", F.when(listed, parse_list(F.col("answer"))))
+        joined.withColumn("_number", F.when(kind == fixed.NUMERIC, F.coalesce(number, F.lit(0.0))))
+        .withColumn("_items", F.when(listed, parse_list(F.when(listed, F.col("answer")))))
         # a name that is blank once cleaned cannot answer a categorical question
         .withColumn(
             "_items",
@@ -191,7 +218,7 @@ def score_answers(
         .withColumn("_longest", longest_alias(universe).scalar())
         .withColumn("_probe", F.explode_outer(_probes(F.col("_longest"))))
     )
-    kept = ["task_id", "answer_type", "n_truth", "_k", "_n_items", "_n_named"]
+    kept = ["task_id", "answer_type", "n_truth", "_k", "_n_items", "_n_named", "_number"]
     probed = parsed.select(
         "answer_id", *kept,
         # An answer without names looks under a scope that is nobody's, not all of them under null.
@@ -235,9 +262,8 @@ def score_answers(
         F.when(kind == fixed.ENTITY_SET, set_score)
         .when(kind == fixed.CATEGORICAL, named_score)
         .when(kind == fixed.RANKED_LIST, ranked_score)
-        .otherwise(0.0)
+        .otherwise(F.col("_number"))
     )
-    by_name = per_answer.select(
+    return per_answer.select(
         "answer_id", "task_id", "answer_type", F.coalesce(score, F.lit(0.0)).alias("score")
     )
-    return by_number.unionByName(by_name)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starqa.sources.storage import stored
+
 # Slices a group is split into before it is ranked.  A slice holds the rows of
 # one group that hash alike, so even a group with most of the rows is ranked by
 # this many tasks.
@@ -46,6 +48,30 @@ def top_k_with_ties(
     return near.drop("_slice").join(_bands(counts, by, value, k), [*by, value])
 
 
+# Cells a group is cut into to find a bound for its first ``k`` values.
+CELLS = 4096
+
+
+def possible_top(df: DataFrame, by: Sequence[str], value: str, key: str, k: int) -> DataFrame:
+    """The rows that may stand among the first ``k`` of their group, found without sorting it.
+
+    Each cell of a group (its keys by hash) gives its largest value, one number
+    however many rows it has.  The k-th largest of these belongs to k different
+    keys, so no row below it can be among the first k.  About k rows of each
+    group remain, and those that tie with them; of a group with fewer than k
+    cells all.  ``key`` is unique within a group.  The rows are read twice.
+    """
+    by = list(by)
+    cell = F.pmod(F.xxhash64(key), F.lit(CELLS)).alias("_cell")
+    best = df.groupBy(*by, cell).agg(F.max(value).alias("_best")).filter(F.col("_best").isNotNull())
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_best")))
+    bounds = best.withColumn("_place", place).filter(F.col("_place") == k)
+    bounds = bounds.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_best").alias("_bound"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    kept = df.join(bounds, same, "left").filter(F.col("_bound").isNull() | (F.col(value) >= F.col("_bound")))
+    return kept.select(*df.columns)
+
+
 def _bands(counts: DataFrame, by: list[str], value: str, k: int) -> DataFrame:
     """Position band of each distinct value that starts before position ``k``."""
     down = Window.partitionBy(*by).orderBy(F.desc(value))
@@ -92,6 +118,27 @@ def first_per_group(
     )
 
 
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """All rows of every group numbered from 0 in a full ordering: adds ``pos``.
+
+    No task has to see a whole group: rows are dealt out by ranges of the
+    ordering and written once; a row's number is its place in its range and the
+    rows of its group in earlier ranges, of which there is one count each.
+    """
+    by = list(by)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    line = [*[F.col(c) for c in by], *order]
+    placed = df.repartitionByRange(parts, *line).sortWithinPartitions(*line)
+    rows = stored(placed.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    rows = rows.withColumn("_part", F.shiftright("_at", 33))
+    runs = rows.groupBy(*by, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    starts = runs.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_part").alias("_run"), "_first", "_before")
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by] + [F.col("_part") == F.col("_run")]
+    return rows.join(starts, same).select(*df.columns, F.expr("_before + _at - _first").alias("pos"))
+
+
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     """Exactly ``k`` rows under a full ordering."""
     return df.orderBy(*order).limit(k)

@@ -184,7 +184,7 @@ def with_stored_aggregates(star: Star, names: Collection[str] = tuple(SETS)) ->
     sums = lines.groupingSets([list(by) for by in sets.values()], *keys).agg(
         F.sum("quantity").alias("quantity"), F.sum("revenue").alias("revenue"), name.alias("aggregate")
     )
-    table = stored(sums, "sums", partition_by="aggregate")
+    table = stored(sums, "sums", partition_by="aggregate", reuse=star.reuse)
     part = lambda n: table.filter(F.col("aggregate") == n)
     ready = {}
     if "customer_year" in sets:

@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from starqa import fixed_values as fixed
 from starqa.functions.money import round_cents
-from starqa.operators.joins import duplicate_keys, reconcile
+from starqa.operators.joins import reconcile
 from starqa.operators.sales import invoice_revenue
 from starqa.plans import questions
 from starqa.plans.tasks import TaskSet
@@ -48,21 +48,33 @@ def unexpected_counts(counts: DataFrame, expected: DataFrame) -> DataFrame:
     return both.withColumn("kind", kind).filter(F.col("kind").isNotNull())
 
 
-def profile_tables(tables: dict[str, DataFrame], layout: dict[str, TableSpec]) -> DataFrame:
+#: log2 of a sketch's size, and how far its estimate may be off: six standard errors of 1.04 / 2^(n/2).
+SKETCH_BITS, SKETCH_ERROR = 14, 0.05
+
+
+def profile_tables(
+    tables: dict[str, DataFrame], layout: dict[str, TableSpec], distinct: str = "exact"
+) -> DataFrame:
     """One row per table and column: type, keys, row count, null count, nullability, distinct count.
 
-    Rows and nulls are counted in one pass over each table; Spark counts the
-    distinct values of all its columns in another that expands them.
+    Rows and nulls are counted in one pass over each table.  ``distinct`` is
+    ``"exact"``: each column is read by itself and made distinct within each task
+    before it is sent; or ``"sketch"``: sketches of all columns (HyperLogLog, 2^14
+    registers, a standard error of 0.8 %) join the one pass, so what is sent does
+    not grow with the table.  A primary key may not be null.
     """
-    profiles = []
+    if distinct not in ("exact", "sketch"):
+        raise ValueError(f"Unknown way to count distinct values: {distinct}")
+    profiles, counts = [], []
     for name, df in tables.items():
         spec = layout[name]
         targets = {column: f"{table}({key})" for column, table, key in spec.foreign_keys}
         fields = df.schema.fields
+        sketch = lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(F.col(c).cast("string"), F.lit(SKETCH_BITS)))
         counted = df.agg(
             F.count("*").alias("row_count"),
             *[F.count_if(F.col(f.name).isNull()).alias(f"nulls_{i}") for i, f in enumerate(fields)],
-            *[F.count_distinct(F.col(f.name)).alias(f"distinct_{i}") for i, f in enumerate(fields)],
+            *[sketch(f.name).alias(f"distinct_{i}") for i, f in enumerate(fields) if distinct == "sketch"],
         )
         entries = F.array(
             *[
@@ -73,8 +85,8 @@ def profile_tables(tables: dict[str, DataFrame], layout: dict[str, TableSpec]) -
                     F.lit(f.name == spec.primary_key).alias("is_primary_key"),
                     F.lit(targets.get(f.name)).cast("string").alias("refers_to"),
                     F.col(f"nulls_{i}").alias("null_count"),
-                    F.col(f"distinct_{i}").alias("distinct_count"),
-                    F.lit(f.nullable).alias("nullable"),
+                    F.lit(f.nullable and f.name != spec.primary_key).alias("nullable"),
+                    *([F.col(f"distinct_{i}").alias("distinct_count")] if distinct == "sketch" else []),
                 )
                 for i, f in enumerate(fields)
             ]
@@ -82,46 +94,99 @@ def profile_tables(tables: dict[str, DataFrame], layout: dict[str, TableSpec]) -
         profiles.append(
             counted.select(F.lit(name).alias("table_name"), "row_count", F.inline(entries))
         )
-    return _union(profiles)
+        counts += [
+            df.select(F.col(f.name).alias("value")).filter("value is not null").distinct()
+            .agg(F.count("*").alias("distinct_count"))
+            .select(F.lit(name).alias("table_name"), F.lit(i + 1).alias("position"), "distinct_count")
+            for i, f in enumerate(fields)
+        ]
+    profile = _union(profiles)
+    return profile if distinct == "sketch" else profile.join(_union(counts), ["table_name", "position"])
+
+
+def sample_rows(tables: dict[str, DataFrame], layout: dict[str, TableSpec], n: int) -> DataFrame:
+    """The first ``n`` rows of every table by its key (by all columns, if it has none) as text.
+
+    ``table_name, sample, text``; text is ``column=value`` of each column, strings
+    in quotes, nulls as None.  Each task passes on no more than ``n`` rows.
+    """
+    samples = []
+    for name, df in tables.items():
+        key = layout[name].primary_key
+        order = [F.col(c) for c in ([key] if key else df.columns)]
+        shown = [
+            F.concat(
+                F.lit(f"{f.name}="),
+                F.coalesce(F.concat(F.lit("'"), f.name, F.lit("'")) if f.dataType.typeName() == "string" else F.col(f.name).cast("string"), F.lit("None")),
+            )
+            for f in df.schema.fields
+        ]
+        first = df.orderBy(*order).limit(n)
+        place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order))
+        samples.append(first.select(F.lit(name).alias("table_name"), place.alias("sample"), F.concat_ws(", ", *shown).alias("text")))
+    return _union(samples)
 
 
 def repeated_keys(tables: dict[str, DataFrame], layout: dict[str, TableSpec]) -> DataFrame:
-    """Primary-key values that occur more than once."""
-    return _union(
+    """Primary-key values that occur more than once; all tables in one aggregation."""
+    tagged = _union(
         [
-            duplicate_keys(tables[name], spec.primary_key).select(
-                F.lit(name).alias("table_name"),
-                F.col(spec.primary_key).cast("string").alias("key"),
-                "n",
+            tables[name].select(
+                F.lit(name).alias("table_name"), F.col(spec.primary_key).cast("string").alias("key")
             )
             for name, spec in layout.items()
             if spec.primary_key
         ]
     )
+    return tagged.groupBy("table_name", "key").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+#: Sides of a reference, as bits.
+CHILD, PARENT = 1, 2
 
 
 def key_mismatches(tables: dict[str, DataFrame], layout: dict[str, TableSpec]) -> DataFrame:
     """Foreign keys without a parent, and parents without a child.
 
-    Child keys are made distinct first, so a key that most rows share is one row
-    in the join.
+    Every row says of each reference that its table takes part in which key it
+    has and on which side; one aggregation over all references joins the sides
+    by ``bit_or``, within each task first, so a key that most rows share is sent
+    once a task.  Each table is read once.  Keys are compared as text, child
+    keys after a cast to the type of the parent's.
     """
-    reports = []
+    seen: dict[str, list[tuple[str, str, int, str]]] = {}
     for name, spec in layout.items():
         for column, parent, key in spec.foreign_keys:
-            children = tables[name].select(F.col(column).alias("key")).dropna().distinct()
-            parents = tables[parent].select(F.col(key).alias("key")).dropna().distinct()
-            reference = F.lit(f"{name}.{column} -> {parent}.{key}").alias("reference")
-            both = (
-                children.withColumn("_child", F.lit(True))
-                .join(parents.withColumn("_parent", F.lit(True)), "key", "full_outer")
-                .filter(F.col("_child").isNull() | F.col("_parent").isNull())
-            )
-            kind = F.when(F.col("_parent").isNull(), "orphan").otherwise("childless")
-            reports.append(
-                both.select(reference, kind.alias("kind"), F.col("key").cast("string").alias("key"))
-            )
-    return _union(reports)
+            reference = f"{name}.{column} -> {parent}.{key}"
+            kind = tables[parent].schema[key].dataType.simpleString()
+            seen.setdefault(name, []).append((reference, column, CHILD, kind))
+            seen.setdefault(parent, []).append((reference, key, PARENT, kind))
+    tagged = [
+        tables[name].select(
+            F.explode(
+                F.array(
+                    *[
+                        F.struct(
+                            F.lit(reference).alias("reference"),
+                            F.col(column).cast(kind).cast("string").alias("key"),
+                            F.lit(side).alias("side"),
+                        )
+                        for reference, column, side, kind in roles
+                    ]
+                )
+            ).alias("role")
+        ).select("role.*")
+        for name, roles in seen.items()
+    ]
+    sides = (
+        _union(tagged)
+        .filter(F.col("key").isNotNull())
+        .groupBy("reference", "key")
+        .agg(F.bit_or("side").alias("sides"))
+        .filter(F.col("sides") != CHILD | PARENT)
+    )
+    kind = F.when(F.col("sides") == CHILD, "orphan").otherwise("childless")
+    return sides.select("reference", kind.alias("kind"), "key")
 
 
 def unreconciled_invoices(

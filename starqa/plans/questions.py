@@ -10,6 +10,7 @@ entities of one band.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from starqa import fixed_values as fixed
 from starqa.functions.money import round_cents, total
 from starqa.functions.names import order_text
-from starqa.operators.ranking import for_each_k, top_k_with_ties, winners
+from starqa.operators.ranking import for_each_k, possible_top, top_k_with_ties, winners
 from starqa.operators.sales import (
     artist_year_revenue,
     country_genre_revenue,
@@ -26,6 +27,7 @@ from starqa.operators.sales import (
     dated_revenue,
     track_year_sales,
 )
+from starqa.sources.storage import stored
 from starqa.sources.warehouse import Star
 
 
@@ -237,13 +239,17 @@ def revenue_increase(
     if year_a is not None and year_b is not None:
         per_year = per_year.filter(F.col("year").isin(year_a, year_b))
         years = [year_a, year_b]
-    # One row per customer: at most one map entry per calendar year.
-    by_customer = per_year.groupBy("customer_id").agg(
-        F.map_from_entries(
-            F.collect_list(F.struct("year", round_cents(F.col("revenue"))))
-        ).alias("by_year")
+    # One row per customer: at most one map entry per calendar year.  Written once,
+    # since the years, the bounds and the rankings all read it.
+    by_customer = stored(
+        per_year.groupBy("customer_id").agg(
+            F.map_from_entries(
+                F.collect_list(F.struct("year", round_cents(F.col("revenue"))))
+            ).alias("by_year")
+        ),
+        "customer-years",
+        reuse=star.reuse,
     )
-    # Without stored aggregates the years cost another pass over the same sums.
     active = by_customer.select(F.explode(F.map_keys("by_year")).alias("year"))
     zero = F.lit(0).cast("decimal(38,2)")
     paired = (
@@ -259,7 +265,9 @@ def revenue_increase(
         "year_b",
         round_cents(in_year("year_b") - in_year("year_a")).alias("value"),
     )
-    top = top_k_with_ties(change, ["year_a", "year_b"], "value", "customer_id", max(ks))
+    pair = ["year_a", "year_b"]
+    near = possible_top(change.filter("customer_id is not null"), pair, "value", "customer_id", max(ks))
+    top = top_k_with_ties(near, pair, "value", "customer_id", max(ks))
     return _named_customers(
         for_each_k(top, ks, F.col("best") > 0), star, ["year_a", "year_b"]
     )
@@ -275,18 +283,31 @@ def catalogue(star: Star) -> DataFrame:
     )
 
 
-def sold_members(star: Star, year: int | None = None) -> DataFrame:
-    """Members with a sale in a genre and year: ``genre, year, member``."""
+#: Years whose bits one whole number holds.
+YEARS_A_WORD = 62
+
+
+def member_years(star: Star, years: Sequence[int], year: int | None = None) -> DataFrame:
+    """``genre, member`` and the years with a sale as bitmaps, one row per catalogue member, sold or not.
+
+    ``sold_0``, ``sold_1``, ... hold the bits of 62 years each, in the order of
+    ``years``.  Bits of a track, then of a member, are joined by ``bit_or``, which
+    each task does before it sends them: a member moves as one row, however many
+    years and tracks it has.
+    """
+    words = [list(years[a : a + YEARS_A_WORD]) for a in range(0, len(years), YEARS_A_WORD)]
+
+    def bits(of: list[int]) -> Column:
+        place = F.array_position(F.array(*[F.lit(y) for y in of]), F.col("year"))
+        return F.coalesce(F.bit_or(F.when(place > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), (place - 1).cast("int")))), F.lit(0).cast("bigint"))
+
+    by_track = track_year_sales(star, year).groupBy("track_id").agg(*[bits(w).alias(f"_bits_{i}") for i, w in enumerate(words)])
     members = star.tracks("genre_name", star.member).select(
         "track_id", F.col("genre_name").alias("genre"), F.col(star.member).alias("member")
-    ).dropna()
-    return (
-        track_year_sales(star, year)
-        .filter("year is not null")
-        .select("track_id", "year")
-        .join(members, "track_id")
-        .select("genre", "year", "member")
-        .distinct()
+    )
+    known = members.filter("genre is not null and member is not null and track_id is not null")
+    return known.join(by_track, "track_id", "left").groupBy("genre", "member").agg(
+        *[F.coalesce(F.bit_or(f"_bits_{i}"), F.lit(0).cast("bigint")).alias(f"sold_{i}") for i in range(len(words))]
     )
 
 
@@ -300,24 +321,37 @@ def no_sales_in_year(
 
     Only sets of 1 to 15 members count.  Sizes are compared first, so that the
     catalogue is expanded by year for the few sets that qualify and not for all.
+    One aggregate of the lines serves everything: it has the years, and one
+    bitmap of years per member says where it was sold and where not.
     """
-    members = catalogue(star)
-    if genre is not None:
-        members = members.filter(F.col("genre") == genre)
-    sold = sold_members(star, year)
     if year is not None:
         years = [year]
+    elif "track_year" not in star.stored:
+        star = replace(star, stored={**star.stored, "track_year": stored(track_year_sales(star), "track-years", reuse=star.reuse)})
+    if years is None:
+        # As many numbers as the calendar has years.
+        found = star.stored["track_year"].select("year").distinct().filter("year is not null")
+        years = sorted(r.year for r in found.collect())
+    years = list(years)
+    members = member_years(star, years, year)
+    if genre is not None:
+        members = members.filter(F.col("genre") == genre)
+    members = stored(members, "member-years", reuse=star.reuse)
+    sold = lambda i: F.col(f"sold_{i // YEARS_A_WORD}").bitwiseAND(F.lit(1 << (i % YEARS_A_WORD))) != 0
+    silent = [F.struct(F.lit(i).alias("place"), F.lit(y).alias("year"), F.count_if(~sold(i)).alias("n_silent")) for i, y in enumerate(years)]
+    if not years:
+        return members.select("genre", F.lit(None).cast("int").alias("year"), "member", F.lit(None).cast("bigint").alias("n_silent")).limit(0)
     sizes = (
         members.groupBy("genre")
-        .agg(F.count("*").alias("n_members"))
+        .agg(F.count("*").alias("n_members"), F.array(*silent).alias("sets"))
         .filter(F.col("n_members") >= fixed.MIN_CATALOGUE)
-        .withColumn("year", F.explode(year_array(dated_revenue(star), years)))
-        .join(sold.groupBy("genre", "year").agg(F.count("*").alias("n_sold")), ["genre", "year"], "left")
-        .withColumn("n_silent", F.col("n_members") - F.coalesce("n_sold", F.lit(0)))
-        .filter(F.col("n_silent").between(fixed.MIN_SET_ANSWERS, fixed.MAX_SET_ANSWERS))
+        .select("genre", F.filter("sets", lambda s: s["n_silent"].between(fixed.MIN_SET_ANSWERS, fixed.MAX_SET_ANSWERS)).alias("sets"))
+        .filter(F.size("sets") > 0)
     )
+    flags = F.array(*[sold(i) for i in range(len(years))])
     return (
-        members.join(sizes.select("genre", "year", "n_silent"), "genre")
-        .join(sold, ["genre", "year", "member"], "left_anti")
-        .select("genre", "year", "member", "n_silent")
+        members.select("genre", "member", flags.alias("sold"))
+        .join(sizes, "genre")
+        .select("genre", "member", F.explode(F.filter("sets", lambda s: ~F.get("sold", s["place"]))).alias("s"))
+        .select("genre", "s.year", "member", "s.n_silent")
     )

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 from string import Formatter
 
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from starqa import fixed_values as fixed
 from starqa.functions.money import cents_text
 from starqa.functions.names import alias_set
+from starqa.operators.ranking import numbered
 from starqa.operators.sales import dated_revenue, with_stored_aggregates
 from starqa.plans import questions
 from starqa.sources.storage import stored
@@ -277,15 +278,17 @@ def build_tasks(
     star: Star,
     template_ids: Sequence[str] | None = None,
     difficulties: Sequence[str] | None = None,
+    reuse: bool = True,
 ) -> TaskSet:
     """Tasks, truth and candidate universe of the chosen templates.
 
     Everything is written to the shared folder once, aggregates included, so
-    that draws, grading and reports start from small tables.
+    that draws, grading and reports start from small tables.  With ``reuse``
+    what this session has written from the same tables is read again.
     """
     weights = Counter(chosen_templates(template_ids, difficulties))
     chosen = list(weights)
-    star = with_stored_aggregates(star, {n for name in chosen for n in REGISTRY[name].needs})
+    star = with_stored_aggregates(replace(star, reuse=reuse), {n for name in chosen for n in REGISTRY[name].needs})
     choices = Choices(star)
     numeric = [name for name in chosen if _kind(name) == fixed.NUMERIC]
     listed = [name for name in chosen if _kind(name) != fixed.NUMERIC]
@@ -305,7 +308,7 @@ def build_tasks(
     else:
         found = _entities(questions.top_genre_in_country(star), "top_genre_in_country").limit(0)
     aliases = alias_set(F.col("display"), F.col("key"), F.col("last_name"))
-    truth = stored(found.withColumn("aliases", aliases).drop("last_name"), "truth")
+    truth = stored(found.withColumn("aliases", aliases).drop("last_name"), "truth", reuse=reuse)
     if listed:
         # Names of tied genres are listed in the notes; no other names are collected.
         genre = F.when(F.col("template_id") == "top_genre_in_country", F.col("display"))
@@ -319,9 +322,9 @@ def build_tasks(
         )
     tasks = _rendered(_union(summaries), weights, choices)
     return TaskSet(
-        tasks=stored(tasks, "tasks"),
+        tasks=stored(tasks, "tasks", reuse=reuse),
         truth=truth.drop("template_id", "params"),
-        universe=stored(genre_candidates(star), "universe"),
+        universe=stored(genre_candidates(star), "universe", reuse=reuse),
     )
 
 
@@ -401,3 +404,41 @@ def describe(task_set: TaskSet) -> DataFrame:
     )
     ranked = task_set.truth.filter(F.col("role") == "winner").select("task_id", "lo", "order_key", line.alias("text"))
     return numeric.unionByName(sets).unionByName(ranked)
+
+
+def describe_text(task_set: TaskSet, names_a_chunk: int = 1000) -> DataFrame:
+    """Truth as one text per task, in numbered pieces: ``task_id, chunk, text``.
+
+    ``5.0`` for a number, ``{A, B}`` for a set, ``1. A; 2-3. B | C (tied)`` for a
+    ranking: the pieces of a task, joined in order, are its text.  Names are
+    numbered over ranges of their order and a piece has ``names_a_chunk`` of
+    them, so a tie of any size is neither gathered nor sorted in one task.
+    """
+    numeric = task_set.tasks.filter(F.col("answer_type") == fixed.NUMERIC).select(
+        "task_id", F.lit(0).cast("bigint").alias("chunk"), cents_text(F.col("value")).alias("text")
+    )
+    sets = (
+        task_set.truth.filter(F.col("role") == "member")
+        .groupBy("task_id")
+        .agg(F.array_join(F.array_sort(F.collect_list("display")), ", ").alias("names"))
+        .select("task_id", F.lit(0).cast("bigint").alias("chunk"), F.concat(F.lit("{"), "names", F.lit("}")).alias("text"))
+    )
+    names = task_set.truth.filter(F.col("role") == "winner").select("task_id", "lo", "hi", "order_key", "key", "display")
+    placed = numbered(names, ["task_id"], [F.col("lo"), F.col("order_key"), F.col("key")])
+    first, last = ((F.col(c) + 1).cast("string") for c in ("lo", "hi"))
+    tied = F.col("hi") > F.col("lo")
+    begin = F.concat(
+        F.when(F.col("pos") > 0, "; ").otherwise(""), first, F.when(tied, F.concat(F.lit("-"), last)).otherwise(""), F.lit(". ")
+    )
+    piece = F.concat(
+        F.when(F.col("pos") == F.col("lo"), begin).otherwise(" | "),
+        "display",
+        F.when(tied & (F.col("pos") == F.col("hi")), " (tied)").otherwise(""),
+    )
+    ranked = (
+        placed.select("task_id", F.expr(f"pos div {names_a_chunk}").alias("chunk"), F.struct("pos", piece.alias("text")).alias("piece"))
+        .groupBy("task_id", "chunk")
+        .agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+        .select("task_id", "chunk", F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("text"))
+    )
+    return numeric.unionByName(sets).unionByName(ranked)

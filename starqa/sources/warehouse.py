@@ -51,6 +51,8 @@ class Star:
     ``album``, ``artist``, ``genre``   the snowflaked dimensions, where present
     ``stored``    aggregates already written down, by name (see
                   :func:`starqa.operators.sales.with_stored_aggregates`)
+    ``reuse``     whether tables written on the way may be those that this session
+                  has written before from the same files
     ``member``    column of ``track`` that names the catalogue member (the
                   "artist" of the no-sales question)
     """
@@ -64,6 +66,7 @@ class Star:
     album: DataFrame | None = None
     member: str = "artist_name"
     stored: dict[str, DataFrame] = field(default_factory=dict)
+    reuse: bool = False
 
     def tracks(self, *wanted: str, strict: bool = False) -> DataFrame:
         """Tracks with the wanted attributes, joining only what they need."""

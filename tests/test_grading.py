@@ -206,3 +206,18 @@ def test_mentions(spark):
     )
     found = {(r.id, r.key) for r in mentions(texts, "id", "t", names).collect()}
     assert found == {(1, "Rock"), (1, "Metal")}
+
+
+def test_mentions_of_several_words(spark):
+    """Only words that follow one another in one text count; texts of one id are not mixed."""
+    texts = spark.createDataFrame(
+        [(1, "new york, New York city"), (2, "new old york"), (3, "new"), (3, "york city"), (4, "a b a b a c"), (4, "a b a b a c"),
+         (None, "new york"), (5, ""), (6, "york new " * 5000 + "york city")],
+        "id int, t string",
+    )
+    names = spark.createDataFrame(
+        [("ny", ["new york"]), ("nyc", ["new york city", "nyc"]), ("abc", ["a b a c"]), ("aba", ["a b a b a"]), ("none", []), ("blank", [""])],
+        "key string, aliases array<string>",
+    )
+    found = {(r.id, r.key) for r in mentions(texts, "id", "t", names).collect()}
+    assert found == {(1, "ny"), (1, "nyc"), (4, "abc"), (4, "aba"), (None, "ny"), (6, "ny"), (6, "nyc")}

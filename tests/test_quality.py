@@ -91,6 +91,12 @@ def test_incomplete_tasks(music_tasks):
     cut = replace(music_tasks, truth=music_tasks.truth.filter("role <> 'member' and lo = 0"))
     problems = {r.problem for r in quality.incomplete_tasks(cut).collect()}
     assert problems == {"no entities", "bands too short"}
+    wrong = replace(
+        music_tasks,
+        tasks=music_tasks.tasks.withColumn("value", F.lit(None).cast("double")).withColumn("n_truth", F.col("n_truth") + 1),
+    )
+    rows = quality.incomplete_tasks(wrong).collect()
+    assert {r.problem for r in rows} == {"no value", "entities miscounted"} and len(rows) == music_tasks.tasks.count()
 
 
 READS = [

@@ -160,3 +160,27 @@ def test_prices_below_a_cent_are_rounded_once(spark, music_tables):
         lines = music_tables["InvoiceLine"].limit(1).withColumn("UnitPrice", F.lit(price)).withColumn("Quantity", F.lit(quantity))
         star = star_of_music(music_tables | {"InvoiceLine": lines})
         assert [str(r.value) for r in questions.total_revenue_in_year(star).collect()] == [wanted]
+
+
+def test_member_years_over_a_long_calendar(spark, music, music_tables):
+    """Bitmaps of several words: a member sold in 150 different years, others never."""
+    from datetime import datetime
+
+    from starqa.sources.warehouse import star_of_music
+
+    years = list(range(1870, 2020))
+    invoices = [(i, 1, datetime(y, 5, 1), "Norway", 1.0) for i, y in enumerate(years)]
+    lines = [(i, i, 1, 1.0, 1) for i in range(len(years)) if years[i] % 3]
+    tables = music_tables | {
+        "Invoice": spark.createDataFrame(invoices, music_tables["Invoice"].schema),
+        "InvoiceLine": spark.createDataFrame(lines, music_tables["InvoiceLine"].schema),
+    }
+    star = star_of_music(tables)
+    member = music_tables["Track"].filter("TrackId = 1").first()
+    bits = questions.member_years(star, years)
+    assert bits.columns == ["genre", "member", "sold_0", "sold_1", "sold_2"]
+    sold = {}
+    for r in bits.collect():
+        sold[r.genre, r.member] = [y for i, y in enumerate(years) if r[f"sold_{i // 62}"] >> i % 62 & 1]
+    assert sorted(sold.values())[-1] == [y for y in years if y % 3] and sum(map(bool, sold.values())) == 1
+    assert member is not None and bits.count() == questions.catalogue(star).count()

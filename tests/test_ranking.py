@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from starqa.operators.ranking import first_per_group, for_each_k, preview, top_k_with_ties, winners
+from starqa.operators.ranking import first_per_group, for_each_k, numbered, possible_top, preview, top_k_with_ties, winners
 
 
 def expected(rows, k):
@@ -75,3 +75,27 @@ def test_preview(spark, rows, n, shown, cut):
     found = preview(spark.range(rows), n, [F.col("id")]).collect()
     assert [r.id for r in found] == list(range(shown))
     assert {r.truncated for r in found} == {cut}
+
+
+@pytest.mark.parametrize("seed,span", [(1, 4), (2, 300), (3, 10**6), (4, 1)])
+def test_possible_top_keeps_every_row_that_may_be_first(spark, seed, span):
+    rng = random.Random(seed)
+    rows = [(rng.choice([0, 0, 0, 1, None]), key, rng.choice([None, *(rng.randrange(span) for _ in range(9))])) for key in range(3000)]
+    df = spark.createDataFrame(rows, "g int, key int, v int")
+    for k in (1, 5):
+        near = possible_top(df, ["g"], "v", "key", k)
+        top = lambda d: sorted(map(str, top_k_with_ties(d, ["g"], "v", "key", k).collect()))
+        assert near.columns == df.columns and top(near) == top(df)
+        if span == 10**6:
+            assert near.count() <= 3 * (k + 5)
+
+
+def test_numbered_over_ranges(spark):
+    """One group holds most rows and lies in several ranges; equal rows get different numbers."""
+    spark.conf.set("spark.sql.shuffle.partitions", 5)
+    rows = [("a", i // 2) for i in range(2000)] + [("b", 7)] * 5 + [(None, 1), (None, 0)]
+    found = numbered(spark.createDataFrame(rows, "g string, v int").repartition(3), ["g"], [F.col("v")]).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    of = {g: sorted((r.pos, r.v) for r in found if r.g == g) for g in ("a", "b", None)}
+    assert of["a"] == [(i, i // 2) for i in range(2000)]
+    assert of["b"] == [(i, 7) for i in range(5)] and of[None] == [(0, 0), (1, 1)]

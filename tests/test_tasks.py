@@ -1,15 +1,16 @@
 """The task table, draws from it and its closure under grading."""
 
+import random
 from collections import Counter
 from hashlib import md5
 
 import pytest
 from pyspark.sql import functions as F
 
-from starqa.operators.draw import numbered_draws, weighted_draw
+from starqa.operators.draw import alias_table, numbered_draws, weighted_draw
 from starqa.operators.grading import score_answers
 from starqa.plans import quality
-from starqa.plans.tasks import TICKS, TaskSet, build_tasks, chosen_templates, describe, flat_entities, param_grid
+from starqa.plans.tasks import TICKS, TaskSet, build_tasks, chosen_templates, describe, describe_text, flat_entities, param_grid
 
 
 @pytest.fixture(scope="module")
@@ -70,6 +71,20 @@ def test_describe(music_tasks, by_template):
     assert text("top_genre_in_country", '{"country":"Norway"}') == "1. Rock"
 
 
+@pytest.mark.parametrize("names", [1, 3, 1000])
+def test_describe_text(music_tasks, by_template, names):
+    rows = sorted(describe_text(music_tasks, names).collect(), key=lambda r: (r.task_id, r.chunk))
+    texts = {}
+    for r in rows:
+        texts[r.task_id] = texts.get(r.task_id, "") + r.text
+    text = lambda name, params: texts[by_template[name][params].task_id]
+    assert text("total_revenue_in_year", '{"year":2021}') == "7.94"
+    assert text("top_customers_by_revenue", '{"year":2021,"k":3}') == "1-2. Ana Silva | Bo Silva (tied); 3-4. Cy Lund | Di (tied)"
+    assert text("artists_with_no_sales_in_year", '{"genre":"Latin","year":2023}') == "{AC/DC}"
+    assert text("top_genre_in_country", '{"country":"Norway"}') == "1. Rock"
+    assert len(texts) == music_tasks.tasks.count()
+
+
 def test_aliases(music_tasks):
     rows = flat_entities(music_tasks.truth).filter("key = '1'").select("alias").distinct().collect()
     assert {r.alias for r in rows} == {"ana silva", "1", "silva"}
@@ -134,17 +149,72 @@ def draw(spark, items, n, seed):
     }
 
 
-def test_draw_equals_a_plain_walk_along_the_line(spark):
-    weights = {f"item{i}": w for i, w in enumerate([1, 5, 0, 1000, 3, 7, 250, 1])}
-    items = spark.createDataFrame(list(weights.items()), "item string, ticks bigint")
-    found = draw(spark, items, 500, 3)
-    line = [
-        name
-        for name in sorted(weights, key=lambda n: (md5(n.encode()).hexdigest()[:2], n))
-        for _ in range(weights[name])
-    ]
-    place = lambda i: int(md5(f"3|{i}".encode()).hexdigest()[:15], 16) * len(line) // 16**15
-    assert found == {i: line[place(i)] for i in range(500)}
+def plain_alias_table(weights):
+    """Light items one after another take from the heavy item in turn; what a heavy one gives too much the next one gives it."""
+    order = sorted((n for n in weights if weights[n] > 0), key=lambda n: (md5(n.encode()).hexdigest()[:2], n))
+    full, scaled = sum(weights.values()), {n: weights[n] * len(order) for n in order}
+    light = iter([n for n in order if scaled[n] < full])
+    heavy = [n for n in order if scaled[n] >= full]
+    table, left = {}, {n: scaled[n] for n in heavy}
+    for place, giver in enumerate(heavy):
+        while left[giver] > full and (taker := next(light, None)) is not None:
+            table[taker] = (scaled[taker], giver)
+            left[giver] -= full - scaled[taker]
+        after = heavy[place + 1] if place + 1 < len(heavy) else giver
+        table[giver] = (min(left[giver], full), after)
+        if left[giver] < full:
+            left[after] -= full - left[giver]
+    return [(n, *table[n]) for n in order], full
+
+
+WEIGHTS = [
+    [1, 5, 0, 1000, 3, 7, 250, 1],
+    [4] * 9,
+    [1],
+    [1] * 40 + [1000],
+    [0, 2, 2, 3, 1, 2],
+    [10, 10, 10, 1, 1, 1, 1, 30, 16, 10],
+]
+
+
+@pytest.mark.parametrize("weights", WEIGHTS)
+def test_alias_table(spark, weights):
+    """The table of a plain construction, and every item has its exact share of all slots."""
+    named = {f"item{i}": w for i, w in enumerate(weights)}
+    rows = alias_table(spark.createDataFrame(list(named.items()), "item string, ticks bigint"), "item", "ticks").collect()
+    table, full = plain_alias_table(named)
+    assert {r.slot: (r.own.item, r.threshold) for r in rows} == {i: (n, t) for i, (n, t, _) in enumerate(table)}
+    assert {r.slot: r.other.item for r in rows if r.threshold < full} == {i: o for i, (_, t, o) in enumerate(table) if t < full}
+    share = Counter()
+    for r in rows:
+        share[r.own.item] += r.threshold
+        share[r.other.item] += r.full - r.threshold
+    assert {n: s for n, s in share.items() if s} == {n: w * len(table) for n, w in named.items() if w}
+
+
+def test_alias_table_over_many_items(spark):
+    """Random weights of very different sizes over many partitions, in the plain construction's order."""
+    rng = random.Random(8)
+    named = {f"n{i}": int(rng.paretovariate(0.6)) for i in range(3000)}
+    items = spark.createDataFrame(list(named.items()), "item string, ticks bigint").repartition(5)
+    rows = {r.slot: r for r in alias_table(items, "item", "ticks").collect()}
+    table, full = plain_alias_table(named)
+    assert [(rows[i].own.item, rows[i].threshold) for i in range(3000)] == [(n, t) for n, t, _ in table]
+    assert all(rows[i].other.item == o for i, (_, t, o) in enumerate(table) if t < full)
+
+
+def test_draw_equals_a_plain_look_at_the_table(spark):
+    named = {f"item{i}": w for i, w in enumerate(WEIGHTS[0])}
+    found = draw(spark, spark.createDataFrame(list(named.items()), "item string, ticks bigint"), 500, 3)
+    table, full = plain_alias_table(named)
+
+    def plain(i):
+        digits = md5(f"3|{i}".encode()).hexdigest()
+        slot, rest = (int(digits[a : a + 15], 16) * size // 16**15 for a, size in ((0, len(table)), (15, full)))
+        own, threshold, other = table[slot]
+        return own if rest < threshold else other
+
+    assert found == {i: plain(i) for i in range(500)}
 
 
 def test_draw_is_seeded_and_weighted(spark, music_tasks):
@@ -166,8 +236,8 @@ def test_draw_from_nothing_fails(spark):
 
 
 def test_one_item_with_nearly_all_the_weight(spark):
-    """Its list of cells stays short, and every draw still has exactly one item."""
-    items = spark.range(20_000).select(
+    """Every item has one slot, and every draw exactly one item."""
+    items = spark.range(100_000).select(
         F.col("id").cast("string").alias("item"), F.when(F.col("id") == 7, 10**9).otherwise(1).cast("bigint").alias("ticks")
     )
     rows = weighted_draw(numbered_draws(spark, 2000), "draw_id", items, "item", "ticks", 3).collect()
