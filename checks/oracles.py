@@ -837,6 +837,14 @@ select o_custkey as customer_id, any_value(c_name) as customer_name,
 from active cross join ends join customer on c_custkey = o_custkey
 group by o_custkey having count(*) filter (year = a) = 0 and count(*) filter (year = b) > 0"""
 
+ORACLES["v6b_absent_in_ranking"] = with_parts(
+    ["q8v"],
+    """select cast(key as bigint) as customer_id, lo, hi, cast(value as double) as value from r
+    where year_a = (select min(year_a) from r) and year_b = (select max(year_b) from r) and key in (
+        select cast(customer_id as varchar) from absent)""",
+    {"r": ranking("q8v", "year_a, year_b", (200,), "best > 0"), "absent": ORACLES["v6_absent_customers"]},
+)
+
 # ---------------------------------------------------------------- SQL constructs
 
 for _name, _text in SQL_CONSTRUCTS.items():

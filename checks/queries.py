@@ -596,6 +596,12 @@ def v6_absent_customers(star):
     return quality.absent_customers(star)
 
 
+@star_query
+def v6b_absent_in_ranking(star):
+    """Among the first 200 by change from the first to the last year, those that bought nothing in the first."""
+    return quality.absent_in_ranking(star, 200).select("customer_id", "lo", "hi", money("value"))
+
+
 @task_query
 def v7_task_invariants(spark, folder, tasks):
     return quality.incomplete_tasks(tasks)

@@ -17,6 +17,7 @@ from starqa.operators.sales import invoice_revenue
 from starqa.plans import questions
 from starqa.plans.tasks import TaskSet
 from starqa.sources.schemas import TableSpec
+from starqa.sources.storage import stored
 from starqa.sources.warehouse import Star
 
 
@@ -239,13 +240,17 @@ def undated_invoices(star: Star) -> DataFrame:
 def absent_customers(star: Star) -> DataFrame:
     """Customers without sales in the first year but with some in the last.
 
-    They take part in the change between the two years, from 0.00.
+    They take part in the change between the two years, from 0.00.  Lines are
+    read once: what is written is a count per customer and year.
     """
-    per_year = invoice_revenue(star).filter("customer_id is not null and year is not null")
+    sold = invoice_revenue(star).filter("customer_id is not null and year is not null")
+    per_year = stored(
+        sold.groupBy("customer_id", "year").agg(F.count("*").alias("invoices")), "customer-year-invoices", reuse=star.reuse
+    )
     ends = per_year.agg(F.struct(F.min("year").alias("first"), F.max("year").alias("last"))).scalar()
+    in_year = lambda end: F.coalesce(F.sum(F.when(F.col("year") == F.col("_ends")[end], F.col("invoices"))), F.lit(0))
     active = per_year.withColumn("_ends", ends).groupBy("customer_id").agg(
-        F.count_if(F.col("year") == F.col("_ends.first")).alias("first_year"),
-        F.count_if(F.col("year") == F.col("_ends.last")).alias("last_year"),
+        in_year("first").alias("first_year"), in_year("last").alias("last_year")
     )
     return (
         active.filter("first_year = 0 and last_year > 0")
@@ -254,6 +259,21 @@ def absent_customers(star: Star) -> DataFrame:
     )
 
 
+def absent_in_ranking(star: Star, k: int) -> DataFrame:
+    """Absent customers among the first ``k`` by change from the first to the last year.
+
+    ``customer_id, lo, hi, value``: they stand in that ranking although they have
+    no row in its first year.
+    """
+    years = sorted(r.year for r in questions.dated_revenue(star).select("year").distinct().filter("year is not null").collect())
+    if not years:
+        return absent_customers(star).select("customer_id", F.lit(None).cast("bigint").alias("lo"), F.lit(None).cast("bigint").alias("hi"), F.lit(None).cast("decimal(38,2)").alias("value"))
+    ranking = questions.revenue_increase(star, [k], years[0], years[-1])
+    placed = ranking.select(F.col("key"), "lo", "hi", "value")
+    absent = absent_customers(star).select("customer_id", F.col("customer_id").cast("string").alias("key"))
+    return absent.join(placed, "key").select("customer_id", "lo", "hi", "value")
+
+
 def incomplete_tasks(task_set: TaskSet) -> DataFrame:
     """Tasks without truth, or whose bands do not cover ``k`` positions."""
     spans = task_set.truth.groupBy("task_id").agg(
