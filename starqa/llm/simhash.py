@@ -21,7 +21,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starqa.llm.common import chunks, fresh
@@ -231,24 +231,20 @@ def near_duplicate_classes(
 
 
 def one_of_each_class(
-    documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8
+    documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE
 ) -> DataFrame:
-    """The documents with the smallest id of each class of near copies, one row each, all columns as they were.
+    """The documents with the smallest id of each class, one row each, all columns as they were.
 
-    Classes are those of ``nearcopies``: fingerprints of texts with a similarity
-    of 0.8 differ in about 10 of 64 bits, far more than anchors can cover.
+    Classes are those of :func:`near_duplicate_classes`.  A class without any id
+    keeps the row of the smallest hash.  Of rows with one id and one text any one
+    stays; they are brought down to one by each task before they meet.
     """
-    from starqa.llm.nearcopies import near_copy_classes
-
-    classes = near_copy_classes(documents, doc_id, text, shingle, similarity)
-    kept = classes.groupBy("root").agg(F.min("k").alias("k"))
+    classes = near_duplicate_classes(documents, doc_id, text, shingle)
+    kept = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark", "mark2")).alias("k"))
     kept = kept.select(F.col("k.mark").alias("_mark"), F.col("k.mark2").alias("_mark2"))
     row, mark, mark2 = (fresh(documents, n) for n in ("_row", "_m", "_n"))
     keys = identity(doc_id, text)
-    marked = documents.select(
-        F.struct(*documents.columns).alias(row), keys[0].alias(mark), keys[1].alias(mark2)
-    ).join(kept, (F.col(mark) == F.col("_mark")) & (F.col(mark2) == F.col("_mark2")), "left_semi")
-    # Equal rows that remain: one is enough; the join has brought them together.
-    first = F.row_number().over(Window.partitionBy(mark, mark2).orderBy(F.lit(1)))
-    only = marked.withColumn("_first", first).where("_first = 1")
+    marked = documents.select(F.struct(*documents.columns).alias(row), keys[0].alias(mark), keys[1].alias(mark2))
+    once = marked.groupBy(mark, mark2).agg(F.first(row).alias(row))
+    only = once.join(kept, (F.col(mark) == F.col("_mark")) & (F.col(mark2) == F.col("_mark2")), "left_semi")
     return only.select(*(F.col(row)[c].alias(c) for c in documents.columns))

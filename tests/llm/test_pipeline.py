@@ -63,3 +63,23 @@ def test_run_gives_the_last_stage(spark, stages):
     got = corpus_pipeline.run(spark, SMALL)
     both = [x.groupBy("doc_id", "text", "ids").count() for x in (got, stages[5])]
     assert both[0].exceptAll(both[1]).count() == both[1].exceptAll(both[0]).count() == 0
+
+
+@pytest.mark.parametrize("given", ["edges", "nothing"])
+def test_odd_tables(spark, given, request, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing names, no rows."""
+    docs = request.getfixturevalue(given)
+    names, out = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SMALL).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        out.append(docs.collect())
+        assert docs.columns[: len(names)] == names
+    if given == "nothing":
+        assert not any(out)
+        return
+    languages, classes, passages, mixed, _ = out
+    assert all(r.text and any(c.isalpha() for c in r.text) for r in languages)
+    assert len({(r.doc_id, r.text) for r in classes}) == len(classes) <= len(languages)
+    assert [r.doc_id for r in classes] and {r.doc_id for r in passages} == {r.doc_id for r in classes}
+    assert {r.doc_id for r in mixed} <= {r.doc_id for r in passages}
