@@ -212,21 +212,3 @@ TRAILING_FIGURE = rf"(?d){WS}*[-:–—]{WS}*\$?-?[{DIGIT},]+(?:\.{DIGIT}+)?{WS}
 SQL_BLOCK_COMMENT = r"(?s)/\*.*?\*/"
 SQL_LINE_COMMENT = r"--[^\n]*"
 SQL_WORD = "[A-Za-z_][A-Za-z_0-9]*"
-
-# --------------------------------------------------------------------------
-# Expected sizes of the standard music-store sample
-# --------------------------------------------------------------------------
-
-MUSIC_STORE_ROW_COUNTS = {
-    "Album": 347,
-    "Artist": 275,
-    "Customer": 59,
-    "Employee": 8,
-    "Genre": 25,
-    "Invoice": 412,
-    "InvoiceLine": 2240,
-    "MediaType": 5,
-    "Playlist": 18,
-    "PlaylistTrack": 8715,
-    "Track": 3503,
-}

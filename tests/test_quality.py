@@ -1,20 +1,35 @@
 """Data-quality reports and the query-log audit on frames with known faults."""
 
-from starqa import fixed_values as fixed
 from starqa.operators import audit
 from starqa.operators.joins import duplicate_keys, unique_on
 from starqa.plans import quality
-from starqa.sources.schemas import MUSIC_STORE
+from starqa.sources.schemas import MUSIC_STORE, TableSpec
 from starqa.sources.warehouse import star_of_music
 
 import pytest
 from pyspark.sql import functions as F
 
 
+# Expected sizes of the standard music-store sample
+MUSIC_STORE_ROW_COUNTS = {
+    "Album": 347,
+    "Artist": 275,
+    "Customer": 59,
+    "Employee": 8,
+    "Genre": 25,
+    "Invoice": 412,
+    "InvoiceLine": 2240,
+    "MediaType": 5,
+    "Playlist": 18,
+    "PlaylistTrack": 8715,
+    "Track": 3503,
+}
+
+
 def test_counts_and_expectations(spark, music_tables):
     counts = quality.table_counts(music_tables)
     assert {r.table_name: r.row_count for r in counts.collect()}["InvoiceLine"] == 8
-    expected = spark.createDataFrame(list(fixed.MUSIC_STORE_ROW_COUNTS.items()), "table_name string, expected_rows bigint")
+    expected = spark.createDataFrame(list(MUSIC_STORE_ROW_COUNTS.items()), "table_name string, expected_rows bigint")
     kinds = {r.table_name: r.kind for r in quality.unexpected_counts(counts, expected).collect()}
     assert kinds["Playlist"] == "missing" and kinds["Album"] == "other size"
     exact = counts.withColumnRenamed("row_count", "expected_rows")
@@ -32,6 +47,49 @@ def test_profile(music_tables):
     assert (rows["Invoice", "Total"].data_type, rows["Invoice", "Total"].row_count) == ("double", 6)
 
 
+def test_profile_by_sketch_and_exactly(spark, music_tables):
+    """Exact counts leave nulls out; sketches stay within their bound; a primary key may not be null."""
+    spec = TableSpec("k bigint, s string, d date, x double", "k")
+    df = spark.range(30_000).select(
+        F.col("id").alias("k"), F.when(F.col("id") % 3 > 0, (F.col("id") % 7000).cast("string")).alias("s"),
+        F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 400).cast("int")).alias("d"), F.lit(None).cast("double").alias("x"),
+    )
+    exact = {r.column_name: r for r in quality.profile_tables({"t": df}, {"t": spec}).collect()}
+    assert {c: r.distinct_count for c, r in exact.items()} == {"k": 30_000, "s": 7000, "d": 400, "x": 0}
+    assert {c: r.nullable for c, r in exact.items()} == {"k": False, "s": True, "d": True, "x": True}
+    for r in quality.profile_tables({"t": df}, {"t": spec}, distinct="sketch").collect():
+        wanted = exact[r.column_name]
+        assert abs(r.distinct_count - wanted.distinct_count) <= quality.SKETCH_ERROR * wanted.distinct_count
+        assert (r.row_count, r.null_count, r.position) == (wanted.row_count, wanted.null_count, wanted.position)
+    with pytest.raises(ValueError):
+        quality.profile_tables({"t": df}, {"t": spec}, distinct="roughly")
+
+
+def test_sample_rows(music_tables):
+    rows = {(r.table_name, r["sample"]): r.text for r in quality.sample_rows(music_tables, MUSIC_STORE, 2).collect()}
+    assert rows["Genre", 1].startswith("GenreId=1, Name='") and rows["Genre", 2].startswith("GenreId=2, ")
+    assert any("LastName=None" in t for (name, _), t in {**rows, **{(r.table_name, r["sample"]): r.text for r in quality.sample_rows(music_tables, MUSIC_STORE, 99).collect()}}.items() if name == "Customer")
+    assert max(n for _, n in rows) == 2
+
+
+def test_keys_of_other_types_and_hot_keys(spark):
+    """A child's key is cast to its parent's type; a key with most rows, null keys and a table that is child and parent."""
+    layout = {
+        "parent": TableSpec("id bigint, up int", "id", (("up", "parent", "id"),)),
+        "child": TableSpec("ref string", None, (("ref", "parent", "id"),)),
+    }
+    tables = {
+        "parent": spark.createDataFrame([(1, None), (2, 1), (3, 9)], "id bigint, up int"),
+        "child": spark.range(5000).select(F.when(F.col("id") % 10 > 0, "2").when(F.col("id") > 100, "07").alias("ref")),
+    }
+    found = {(r.reference, r.kind, r.key) for r in quality.key_mismatches(tables, layout).collect()}
+    to_parent, up = "child.ref -> parent.id", "parent.up -> parent.id"
+    assert found == {
+        (to_parent, "orphan", "7"), (to_parent, "childless", "1"), (to_parent, "childless", "3"),
+        (up, "orphan", "9"), (up, "childless", "2"), (up, "childless", "3"),
+    }
+
+
 def test_keys(spark, music_tables):
     assert quality.repeated_keys(music_tables, MUSIC_STORE).count() == 0
     twice = {**music_tables, "Genre": music_tables["Genre"].union(music_tables["Genre"].limit(1))}
@@ -81,6 +139,8 @@ def test_years(music):
     dates = quality.date_range(music).first()
     assert (dates.first_date.isoformat()[:10], dates.last_date.isoformat()[:10]) == ("2021-01-02", "2023-07-01")
     assert quality.undated_invoices(music).count() == 0
+    placed = quality.absent_in_ranking(music, 3).collect()
+    assert [(r.customer_id, r.lo) for r in placed if r.customer_id == 5] and all(r.lo <= r.hi for r in placed)
     absent = quality.absent_customers(music).collect()
     assert [(r.customer_id, r.customer_name, r.last_year_invoices) for r in absent] == [(5, "Ed Nomad", 1)]
 
