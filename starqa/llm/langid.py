@@ -13,19 +13,22 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from starqa.llm.common import chunks, fresh, is_training
+from starqa.llm.lattice import PieceTrie, with_unknown
 from starqa.llm.vocabulary import LITERAL, SPACE, Pieces, load_pieces
 
 UNDETERMINED = "und"
 #: Distinct words that a task counts before it turns them into piece counts; words whose likelihoods a worker remembers.
-COUNTED, REMEMBERED = 400_000, 600_000
+COUNTED, REMEMBERED = 200_000, 350_000
+#: Words that are looked at together.
+GROUP = 10_000
+#: A character's usual share of a logarithm; how far the products of a word may go without leaving a double.
+LIFT, FAR = 3.0, 550.0
 #: Added to each expected count.
 SMOOTHING = 0.05
 _LETTER = re.compile(r"[^\W\d_]")
@@ -37,43 +40,82 @@ class Lattice:
     A character that is no piece is an edge of the unknown piece, the last id.
     """
 
-    def __init__(self, words: list[bytes], automaton: ahocorasick.Automaton, unknown: int):
+    def __init__(self, words: list[bytes], trie: PieceTrie, unknown: int):
         texts = [SPACE + w.decode().replace(SPACE, LITERAL) for w in words]
         lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        joined = "".join(texts)
-        self.begin = np.cumsum(lengths) - lengths + np.arange(len(words))  # positions of words do not share ends
-        owner_of_char = np.repeat(np.arange(len(words)), lengths)
-        flat = np.fromiter(chain.from_iterable(automaton.iter(joined)), dtype=np.int64).reshape(-1, 2)
-        end, size, piece = flat[:, 0] + 1, flat[:, 1] & 63, flat[:, 1] >> 6
-        inside = owner_of_char[end - 1] == owner_of_char[np.maximum(end - size, 0)]
-        end, size, piece = end[inside], size[inside], piece[inside]
-        single = np.zeros(len(joined), dtype=bool)
-        single[end[size == 1] - 1] = True
-        lone = np.flatnonzero(~single)
-        end = np.concatenate((end, lone + 1))
-        size = np.concatenate((size, np.ones(len(lone), np.int64)))
-        piece = np.concatenate((piece, np.full(len(lone), unknown)))
-        self.word = owner_of_char[end - 1]
-        self.end, self.start, self.piece = end + self.word, end - size + self.word, piece
-        self.finish = self.begin + lengths
-        self.positions = len(joined) + len(words)
+        start, end, piece, self.begin = trie.inside(texts)
+        self.words, self.trie, self.unknown = words, trie, unknown
+        self.start, self.end, self.piece = with_unknown(start, end, piece, self.begin, lengths, unknown)
+        self.finish, self.lengths = self.begin + lengths, lengths
+        self.word = np.repeat(np.arange(len(words)), lengths + 1)[self.start]
+        self.positions = int(self.finish[-1]) + 1 if words else 0
+
+    def _steps(self, into: np.ndarray, depth: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Edges by step of depth, in order of ``into``, and where a new position begins among them."""
+        order = np.lexsort((into, depth))
+        cuts = np.flatnonzero(np.diff(depth[order], prepend=-1))
+        for step in np.split(order, cuts[1:]):
+            yield step, np.flatnonzero(np.diff(into[step], prepend=-1))
 
     def _summed(self, into: np.ndarray, source: np.ndarray, depth: np.ndarray, edge: np.ndarray, from_: np.ndarray) -> np.ndarray:
         """Log sums over paths, one step of depth at a time; ``into`` and ``source`` are positions of edges."""
-        order = np.lexsort((into, depth))
-        into, source, edge, depth = into[order], source[order], edge[order], depth[order]
         total = np.full((self.positions, edge.shape[1]), -np.inf)
         total[from_] = 0.0
-        cuts = np.flatnonzero(np.diff(depth, prepend=-1))
-        for a, b in zip(cuts, np.append(cuts[1:], len(depth)), strict=True):
-            value = total[source[a:b]] + edge[a:b]
-            first = np.flatnonzero(np.diff(into[a:b], prepend=-1))
+        for step, first in self._steps(into, depth):
+            value = total[source[step]] + edge[step]
             most = np.maximum.reduceat(value, first, axis=0)
-            counts = np.diff(np.append(first, b - a))
+            counts = np.diff(np.append(first, len(step)))
             sums = np.add.reduceat(np.exp(value - np.repeat(most, counts, axis=0)), first, axis=0)
-            total[into[a:b][first]] = most + np.log(sums)
+            total[into[step[first]]] = most + np.log(sums)
+        return total
+
+    def _products(self, into: np.ndarray, source: np.ndarray, depth: np.ndarray, edge: np.ndarray, from_: np.ndarray) -> np.ndarray:
+        """The same sums as plain products."""
+        total = np.zeros((self.positions, edge.shape[1]))
+        total[from_] = 1.0
+        with np.errstate(over="ignore", invalid="ignore"):
+            for step, first in self._steps(into, depth):
+                total[into[step[first]]] = np.add.reduceat(total[source[step]] * edge[step], first, axis=0)
         return total
 
+    def _lifted(self, log_p: np.ndarray) -> np.ndarray:
+        """Each edge's probability, lifted by a constant for each character so that a word's stays near 1."""
+        sizes = np.append(self.trie.sizes, 1)[:, None]
+        return np.exp(np.minimum(log_p + LIFT * sizes, FAR))[self.piece]
+
+    def _far(self, whole: np.ndarray) -> np.ndarray:
+        """Words whose products are beyond what a double can hold well."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.flatnonzero(~(np.abs(np.log(whole)) < FAR).all(axis=1))
+
+    def part(self, words: np.ndarray) -> Lattice:
+        return Lattice([self.words[i] for i in words], self.trie, self.unknown)
+
+    def likelihoods(self, log_p: np.ndarray) -> np.ndarray:
+        """Log likelihood of each word in each column of ``log_p``."""
+        depth = self.end - self.begin[self.word]
+        whole = self._products(self.end, self.start, depth, self._lifted(log_p), self.begin)[self.finish]
+        far = self._far(whole)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            found = np.log(whole) - LIFT * self.lengths[:, None]
+        if len(far):
+            part = self.part(far)
+            found[far] = part.forward(log_p[part.piece])[part.finish]
+        return found
+
+    def shares(self, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each edge, the share of its word's probability that goes over it; and words for which that is not known."""
+        edge = self._lifted(log_p[:, None])
+        forward = self._products(self.end, self.start, self.end - self.begin[self.word], edge, self.begin)
+        backward = self._products(self.start, self.end, self.finish[self.word] - self.start, edge, self.finish)
+        whole = forward[self.finish]
+        far = self._far(whole)
+        whole[far] = np.inf
+        with np.errstate(over="ignore", invalid="ignore"):
+            share = forward[self.start] * edge * backward[self.end] / whole[self.word]
+        share[np.isin(self.word, far)] = 0.0
+        return share[:, 0], far
+
     def forward(self, edge: np.ndarray) -> np.ndarray:
         return self._summed(self.end, self.start, self.end - self.begin[self.word], edge, self.begin)
 
@@ -81,22 +123,22 @@ class Lattice:
         return self._summed(self.start, self.end, self.finish[self.word] - self.start, edge, self.finish)
 
 
-def _automaton(pieces: list[str]) -> ahocorasick.Automaton:
-    out = ahocorasick.Automaton()
-    for i, piece in enumerate(pieces):
-        out.add_word(piece, i << 6 | len(piece))
-    out.make_automaton()
-    return out
+def _automaton(pieces: list[str]) -> PieceTrie:
+    return PieceTrie(pieces)
 
 
-def _expected(words: list[bytes], weights: np.ndarray, log_start: np.ndarray, automaton: ahocorasick.Automaton) -> np.ndarray:
+def _expected(words: list[bytes], weights: np.ndarray, log_start: np.ndarray, trie: PieceTrie) -> np.ndarray:
     """Expected counts of pieces over all segmentations of the words: one row per column of weights."""
-    lattice = Lattice(words, automaton, len(log_start) - 1)
-    edge = log_start[lattice.piece][:, None]
-    forward, backward = lattice.forward(edge), lattice.backward(edge)
-    whole = forward[lattice.finish]
-    share = np.exp(forward[lattice.start] + edge + backward[lattice.end] - whole[lattice.word])[:, 0]
-    return np.stack([np.bincount(lattice.piece, share * w[lattice.word], len(log_start)) for w in weights.T])
+    lattice = Lattice(words, trie, len(log_start) - 1)
+    share, far = lattice.shares(log_start)
+    total = np.stack([np.bincount(lattice.piece, share * w[lattice.word], len(log_start)) for w in weights.T])
+    if len(far):
+        part = lattice.part(far)
+        edge = log_start[part.piece][:, None]
+        forward, backward = part.forward(edge), part.backward(edge)
+        share = np.exp(forward[part.start] + edge + backward[part.end] - forward[part.finish][part.word])[:, 0]
+        total += np.stack([np.bincount(part.piece, share * w[far][part.word], len(log_start)) for w in weights.T])
+    return total
 
 
 def train(documents: DataFrame, pieces: list[str], text: str, lang: str) -> tuple[list[str], np.ndarray]:
@@ -118,11 +160,11 @@ def train(documents: DataFrame, pieces: list[str], text: str, lang: str) -> tupl
         def emit() -> Iterator[pa.RecordBatch]:
             words = list(set().union(*counts.values()))
             if words:
-                weights = np.array([[c[w] for c in counts.values()] for w in words], dtype=float)
-                total = sum(
-                    _expected(words[a : a + 10_000], weights[a : a + 10_000], log_start, automaton)
-                    for a in range(0, len(words), 10_000)
-                )
+                total = 0.0
+                for a in range(0, len(words), GROUP):
+                    group = words[a : a + GROUP]
+                    weights = np.array([[c[w] for c in counts.values()] for w in group], dtype=float)
+                    total = total + _expected(group, weights, log_start, automaton)
                 for name, row in zip(counts, total, strict=True):
                     at = np.flatnonzero(row)
                     yield pa.RecordBatch.from_arrays(
@@ -162,19 +204,19 @@ class Scorer:
     def texts(self, texts: list[str | None]) -> np.ndarray:
         """One row per text; words new to all of them are looked at together."""
         lists = [t.encode().split() if t else [] for t in texts]
-        words = list(chain.from_iterable(lists))
-        new = list(set(words).difference(self.place))
+        coded = pa.array(chain.from_iterable(lists), pa.binary()).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        new = [w for w in words if w not in self.place]
         if len(self.place) + len(new) > len(self.values):
-            new = list(set(words))
+            new = words
             self.place.clear()
             self.values = np.zeros((max(REMEMBERED, len(new)), self.log_p.shape[1]))
-        for a in range(0, len(new), 10_000):
-            group = new[a : a + 10_000]
-            lattice = Lattice(group, self.automaton, len(self.log_p) - 1)
+        for a in range(0, len(new), GROUP):
+            group = new[a : a + GROUP]
             first = len(self.place)
-            self.values[first : first + len(group)] = lattice.forward(self.log_p[lattice.piece])[lattice.finish]
+            self.values[first : first + len(group)] = Lattice(group, self.automaton, len(self.log_p) - 1).likelihoods(self.log_p)
             self.place.update(zip(group, range(first, first + len(group)), strict=True))
-        at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
+        at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))[coded.indices.to_numpy()]
         ends = np.cumsum([len(x) for x in lists])
         sums = np.concatenate((np.zeros((1, self.values.shape[1])), np.cumsum(self.values[at], axis=0)))
         return sums[ends] - sums[np.concatenate(([0], ends[:-1]))]
@@ -199,29 +241,28 @@ def identify(
     languages, log_p = train(seen, names, text, lang)
     shared = spark.sparkContext.broadcast((names, languages, log_p))
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("pred string, score double")
+    def found(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names, languages, log_p = shared.value
         scorer = Scorer(names, log_p)
-        for batch in chunks(batches, text):
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            if languages:
-                found = scorer.texts(texts)
-                best = found.argmax(axis=1)
-                score = 1.0 / np.exp(found - found.max(axis=1, keepdims=True)).sum(axis=1)
-            letters = [bool(languages and t and _LETTER.search(t)) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns,
-                    pa.array([languages[best[i]] if ok else UNDETERMINED for i, ok in enumerate(letters)], pa.string()),
-                    pa.array([float(score[i]) if ok else 0.0 for i, ok in enumerate(letters)], pa.float64()),
-                ],
-                names=[*batch.schema.names, *into],
+        for column in columns:
+            rows = []
+            for batch in chunks([pa.RecordBatch.from_arrays([column], names=["text"])], "text"):
+                texts = batch.column(0).to_pylist()
+                letters = [bool(languages and t and _LETTER.search(t)) for t in texts]
+                if languages:
+                    sums = scorer.texts(texts)
+                    best = sums.argmax(axis=1)
+                    score = 1.0 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
+                rows += [(languages[best[i]], float(score[i])) if ok else (UNDETERMINED, 0.0) for i, ok in enumerate(letters)]
+            yield pa.StructArray.from_arrays(
+                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], names=["pred", "score"]
             )
 
-    return documents.mapInArrow(
-        each,
-        T.StructType([*documents.schema.fields, T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())]),
-    )
+    # Only texts go to Python; as it may give anything, Spark does not compute it twice for a filter.
+    both = fresh(documents, "_found")
+    scored = documents.withColumn(both, found.asNondeterministic()(F.col(text)))
+    return scored.select(*(F.col(c) for c in documents.columns), *(F.col(both)[f].alias(n) for f, n in zip(("pred", "score"), into)))
 
 
 def held_out_third(doc_id: str = "doc_id") -> Column:
