@@ -216,33 +216,34 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     Where a pass holds all words of a document, its text stays as it is; else
     the row has the drawn words in order, each with the white space before it.
     Documents without words cannot be drawn and go.  ``n_chars``, where there is
-    such a column, is counted anew; other columns are kept.
+    such a column, is counted anew; other columns are kept.  Rows that share id,
+    source and text are drawn each for itself, with the other columns of any of
+    them: their text is kept once and meets what is drawn of all, row by row.
     """
     text = options.get("text", "text")
     keys = identity(options.get("doc_id", "doc_id"), options.get("source", "source"), text)
     _, pieces = mix(documents, **options)
     run = F.struct("first_word", "n_words")
+    # The runs of one document in one pass.
     passes = (
         pieces.where("n_words > 0")
-        .groupBy("mark", "mark2", "equal_no", "pass_no")
+        .groupBy(F.col("mark").alias("_mark"), F.col("mark2").alias("_mark2"), "equal_no", "pass_no")
         .agg(F.sort_array(F.collect_list(run)).alias("runs"), F.sum("n_words").alias("taken"), F.first("size").alias("size"))
-        .groupBy(F.col("mark").alias("_mark"), F.col("mark2").alias("_mark2"))
-        .agg(F.collect_list(F.struct("equal_no", "runs", "taken", "size")).alias("_passes"))
     )
-    row, mark, mark2, equal, drawn, tokens = (fresh(documents, n) for n in ("_row", "_m", "_n", "_equal", "_drawn", "_tokens"))
-    # Copies of equal rows are told apart by number; window and join share one shuffle of the texts.
-    numbered = (
+    drawn = passes.select("_mark", "_mark2", F.struct("runs", "taken", "size").alias("_drawn"))
+    row, mark, mark2 = (fresh(documents, n) for n in ("_row", "_m", "_n"))
+    once = (
         documents.select(F.struct(*documents.columns).alias(row), keys[0].alias(mark), keys[1].alias(mark2))
-        .withColumn(equal, F.row_number().over(Window.partitionBy(mark, mark2).orderBy(F.lit(1))))
-        .join(passes, (F.col(mark) == F.col("_mark")) & (F.col(mark2) == F.col("_mark2")))
-        .withColumn(drawn, F.explode(F.filter("_passes", lambda p: p["equal_no"] == F.col(equal))))
-        .withColumn(tokens, F.regexp_extract_all(F.col(row)[text], F.lit(r"[\x20\x09-\x0D]*" + WORD), 0))
+        .groupBy(mark, mark2).agg(F.first(row).alias(row))
     )
+    met = once.join(drawn.hint("merge"), (F.col(mark) == F.col("_mark")) & (F.col(mark2) == F.col("_mark2")))
+    tokens = F.regexp_extract_all(F.col(row)[text], F.lit(r"[\x20\x09-\x0D]*" + WORD), 0)
+    with_tokens = met.withColumn("_tokens", F.when(F.col("_drawn.taken") != F.col("_drawn.size"), tokens))
     some = F.flatten(
-        F.transform(F.col(drawn)["runs"], lambda r: F.slice(tokens, (r["first_word"] + 1).cast("int"), r["n_words"].cast("int")))
+        F.transform(F.col("_drawn.runs"), lambda r: F.slice("_tokens", (r["first_word"] + 1).cast("int"), r["n_words"].cast("int")))
     )
-    new_text = F.when(F.col(drawn)["taken"] == F.col(drawn)["size"], F.col(row)[text]).otherwise(F.array_join(some, ""))
-    out = numbered.select(row, new_text.alias("_text"))
+    new_text = F.when(F.col("_drawn.taken") == F.col("_drawn.size"), F.col(row)[text]).otherwise(F.array_join(some, ""))
+    out = with_tokens.select(row, new_text.alias("_text"))
     column = {text: F.col("_text")}
     if "n_chars" in documents.columns:
         column["n_chars"] = F.length("_text").cast(documents.schema["n_chars"].dataType)

@@ -91,3 +91,16 @@ def test_documents_hold_the_words_drawn(spark, edges, nothing):
     rows = odd.select("text", "n_chars").collect()
     assert sum(len(r.text.encode().split()) for r in rows) == taken and all(r.n_chars == len(r.text) for r in rows)
     assert mixing.mixed_documents(nothing).collect() == []
+
+
+def test_thousands_of_equal_rows(spark):
+    """Copies are drawn each for itself; none meets the draws of all others."""
+    rows = [(1, "a b c d e f", "x")] * 9000 + [(i, f"only{i} of these", "x") for i in range(2, 500)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    taken = defaultdict(int)
+    for r in mixing.mixed_sizes(frame).collect():
+        taken[r.doc_id] += r.taken
+    got = defaultdict(int)
+    for r in mixing.mixed_documents(frame).collect():
+        got[r.doc_id] += len(r.text.split())
+    assert got == {i: n for i, n in taken.items() if n} and got[1] > 50_000
