@@ -22,26 +22,25 @@ from starqa.sources.storage import stored
 PAGE, LEAF, FAN = 2048, 128, 16
 #: Queries searched together, routing vectors of the top level, vectors of the pilot.
 QUERY_BLOCK, MAX_PIVOTS, PILOT = 256, 4096, 512
-#: Scaled components must stay below this for products to fit 64 bits.
-LARGEST = 1 << 26
+#: Beyond this a scaled component, and a score, counts as this: what a long holds, as a double.
+LARGEST = float((1 << 63) - 1024)
 #: Distances are floats: bounds give way by this share before anything is skipped.
 SLACK = 1e-9
 
 
 def scaled_vectors(rows: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
-    """``vec_id`` and ``v``: floor(scale * x) of each component as double.
+    """``row`` (a number of its own), ``vec_id`` and ``v``: floor(scale * x) of each component as double.
 
-    Rows without id, without vector, or with a component that is null, not
-    finite or at least 2^26 after scaling are left out.  Of several rows of one
-    id, the smallest vector stays.
+    Rows without id, without vector, or with a component that is null or not
+    finite are left out.  Rows that share an id stay, each by itself.
     """
-    fits = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < LARGEST)
+    fits = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))
+    # The bound is a whole number, so it may come before the floor.
+    whole = lambda x: F.floor(F.greatest(F.least(x.cast("double") * scale, F.lit(LARGEST)), F.lit(-LARGEST))).cast("long")
     return (
         rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("raw"))
         .where(F.col("vec_id").isNotNull() & F.col("raw").isNotNull() & F.forall("raw", fits))
-        .select("vec_id", F.transform("raw", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
-        .groupBy("vec_id")
-        .agg(F.min("v").alias("v"))
+        .select(F.monotonically_increasing_id().alias("row"), "vec_id", F.transform("raw", whole).alias("v"))
     )
 
 
@@ -62,9 +61,19 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Inner products of all rows; as floats where every sum is exact that way."""
-    size = float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * x.shape[1]
-    return (x.astype(np.float64) @ y.astype(np.float64).T).astype(np.int64) if size < 1 << 52 else x @ y.T
+    """Inner products of all rows: as floats where every sum is exact that way, as Python's numbers where 64 bits may not do."""
+    size = float(np.abs(x.astype(np.float64)).max(initial=0)) * float(np.abs(y.astype(np.float64)).max(initial=0)) * x.shape[1]
+    if size < 1 << 52:
+        return (x.astype(np.float64) @ y.astype(np.float64).T).astype(np.int64)
+    if size < 1 << 62:
+        return x @ y.T
+    exact = x.astype(object) @ y.astype(object).T
+    return np.clip(exact, -int(LARGEST), int(LARGEST)).astype(np.int64)
+
+
+def _norms(x: np.ndarray) -> np.ndarray:
+    y = x.astype(np.float64)
+    return np.einsum("ij,ij->i", y, y)
 
 
 @dataclass
@@ -132,16 +141,17 @@ def _spread(lifted: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
 
 
 def search_tree(
-    tree: Tree, whole: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, bounds: np.ndarray, top: float
+    tree: Tree, whole: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, bounds: np.ndarray, top: float,
+    order_by: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best first for a block of queries: query index, row and score of all that may be among a query's k best.
 
     ``bounds``: distances beyond which nothing counts for a query; they shrink
-    as results come in.  The queue holds a node, the queries that still need it
+    as results come in.  Equal scores go by ``order_by``, then by id.  The queue holds a node, the queries that still need it
     and their distances to its routing vector; the least bound comes first.
     """
     none = np.iinfo(np.int64).min
-    norms = np.einsum("ij,ij->i", queries, queries).astype(np.float64)
+    norms = _norms(queries)
     bounds = bounds.copy()
     scores = np.full((len(queries), k), none)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -184,7 +194,8 @@ def search_tree(
     query, row, score = (np.concatenate(x) for x in zip(*found, strict=True))
     enough = score >= scores.min(axis=1)[query]
     query, row, score = query[enough], row[enough], score[enough]
-    order = np.lexsort((ids[row], -score, query))
+    by = ids if order_by is None else order_by
+    order = np.lexsort((ids[row], by[row], -score, query))
     query, row, score = query[order], row[order], score[order]
     top_k = np.arange(len(query)) - np.searchsorted(query, query) < k
     return query[top_k], row[top_k], score[top_k]
@@ -194,7 +205,7 @@ def _bounds(queries: np.ndarray, own: np.ndarray, sample: np.ndarray, ids: np.nd
     """Distance of each query to its k-th best of a sample; infinite if there are fewer."""
     if len(ids) <= k:
         return np.full(len(queries), np.inf)
-    norms = np.einsum("ij,ij->i", queries, queries).astype(np.float64)
+    norms = _norms(queries)
     apart = np.sqrt(np.maximum((norms + top)[:, None] - 2.0 * _products(queries, sample), 0.0))
     apart[own[:, None] == ids[None, :]] = np.inf
     return np.partition(apart, k - 1, axis=1)[:, k - 1]
@@ -219,7 +230,7 @@ def build_pages(vectors: DataFrame, pivots: np.ndarray, pivot_dims: np.ndarray,
                     cell[at] = own[(np.einsum("ij,ij->i", y, y)[None] - 2 * x @ y.T).argmin(axis=1)]
             yield pdf.assign(cell=cell, dim=lengths)
 
-    celled = stored(vectors.mapInPandas(nearest, "vec_id long, v array<long>, cell long, dim long"), "vectors")
+    celled = stored(vectors.mapInPandas(nearest, "row long, vec_id long, v array<long>, cell long, dim long"), "vectors")
     before = Window.orderBy("cell", "dim").rowsBetween(Window.unboundedPreceding, -1)
     cells = (
         celled.groupBy("cell", "dim").agg(F.count("*").alias("n"))
@@ -228,9 +239,10 @@ def build_pages(vectors: DataFrame, pivots: np.ndarray, pivot_dims: np.ndarray,
     )
     return (
         celled.join(cells, ["cell", "dim"])
-        .withColumn("page_no", F.col("offset") + F.pmod(F.xxhash64("vec_id"), F.col("parts")))
+        .withColumn("page_no", F.col("offset") + F.pmod(F.xxhash64("row"), F.col("parts")))
         .groupBy("page_no", "dim")
-        .agg(F.collect_list("vec_id").alias("ids"), F.flatten(F.collect_list("v")).alias("flat"))
+        .agg(F.collect_list(F.struct("row", "vec_id", "v")).alias("all"))
+        .select("page_no", "dim", F.col("all.row").alias("rows"), F.col("all.vec_id").alias("ids"), F.flatten("all.v").alias("flat"))
     )
 
 
@@ -243,26 +255,30 @@ def top_inner_products(
     scale: int = 256,
     page: int = PAGE,
 ) -> DataFrame:
-    """For each query row the k rows of other ids with the largest integer inner product.
+    """For each query row the k other rows with the largest integer inner product.
 
     Result: query_id, rank (from 1), vec_id, score; ties go to the smaller id.
-    Vectors of different lengths are not compared.  See ``scaled_vectors`` for
-    rows that take no part; a table without queries gives no rows.
+    Vectors of different lengths are not compared.  Rows of one id are rows of
+    their own: each is a candidate for the others, and asked for it has results
+    of its own.  See ``scaled_vectors`` for rows that take no part; a table
+    without queries gives no rows.  Columns besides id and vector are not used
+    (but by ``is_query``).  Components and scores beyond 64 bits count as the
+    largest that fits.
 
     Vectors are dealt to pages around routing vectors (at most MAX_PIVOTS, from
-    a bounded sample) and a cell with more than a page is split by id.  Every
-    page holds an M-tree and is searched by every block of queries, one task
-    reading one page and one block.  A bounded pilot sample gives each query a
-    first bound, so that distant pages and nodes are left unread.
+    a bounded sample) and a cell with more than a page is split by row.  Every
+    page is searched by every block of queries, one task reading one page and one
+    block and loading the page as an M-tree, of which distant nodes are left
+    unread.  A bounded pilot sample gives each query a first bound.
     """
     spark = vectors.sparkSession
     plain = stored(scaled_vectors(vectors, vec_id, vector, scale), "scaled")
-    norm = F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x)
-    n, top = plain.agg(F.count("*"), F.coalesce(F.max(norm), F.lit(0))).first()
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    n, top = plain.agg(F.count("*"), F.coalesce(F.max(norm), F.lit(0.0))).first()
     wanted = min(MAX_PIVOTS, -(-n // page)) if n else 0
     # A bounded sample by hash of the id: at most max(wanted, PILOT) vectors.
     sample = [
-        (r["vec_id"], r["v"]) for r in plain.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(wanted, PILOT)).collect()
+        (r["row"], r["v"]) for r in plain.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(max(wanted, PILOT)).collect()
     ]
     heads = [v for _, v in sample[:wanted]]
     pages = stored(build_pages(plain, heads, np.array([len(v) for v in heads]), page), "pages")
@@ -274,11 +290,12 @@ def top_inner_products(
     blocks = max(1, -(-n // (50 * QUERY_BLOCK)))
     blocks = (
         asked.withColumn("dim", F.size("v").cast("long"))
-        .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+        .withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
         .groupBy("block", "dim")
-        .agg(
-            F.collect_list("vec_id").alias("query_ids"),
-            F.flatten(F.collect_list("v")).alias("queries"),
+        .agg(F.collect_list(F.struct("row", "vec_id", "v")).alias("all"))
+        .select(
+            "block", "dim", F.col("all.row").alias("query_rows"), F.col("all.vec_id").alias("query_ids"),
+            F.flatten("all.v").alias("queries"),
         )
         .withColumn("page_no", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, n_pages - 1)).cast("long"))))
     )
@@ -286,20 +303,22 @@ def top_inner_products(
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                ids, own = np.array(r.ids, dtype=np.int64), np.array(r.query_ids, dtype=np.int64)
+                rows, ids, own, asked_ids = (np.array(x, dtype=np.int64) for x in (r.rows, r.ids, r.query_rows, r.query_ids))
                 whole = np.array(r.flat, dtype=np.int64).reshape(len(ids), -1)
                 queries = np.array(r.queries, dtype=np.int64).reshape(len(own), -1)
                 few = [(i, v) for i, v in pilot.value if len(v) == whole.shape[1]]
                 known = np.array([v for _, v in few], dtype=np.int64).reshape(len(few), whole.shape[1])
                 bounds = _bounds(queries, own, known, np.array([i for i, _ in few], dtype=np.int64), k, top)
                 tree = build_tree(_lifted(whole, top))
-                query, row, score = search_tree(tree, whole, ids, queries, own, k, bounds, top)
-                yield pd.DataFrame({"query_id": own[query], "vec_id": ids[row], "score": score})
+                query, row, score = search_tree(tree, whole, rows, queries, own, k, bounds, top, ids)
+                yield pd.DataFrame(
+                    {"query": own[query], "query_id": asked_ids[query], "row": rows[row], "vec_id": ids[row], "score": score}
+                )
 
     found = blocks.join(pages, ["page_no", "dim"]).repartition("page_no", "block").mapInPandas(
-        search, "query_id long, vec_id long, score long"
+        search, "query long, query_id long, row long, vec_id long, score long"
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
     return (
         found.withColumn("rank", F.row_number().over(order).cast("int"))
         .where(F.col("rank") <= k)

@@ -8,18 +8,19 @@ from starqa.llm.mtree import build_tree, search_tree, top_inner_products, _lifte
 
 
 def by_hand(rows, k=5):
-    kept = {}
+    """Every row is asked and compared by itself, also where ids repeat."""
+    kept = []
     for i, v in rows:
         if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        own = [math.floor(256 * x) for x in v]
-        kept[i] = min(own, kept.get(i, own))
-    out = set()
-    for q, v in kept.items():
+        kept.append((i, [math.floor(256 * x) for x in v]))
+    out = []
+    for at, (q, v) in enumerate(kept):
         if q % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in kept.items() if i != q and len(w) == len(v))
-            out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])}
-    return out
+            others = [(i, w) for n, (i, w) in enumerate(kept) if n != at and len(w) == len(v)]
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in others)
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
+    return sorted(out)
 
 
 def test_equals_brute_force_with_odd_rows(spark):
@@ -30,7 +31,7 @@ def test_equals_brute_force_with_odd_rows(spark):
     rows += [(2000, None), (2001, [1.0, None] + [0.0] * 6), (2050, [math.nan] * 8), (2100, [math.inf] * 8)]
     rows += [(None, [9.0] * 8), (50, [9.0] * 8), (7, [0.0] * 8), (7, [0.0] * 8), (3000, []), (3001, [1.0, 2.0]), (3050, [2.0, 1.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1))
-    got = {tuple(r) for r in top_inner_products(frame, F.col("vec_id") % 50 == 0, page=100).collect()}
+    got = sorted(tuple(r) for r in top_inner_products(frame, F.col("vec_id") % 50 == 0, page=100).collect())
     assert got == by_hand(rows)
     assert top_inner_products(frame.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
@@ -55,3 +56,24 @@ def test_far_nodes_are_not_read():
         s[q * 100] = -(1 << 40)
         assert sorted(score[query == q])[::-1] == sorted(s)[::-1][:5]
     assert len(tree.first) > 10 and sum(touched) < 2000 * 20
+
+
+def test_repeated_ids_and_large_components(spark):
+    """Rows of one id beside one another, and components whose products need more than 53 or 63 bits."""
+    rows = [(i, [float(i % 7), 1.0 - i % 3]) for i in range(60)]
+    rows += [(3, [50.0, 50.0]), (21, [1e7, 1.0]), (21, [1e7, 1.0]), (50, [3.0, -1e8]), (100, [2.0**40, 2.0**21]), (101, [-1.5, 2.0**30])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in top_inner_products(frame, F.col("vec_id") % 50 == 0, page=20).collect())
+    top = 2**63 - 1024
+    wanted = [(q, n, i, max(-top, min(top, s))) for q, n, i, s in by_hand(rows)]
+    assert got == wanted
+    first = {r[2] for r in got if r[0] == 0 and r[1] <= 2}
+    assert first <= {100, 101, 21, 3}
+
+
+def test_one_id_with_a_third_of_all_rows(spark):
+    rng = random.Random(2)
+    rows = [(50, [rng.gauss(0, 1) for _ in range(4)]) for _ in range(150)] + [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(300, 600)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in top_inner_products(frame, F.col("vec_id") % 50 == 0, page=64).collect())
+    assert got == by_hand(rows)
