@@ -22,6 +22,8 @@ COMMON, COUNTED = 64, 200_000
 MIN_CHARS, MIN_JUDGED_WORDS = 200, 50
 #: Jensen-Shannon distances (base 2, from 0 to 1) above which a text is turned away.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.48
+#: What a long text may differ from a language by, and what sampling adds to it, by 1 / sqrt(words).
+WORD_DISTANCE, WORD_NOISE = 0.26, 1.8
 CLASSES = 8
 
 
@@ -134,6 +136,15 @@ def references(documents: DataFrame, text: str = "text", lang: str = "lang") ->
     return {name: x for name, x in out.items() if x[0].sum() and x[1]}
 
 
+def word_bound(words: int) -> float:
+    """The largest distance by common words of a text with so many words.
+
+    A histogram of few words is far from its source by chance alone, one of many
+    is not: without any common word a text is at about 0.41, whatever its length.
+    """
+    return min(MAX_WORD_DISTANCE, WORD_DISTANCE + WORD_NOISE / max(words, 1) ** 0.5)
+
+
 class Judge:
     """Distances of texts to the nearest language reference."""
 
@@ -172,8 +183,8 @@ def rate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
     A text is kept unless it has under 50 words, or over half of its words are
     in repeated windows of three, or it is farther from every language
-    reference than MAX_CHAR_DISTANCE by character classes or MAX_WORD_DISTANCE
-    by common words.  A histogram of fewer than MIN_CHARS characters or
+    reference than MAX_CHAR_DISTANCE by character classes or ``word_bound`` of
+    its number of words by common words.  A histogram of fewer than MIN_CHARS characters or
     MIN_JUDGED_WORDS words turns nothing away, nor does any if no text names a
     language.  Null texts count as empty; repeated rows are rated each; other
     columns are not used.
@@ -191,7 +202,7 @@ def rate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
                 counts = base_counts(value, words)
                 failed = len(words) < MIN_WORDS or 100 * counts[3] > MAX_REPEAT_PERCENT * len(words)
                 by_char, by_word = judge.distances(value, words)
-                fits = (by_char or 0.0) <= MAX_CHAR_DISTANCE and (by_word or 0.0) <= MAX_WORD_DISTANCE
+                fits = (by_char or 0.0) <= MAX_CHAR_DISTANCE and (by_word or 0.0) <= word_bound(len(words))
                 found.append((len(words), *counts, failed, not failed and fits, by_char, by_word))
             kinds = [*[pa.int64()] * 5, pa.bool_(), pa.bool_(), pa.float64(), pa.float64()]
             columns = zip(*found, strict=True)
