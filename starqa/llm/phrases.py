@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +38,15 @@ GAP = -1
 
 #: Pairs that are merged in one task, about: a block of the line of all pairs.
 BLOCK = 1 << 20
+#: Blocks of words for each shuffle partition.
+WORD_BLOCKS = 4
 #: Spreads the second halves of pairs over a block's line; odd, so that it can be undone.
 SPREAD = 0x9E3779B1
 
-WORDS = "chunk long, lang string, own long, word string, times long, sequence binary"
+WORDS = "chunk long, lang string, block long, own binary, words binary, times binary, sequence binary"
 PAIRS = "chunk long, block long, base long, codes binary, times binary, sequence binary"
-COUNTED = "chunk long, block long, a long, b long, f long, j long, own array<long>, js array<long>"
+FOUND_WORDS = "chunk long, block long, lang string, word string, f long, j long, own array<long>, js array<long>"
+FOUND_PAIRS = "chunk long, block long, a long, b long, f long, j long, own array<long>, js array<long>"
 
 
 def _batch(schema: str, columns: list) -> pa.RecordBatch:
@@ -91,28 +96,82 @@ def _slices(data: bytes) -> Iterator[bytes]:
     yield data[start:]
 
 
-def _word_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Dictionary and sequence of words, per chunk of texts and language."""
-    chunk = TaskContext.get().partitionId() << 33
-    for batch in chunks(batches, "text", CHUNK):
-        of: dict[str, list[bytes]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            of.setdefault(lang, []).append(text.encode().lower().translate(ONE_BREAK))
-        for lang, texts in of.items():
-            for data in _slices(b".".join(texts)):
-                # The break comes first, so its number is 0, and -1 when words count from 0.
-                tokens = pa.array([b".", *data.replace(b".", b" . ").split()], pa.binary()).dictionary_encode()
-                ids = tokens.indices.to_numpy()[1:] - 1
-                times = np.bincount(ids[ids >= 0], minlength=len(tokens.dictionary) - 1)
-                if len(times):
-                    n = len(times)
-                    words = pa.concat_arrays([tokens.dictionary[1:].cast(pa.string()), pa.nulls(1, pa.string())])
+def _word_rows(blocks: int):
+    """Function for batches: the words of a chunk and language by block of their hash, and the sequence of their numbers.
+
+    The more frequent a word is in its chunk, the smaller its number; 0 is the
+    break in the packed sequence.
+    """
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 33
+        for batch in chunks(batches, "text", CHUNK):
+            of: dict[str, list[bytes]] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                of.setdefault(lang, []).append(text.encode().lower().translate(ONE_BREAK))
+            for lang, texts in of.items():
+                for data in _slices(b".".join(texts)):
+                    # The break comes first, so its number is 0, and -1 when words count from 0.
+                    tokens = pa.array([b".", *data.replace(b".", b" . ").split()], pa.binary()).dictionary_encode()
+                    words = tokens.dictionary.to_pylist()[1:]
+                    if not words:
+                        continue
+                    ids = tokens.indices.to_numpy()[1:] - 1
+                    times = np.bincount(ids[ids >= 0], minlength=len(words))
+                    order = np.argsort(-times, kind="stable")
+                    own = np.empty(len(words) + 1, np.int64)
+                    own[order], own[-1] = np.arange(len(words)), GAP
+                    block = np.fromiter(map(crc32, words), np.int64, len(words))[order] % blocks
+                    by_block = np.argsort(block, kind="stable")
+                    cuts = np.flatnonzero(np.diff(block[by_block], prepend=-1))
+                    parts = np.split(by_block, cuts[1:])
+                    n = len(parts)
                     yield _batch(WORDS, [
-                        [chunk] * (n + 1), [lang] * (n + 1), [*range(n), None], words,
-                        [*times.tolist(), None], [None] * n + [ids.astype("<i4").tobytes()],
+                        [chunk] * (n + 1), [lang] * (n + 1), [*block[by_block[cuts]].tolist(), None],
+                        [*(packed(np.diff(x, prepend=0)) for x in parts), None],
+                        [*(b" ".join([words[i] for i in order[x]]) for x in parts), None],
+                        [*(packed(times[order[x]]) for x in parts), None],
+                        [None] * n + [packed(own[ids] + 1)],
                     ])
                     chunk += 1
 
+    return rows
+
+
+def _word_block(least: int):
+    """Function for a block: words of each language in all, the frequent ones, and for each chunk which of its words these are."""
+
+    def rows(key: tuple, parts: pa.Table) -> pa.Table:
+        block, out, answers, known = key[0].as_py(), [], [], 0
+        langs = np.array(parts.column("lang").to_pylist(), dtype=object)
+        chunk, own, words, times = (parts.column(c).to_pylist() for c in ("chunk", "own", "words", "times"))
+        for lang in sorted(set(langs)):
+            mine = np.flatnonzero(langs == lang)
+            listed = [words[i].split(b" ") for i in mine]
+            tokens = pa.array(chain.from_iterable(listed), pa.binary()).dictionary_encode()
+            which = tokens.indices.to_numpy()
+            f = np.zeros(len(tokens.dictionary), np.int64)
+            np.add.at(f, which, np.concatenate([unpacked(times[i]) for i in mine]))
+            frequent = np.flatnonzero(f >= least)
+            n = len(frequent)
+            place = np.full(len(f), GAP, np.int64)
+            place[frequent] = np.arange(known, known + n)
+            names = tokens.dictionary.take(pa.array(frequent)).cast(pa.string())
+            out.append(_batch(FOUND_WORDS, [[None] * n, [block] * n, [lang] * n, names, f[frequent], place[frequent], [None] * n, [None] * n]))
+            out.append(_batch(FOUND_WORDS, [[None], [block], [lang], [None], [int(f.sum())], [None], [None], [None]]))
+            j, start = place[which], 0
+            for i, x in zip(mine, listed):
+                at = np.flatnonzero(j[start : start + len(x)] >= 0)
+                if len(at):
+                    answers.append((chunk[i], block, None, None, None, None, np.cumsum(unpacked(own[i]))[at], j[start : start + len(x)][at]))
+                start += len(x)
+            known += n
+        if answers:
+            out.append(_batch(FOUND_WORDS, list(zip(*answers))))
+        return pa.Table.from_batches(out)
+
+    return rows
+
 
 def tile_counts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs (both halves), how often each occurs, and for each given pair its number among them.
@@ -162,7 +221,7 @@ def _pair_rows(bits: int, blocks: int, total: int):
 
     def rows(key: tuple, pieces: pa.Table, given: pa.Table) -> pa.Table:
         none = _batch(PAIRS, [[]] * 6)
-        ids = np.frombuffer(pieces.column("sequence")[0].as_py(), "<i4").astype(np.int64)
+        ids = unpacked(pieces.column("sequence")[0].as_py()) - 1
         flat = given.column("given").combine_chunks().flatten()
         own, rank, f, before = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("own", "rank", "f", "before"))
         if not len(own):
@@ -185,7 +244,7 @@ def _pair_rows(bits: int, blocks: int, total: int):
         final[order] = np.arange(len(order))
         # Between two runs of pairs one gap is enough.
         apart = np.flatnonzero(np.diff(paired) > 1) + 1
-        sequence = np.insert(final[number], apart, GAP).astype("<i4").tobytes()
+        sequence = packed(np.insert(final[number], apart, GAP) + 1)
         cuts = np.flatnonzero(np.diff(block, prepend=-1))
         parts = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(block)]))
         chunk, n = key[0].as_py(), len(parts)
@@ -216,7 +275,7 @@ def _block_rows(bits: int, least: int):
         j = place[which]
         n = len(frequent)
         b = (codes[frequent] & ((1 << bits) - 1)) * undo & ((1 << bits) - 1)
-        out = [_batch(COUNTED, [
+        out = [_batch(FOUND_PAIRS, [
             [None] * n, [block] * n, codes[frequent] >> bits, b, f[frequent], np.arange(n), [None] * n, [None] * n,
         ])]
         answers, start = [], 0
@@ -227,7 +286,7 @@ def _block_rows(bits: int, least: int):
             if len(at):
                 answers.append((chunk, block, None, None, None, None, at + base, mine[at]))
         if answers:
-            out.append(_batch(COUNTED, list(zip(*answers))))
+            out.append(_batch(FOUND_PAIRS, list(zip(*answers))))
         return pa.Table.from_batches(out)
 
     return rows
@@ -252,6 +311,21 @@ def ranked(frequent: DataFrame, order: list[Column]) -> DataFrame:
     return stored(placed.drop("part", "at", "sum", "n_before", "sum_before"), "ranked")
 
 
+def _given(counted: DataFrame, found: DataFrame) -> DataFrame:
+    """For each chunk (``of``), number, rank, frequency and what comes before it of its frequent symbols, a row per block.
+
+    What is gathered of a block are its frequent symbols: a ``least``-th part of all at most.
+    """
+    ranks = found.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("j", "rank", "f", "before"))).alias("ranks"))
+    answers = counted.where(F.col("chunk").isNotNull()).select(F.col("chunk").alias("of"), "block", "own", "js")
+    at = lambda x: F.get("ranks", x["js"].cast("int"))
+    known_to = F.transform(
+        F.arrays_zip("own", "js"),
+        lambda x: F.struct(x["own"].alias("own"), *(at(x)[c].alias(c) for c in ("rank", "f", "before"))),
+    )
+    return answers.join(ranks, "block").select("of", known_to.alias("given"))
+
+
 def _lowest_score(n: Column) -> Column:
     """The lowest floor(1000 * a * n / (l * r)) of a phrase's cuts, with its l and r; ties go to the first cut.
 
@@ -285,9 +359,9 @@ def collocations(
     count each time; other columns are not used.  No texts give no rows.
 
     Each chunk of texts is written once as numbers of its own dictionary.  Words
-    of all dictionaries are counted together, frequent ones get ranks by
-    frequency, and each chunk gets back only the ranks of its own words, so no
-    task sees the whole vocabulary.  Pairs of neighbouring ranks are counted in
+    of all dictionaries are counted together, in blocks by hash, frequent ones
+    get ranks by frequency, and each chunk gets back only the ranks of its own
+    words, so no task sees the whole vocabulary.  Pairs of neighbouring ranks are counted in
     tiles; frequent pairs get ranks and are the next symbols: neighbours that
     overlap in all but one word are a phrase one word longer.
 
@@ -299,17 +373,19 @@ def collocations(
         F.coalesce(F.col(lang).cast("string"), F.lit(UNDETERMINED)).alias("lang"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    pieces = stored(texts.mapInArrow(_word_rows, WORDS), "word-numbers")
-    words = pieces.where(F.col("times") > 0)
-    counts = stored(words.groupBy("lang", "word").agg(F.sum("times").alias("f")), "word-counts")
-    totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
-    found = ranked(counts.where(F.col("f") >= least), [F.desc("f"), F.col("lang"), F.col("word")])
+    blocks = WORD_BLOCKS * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = stored(texts.mapInArrow(_word_rows(blocks), WORDS), "word-numbers")
+    lists = pieces.where(F.col("block").isNotNull()).drop("sequence")
+    counted = stored(lists.groupBy("block").applyInArrow(_word_block(least), FOUND_WORDS), "word-counts")
+    own_rows = counted.where(F.col("chunk").isNull())
+    totals = own_rows.where(F.col("word").isNull()).groupBy("lang").agg(F.sum("f").alias("n"))
+    words = own_rows.where(F.col("word").isNotNull()).select("block", "lang", "word", "f", "j")
+    found = ranked(words, [F.desc("f"), F.col("lang"), F.col("word")])
     known = found.select(
         "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", "rank",
         F.array("f").alias("pre"), F.array("f").alias("suf"),
     )
-    symbol = F.struct("own", "rank", "f", "before")
-    given = words.join(found, ["lang", "word"]).groupBy(F.col("chunk").alias("of")).agg(F.collect_list(symbol).alias("given"))
+    given = _given(counted, found)
     levels: list[DataFrame] = []
     inside: list[DataFrame] = []
     for length in range(2, longest + 1):
@@ -321,7 +397,7 @@ def collocations(
         both = chunked.groupBy("chunk").cogroup(given.groupBy("of"))
         pieces = stored(both.applyInArrow(_pair_rows(bits, blocks, max(total, 1)), PAIRS), f"pair-numbers-{length}")
         lists = pieces.where(F.col("block").isNotNull()).select("chunk", "block", "base", "codes", "times")
-        counted = stored(lists.groupBy("block").applyInArrow(_block_rows(bits, least), COUNTED), f"pair-counts-{length}")
+        counted = stored(lists.groupBy("block").applyInArrow(_block_rows(bits, least), FOUND_PAIRS), f"pair-counts-{length}")
         pairs = counted.where(F.col("chunk").isNull()).select("block", "a", "b", "f", "j")
         found = ranked(pairs, [F.desc("f"), F.col("a"), F.col("b")])
         left = known.select(F.col("rank").alias("a"), "lang", "phrase", "pre")
@@ -333,15 +409,7 @@ def collocations(
         named = stored(named, f"phrases-{length}")
         # What contains a phrase and is longer contains one that is longer by one word and no rarer.
         inside.append(named.select(F.col("a").alias("rank"), "f").union(named.select(F.col("b").alias("rank"), "f")))
-        # A block has at most its pairs by ``least`` frequent ones.
-        ranks = found.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("j", "rank", "f", "before"))).alias("ranks"))
-        answers = counted.where(F.col("chunk").isNotNull()).select(F.col("chunk").alias("of"), "block", "own", "js")
-        of = lambda x: F.get("ranks", x["js"].cast("int"))
-        known_to = F.transform(
-            F.arrays_zip("own", "js"),
-            lambda x: F.struct(x["own"].alias("own"), *(of(x)[c].alias(c) for c in ("rank", "f", "before"))),
-        )
-        given = answers.join(ranks, "block").select("of", known_to.alias("given"))
+        given = _given(counted, found)
         known = named.select("lang", "phrase", "last", "f", "rank", "pre", "suf")
         levels.append(known)
     kept = []
