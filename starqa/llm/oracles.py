@@ -1,6 +1,6 @@
 """SQL for DuckDB that gives the same rows as the queries of this package.
 
-The others have none: models (op3, op6, op7), pieces of a file (op1), and hashes
+The others have none: models and tests (op3, op6, op7, op13), pieces of a file (op1), and hashes
 that DuckDB lacks (op8, op9, op10).  Tests compare those with plain versions.
 """
 
