@@ -52,23 +52,33 @@ def top_k_with_ties(
 CELLS = 4096
 
 
-def possible_top(df: DataFrame, by: Sequence[str], value: str, key: str, k: int) -> DataFrame:
-    """The rows that may stand among the first ``k`` of their group, found without sorting it.
+def cell_bounds(df: DataFrame, by: Sequence[str], value: str, key: str, k: int) -> DataFrame:
+    """For each group a value that none of its first ``k`` rows lies below: ``by`` and ``bound``.
 
     Each cell of a group (its keys by hash) gives its largest value, one number
     however many rows it has.  The k-th largest of these belongs to k different
-    keys, so no row below it can be among the first k.  About k rows of each
-    group remain, and those that tie with them; of a group with fewer than k
-    cells all.  ``key`` is unique within a group.  The rows are read twice.
+    keys, so no row below it can be among the first k.  Null for a group with
+    fewer than k cells.  ``key`` is unique within a group.
     """
     by = list(by)
     cell = F.pmod(F.xxhash64(key), F.lit(CELLS)).alias("_cell")
-    best = df.groupBy(*by, cell).agg(F.max(value).alias("_best")).filter(F.col("_best").isNotNull())
+    best = df.groupBy(*by, cell).agg(F.max(value).alias("_best"))
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_best")))
-    bounds = best.withColumn("_place", place).filter(F.col("_place") == k)
-    bounds = bounds.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_best").alias("_bound"))
+    placed = best.withColumn("_place", place).filter(F.col("_place") <= k)
+    return placed.groupBy(*by).agg(F.max(F.when(F.col("_place") == k, F.col("_best"))).alias("bound"))
+
+
+def possible_top(df: DataFrame, by: Sequence[str], value: str, key: str, k: int) -> DataFrame:
+    """The rows that may stand among the first ``k`` of their group, found without sorting it.
+
+    About k rows of each group remain, and those that tie with them; of a group
+    with fewer than k cells all.  The rows are read twice.
+    """
+    by = list(by)
+    bounds = cell_bounds(df, by, value, key, k)
+    bounds = bounds.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("bound").alias("_bound"))
     same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
-    kept = df.join(bounds, same, "left").filter(F.col("_bound").isNull() | (F.col(value) >= F.col("_bound")))
+    kept = df.join(bounds, same).filter(F.col("_bound").isNull() | (F.col(value) >= F.col("_bound")))
     return kept.select(*df.columns)
 
 

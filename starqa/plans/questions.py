@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from starqa import fixed_values as fixed
 from starqa.functions.money import round_cents, total
 from starqa.functions.names import order_text
-from starqa.operators.ranking import for_each_k, possible_top, top_k_with_ties, winners
+from starqa.operators.ranking import cell_bounds, for_each_k, top_k_with_ties, winners
 from starqa.operators.sales import (
     artist_year_revenue,
     country_genre_revenue,
@@ -252,21 +252,21 @@ def revenue_increase(
     )
     active = by_customer.select(F.explode(F.map_keys("by_year")).alias("year"))
     zero = F.lit(0).cast("decimal(38,2)")
-    paired = (
-        star.customer.select("customer_id")
-        .join(by_customer, "customer_id", "left")
-        .withColumn("_pair", F.explode(year_pairs(active, years)))
-        .select("customer_id", "by_year", "_pair.*")
-    )
-    in_year = lambda y: F.coalesce(F.try_element_at("by_year", F.col(y)), zero)
-    change = paired.select(
-        "customer_id",
-        "year_a",
-        "year_b",
-        round_cents(in_year("year_b") - in_year("year_a")).alias("value"),
-    )
+    customers = star.customer.select("customer_id").filter("customer_id is not null").join(by_customer, "customer_id", "left")
+    in_year = lambda y: F.coalesce(F.try_element_at("by_year", y), zero)
+    change = lambda p: round_cents(in_year(p["year_b"]) - in_year(p["year_a"]))
     pair = ["year_a", "year_b"]
-    near = possible_top(change.filter("customer_id is not null"), pair, "value", "customer_id", max(ks))
+    of_pair = lambda p, *more: F.struct(*[p[y].alias(y) for y in pair], change(p).alias("value"), *[p[m].alias(m) for m in more])
+    every = customers.withColumn("_pairs", year_pairs(active, years)).select(
+        "customer_id", F.inline(F.transform("_pairs", lambda p: of_pair(p)))
+    )
+    # As many bounds as the calendar has pairs of years; rows below them go before they are sent anywhere.
+    bounds = cell_bounds(every, pair, "value", "customer_id", max(ks))
+    bounded = bounds.agg(F.collect_list(F.struct(*pair, "bound"))).scalar()
+    possible = lambda c: c["bound"].isNull() | (c["value"] >= c["bound"])
+    near = customers.withColumn("_pairs", bounded).select(
+        "customer_id", F.inline(F.filter(F.transform("_pairs", lambda p: of_pair(p, "bound")), possible))
+    ).drop("bound")
     top = top_k_with_ties(near, pair, "value", "customer_id", max(ks))
     return _named_customers(
         for_each_k(top, ks, F.col("best") > 0), star, ["year_a", "year_b"]
