@@ -14,6 +14,7 @@ from starqa import fixed_values as fixed
 from starqa.functions.answers import parse_list, parse_numeric, with_value
 from starqa.functions.names import normalize, normalize_all
 from starqa.operators.ranking import SLICES
+from starqa.sources.storage import stored
 
 
 def numeric_score(submitted: Column, value: Column, abs_tol: Column, rel_tol: Column) -> Column:
@@ -45,45 +46,94 @@ def longest_alias(names: DataFrame) -> DataFrame:
     )
 
 
-def mentions(texts: DataFrame, text_id: str, text: str, names: DataFrame) -> DataFrame:
-    """Which names a text mentions as whole words: ``text_id, key``.
+#: Words of a name that are looked up at once; a longer name is looked up in pieces of so many.
+PIECE = 8
+#: Words of a text that one row holds while its runs are made.
+SEGMENT = 1024
+
 
-    Words of texts are rows with their place, and names are found by their first
-    word; the other words of a longer name are looked up at the places that
-    follow.  So a text of any length is no more than its words, and a name may
-    have any number of them.  Texts of one id are told apart by a hash.
+def _segments(texts: DataFrame, text_id: str, text: str) -> DataFrame:
+    """Texts cut into rows of so many words: ``_id, _mark, _first, _words``.
+
+    Each row also has the first words of the next one, so that every run of up
+    to PIECE words lies whole in the row in which it starts.  ``_mark`` tells texts
+    of one id apart, ``_first`` is the place of the first word.
     """
-    words = texts.select(
+    cut = lambda words: F.transform(
+        F.sequence(F.lit(0), F.size(words) - 1, F.lit(SEGMENT)),
+        lambda at: F.struct(at.alias("first"), F.slice(words, at + 1, F.lit(SEGMENT + PIECE - 1)).alias("words")),
+    )
+    rows = texts.select(
         F.col(text_id).alias("_id"),
         F.xxhash64(text).alias("_mark"),
-        F.posexplode(F.split(normalize(F.col(text)), " ")).alias("_at", "_word"),
-    ).filter(F.col("_word") != "")
-    aliases = names.select("key", F.explode("aliases").alias("alias")).filter("alias <> ''").distinct()
-    parts = aliases.select("alias").distinct().withColumn("_parts", F.split("alias", " "))
-    begun = words.join(parts, F.col("_word") == F.col("_parts")[0]).select("_id", "_mark", "_at", "alias", "_parts")
-    short = begun.filter(F.size("_parts") == 1).select("_id", "alias")
-    rest = F.expr("transform(slice(_parts, 2, size(_parts)), (p, i) -> struct(p as word, i + 1 as step))")
-    awaited = begun.filter(F.size("_parts") > 1).select(
-        "_id", "_mark", "_at", "alias", (F.size("_parts") - 1).alias("_more"), F.explode(rest).alias("_next")
-    )
-    there = words.select(F.col("_id").alias("_of"), F.col("_mark").alias("_of_mark"), F.col("_at").alias("_place"), F.col("_word").alias("_found"))
-    same = (
-        F.col("_id").eqNullSafe(F.col("_of"))
-        & F.col("_mark").eqNullSafe(F.col("_of_mark"))
-        & (F.col("_at") + F.col("_next.step") == F.col("_place"))
-        & (F.col("_next.word") == F.col("_found"))
+        F.explode(with_value(F.split(normalize(F.col(text)), " "), cut)).alias("_segment"),
     )
-    # Equal texts of one id are one text: a word that is there counts once.
-    long = (
-        awaited.distinct().join(there, same, "left_semi")
-        .groupBy("_id", "_mark", "_at", "alias", "_more").count()
-        .filter(F.col("count") == F.col("_more"))
-        .select("_id", "alias")
+    return rows.select("_id", "_mark", F.col("_segment.first").alias("_first"), F.col("_segment.words").alias("_words"))
+
+
+def _standing(segments: DataFrame, pieces: DataFrame, sizes: list[int]) -> DataFrame:
+    """Places of texts where a piece stands: columns of ``segments`` and ``pieces``, and ``_at``.
+
+    ``pieces`` has ``_piece`` and ``_size``, its number of words, one of ``sizes``.
+    A piece is found by its first two words; the others are compared in the row.
+    """
+    word = F.get("_words", F.col("_at"))
+    begins = ([word] if 1 in sizes else []) + ([F.concat(word, F.lit(" "), F.get("_words", F.col("_at") + 1))] if max(sizes) > 1 else [])
+    places = segments.select("*", F.explode(F.sequence(F.lit(0), F.size("_words") - 1)).alias("_at"))
+    places = places.select("*", (F.explode(F.array(*begins)) if len(begins) > 1 else begins[0]).alias("_begin"))
+    found = places.join(pieces.withColumn("_prefix", F.substring_index("_piece", " ", 2)), F.col("_begin") == F.col("_prefix"))
+    here = F.array_join(F.slice("_words", F.col("_at") + 1, F.col("_size")), " ")
+    return found.filter((F.col("_size") <= 2) | (here == F.col("_piece"))).drop("_words", "_begin", "_prefix")
+
+
+def mentions(texts: DataFrame, text_id: str, text: str, names: DataFrame) -> DataFrame:
+    """Which names a text mentions as whole words: ``text_id, key``.
+
+    At each place of a text its next two words are looked up among the names, and
+    the rest of a longer name is compared in the same row: a text is not sent
+    anywhere if the names can be broadcast, only what was found is.  A text is
+    worked on in rows of SEGMENT words; a name of more than PIECE words is looked
+    up in pieces.
+    """
+    aliases = stored(
+        names.select("key", F.explode("aliases").alias("alias")).filter("alias <> ''").distinct()
+        .withColumn("_size", F.size(F.split("alias", " "))),
+        "aliases",
     )
-    found = short.union(long).distinct().join(aliases, "alias")
+    found_sizes = aliases.select(F.least("_size", F.lit(PIECE + 1)).alias("n")).distinct().collect()
+    short = sorted(r.n for r in found_sizes if r.n <= PIECE) or [1]
+    segments = _segments(texts, text_id, text)
+    if short == [1]:
+        words = segments.select("_id", F.explode(F.array_distinct("_words")).alias("_word"))
+        found = words.join(aliases, F.col("_word") == F.col("alias")).select("_id", "key")
+    else:
+        wanted = aliases.filter(F.col("_size") <= PIECE).withColumnRenamed("alias", "_piece")
+        found = _standing(segments, wanted, short).select("_id", "key")
+    if any(r.n > PIECE for r in found_sizes):
+        found = found.union(_long_mentions(segments, aliases))
     return found.select(F.col("_id").alias(text_id), "key").distinct()
 
 
+def _long_mentions(segments: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Which names of more than PIECE words are mentioned: ``_id, key``.
+
+    A name is cut into pieces of PIECE words, of which the last may overlap the
+    one before.  Where all its pieces are found at their distances, there it stands.
+    """
+    last = F.col("_size") - PIECE
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(PIECE)), F.array(last)))
+    whole = aliases.filter(F.col("_size") > PIECE).select("alias", F.split("alias", " ").alias("_parts"), starts.alias("_starts")).distinct()
+    pieces = whole.select("alias", "_parts", F.size("_starts").alias("_n"), F.explode("_starts").alias("_off")).select(
+        "alias", "_n", "_off", F.lit(PIECE).alias("_size"), F.array_join(F.slice("_parts", F.col("_off") + 1, F.lit(PIECE)), " ").alias("_piece")
+    )
+    # Equal texts of one id are one text, and a run at the edge of two rows is in both: each place counts once.
+    there = _standing(segments, pieces, [PIECE]).select(
+        "_id", "_mark", "alias", "_n", "_off", (F.col("_first") + F.col("_at") - F.col("_off")).alias("_start")
+    ).distinct()
+    stands = there.groupBy("_id", "_mark", "alias", "_start", "_n").count().filter(F.col("count") == F.col("_n"))
+    return stands.select("_id", "alias").distinct().join(aliases, "alias").select("_id", "key")
+
+
 def _first_candidates(truth: DataFrame, tasks: DataFrame) -> DataFrame:
     """Per task and alias, the entities it names, best placed first.
 

@@ -221,3 +221,26 @@ def test_mentions_of_several_words(spark):
     )
     found = {(r.id, r.key) for r in mentions(texts, "id", "t", names).collect()}
     assert found == {(1, "ny"), (1, "nyc"), (4, "abc"), (4, "aba"), (None, "ny"), (6, "ny"), (6, "nyc")}
+
+
+def test_mentions_of_long_names_and_long_texts(spark):
+    """Names of more words than are looked up at once, at the edges of a text's rows, and pieces that do not follow one another."""
+    words = [f"w{i % 700}" for i in range(3000)]
+    run = lambda a, n: " ".join(words[a : a + n])
+    broken = run(100, 8) + " x " + run(108, 12)
+    texts = spark.createDataFrame([(1, run(0, 3000)), (1, run(0, 3000)), (2, broken), (3, run(100, 19)), (4, "Ünder " + run(5, 30))], "id int, t string")
+    spans = [(100, 20), (1020, 8), (1017, 30), (1023, 2), (2990, 10), (2, 400), (5, 16)]
+    names = spark.createDataFrame([(f"{a}+{n}", [run(a, n)]) for a, n in spans] + [("under", ["under w5"]), ("no", [run(100, 8) + " " + run(107, 8)])], "key string, aliases array<string>")
+    found = {(r.id, r.key) for r in mentions(texts, "id", "t", names).collect()}
+    rows = {1: run(0, 3000), 2: broken, 3: run(100, 19), 4: "under " + run(5, 30)}
+    wanted = {(i, r.key) for i, t in rows.items() for r in names.collect() if f" {r.aliases[0]} " in f" {t} "}
+    assert found == wanted and (1, "1017+30") in found and (2, "100+20") not in found
+
+
+def test_mentions_do_not_send_texts(spark):
+    """Names are broadcast; only what was found is shuffled."""
+    texts = spark.createDataFrame([(1, "new york city"), (2, "york")], "id int, t string")
+    names = spark.createDataFrame([("a", ["new york"]), ("b", ["york"])], "key string, aliases array<string>")
+    found = mentions(texts, "id", "t", names)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
