@@ -14,28 +14,33 @@ def _python_folding():
     """The two Arrow functions for text that is not plain ASCII.
 
     They are closures, so that Spark ships their code to the workers by value
-    and no package has to be installed there.
+    and no package has to be installed there.  Texts are folded one by one: what
+    a worker holds beside a batch and its result is a part of one text.
     """
 
-    def fold(texts):
+    def fold(text):
         import re
         import unicodedata
 
-        plain = texts.str.normalize("NFKD")
-        marks = {ord(c): None for c in set().union(*plain) if unicodedata.combining(c)}
-        words = plain.str.translate(marks).str.replace(re.compile(r"[^\w\s]"), " ", regex=True)
-        return words.str.split().str.join(" ").str.casefold()
+        folded, start = [], 0
+        while start < len(text):
+            # A long text is folded in parts that end before a space: no letter is joined with what stands beyond one.
+            end = text.find(" ", start + 65536)
+            end = end if end >= 0 else len(text)
+            plain = unicodedata.normalize("NFKD", text[start:end])
+            marks = {ord(c): None for c in set(plain) if unicodedata.combining(c)}
+            words = re.sub(r"\W+", " ", plain.translate(marks) if marks else plain).strip(" ")
+            if words:
+                folded.append(words.casefold())
+            start = end
+        return " ".join(folded)
 
     def fold_text(texts: pd.Series) -> pd.Series:
-        present = texts.dropna()
-        return fold(present).reindex(texts.index) if len(present) else texts
+        return texts.astype(object).map(fold, na_action="ignore")
 
     def fold_texts(lists: pd.Series) -> pd.Series:
-        items = lists.dropna().explode().dropna().astype(object)
-        if items.empty:
-            return lists
-        folded = fold(items).groupby(level=0).agg(list).to_dict()
-        return pd.Series([folded.get(row) for row in lists.index], dtype=object)
+        folded = [None if items is None else [fold(item) for item in items if item is not None] for items in lists]
+        return pd.Series(folded, index=lists.index, dtype=object)
 
     text = T.StringType()
     return F.pandas_udf(fold_text, text), F.pandas_udf(fold_texts, T.ArrayType(text))

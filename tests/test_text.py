@@ -134,3 +134,20 @@ def test_names_and_aliases(spark):
         alias_set(F.lit("Ana Silva"), F.lit("7"), F.lit("SILVA"), F.lit("ana silva"), F.lit("--"))
     )
     assert made.first()[0] == ["ana silva", "7", "silva"]
+
+
+def test_folding_holds_a_part_of_a_text(spark):
+    """A long text with accents is folded in parts; its words are not held as a list."""
+    import tracemalloc
+
+    import pandas as pd
+    from starqa.functions import names as module
+
+    fold = module._fold_text.func
+    text = "Ünï-cödé  wörds, \u00a8 e\u0301 " * 100_000
+    tracemalloc.start()
+    got = fold(pd.Series([text, None, "\u3000"]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0] == " ".join(["uni code words e"] * 100_000) and got[1] is None and got[2] == ""
+    assert peak < 12 * len(text)
