@@ -93,40 +93,44 @@ def parse_numeric(answer: Column) -> Column:
 
 def clean_item(item: Column) -> Column:
     """One list item without its number or bullet, trailing note and quotes."""
-    bare = F.regexp_replace(strip(item), fixed.ITEM_PREFIX, "")
     # Only an item that ends in a bracket can carry a note; checking that first
     # keeps long texts with many brackets linear.
-    noted = F.when(
-        bare.endswith(")") | bare.endswith("]"), F.regexp_replace(bare, fixed.TRAILING_NOTE, "")
-    ).otherwise(bare)
+    noted = with_value(
+        F.regexp_replace(strip(item), fixed.ITEM_PREFIX, ""),
+        lambda bare: F.when(
+            bare.endswith(")") | bare.endswith("]"), F.regexp_replace(bare, fixed.TRAILING_NOTE, "")
+        ).otherwise(bare),
+    )
     named = F.regexp_replace(noted, fixed.TRAILING_FIGURE, "")
     return strip(F.btrim(strip(named), F.lit("\"'")))
 
 
 def _variant_text(item: Column) -> Column:
     """A JSON list item the way the language of the answers prints it."""
-    kind = F.schema_of_variant(item)
     text = F.try_variant_get(item, "$", "string")
-    whole = kind.rlike(r"^DECIMAL\((?:[1-9]|1[0-8]),0\)$")
-    return (
-        F.when(kind == "VOID", "None")
+    return with_value(
+        F.schema_of_variant(item),
+        lambda kind: F.when(kind == "VOID", "None")
         .when(kind == "BOOLEAN", F.initcap(text))
-        .when(whole, F.concat(text, F.lit(".0")))
-        .otherwise(text)
+        .when(kind.rlike(r"^DECIMAL\((?:[1-9]|1[0-8]),0\)$"), F.concat(text, F.lit(".0")))
+        .otherwise(text),
     )
 
 
 def _json_list(text: Column) -> Column:
     """Items of a JSON array, or of the first array in a JSON object; else null."""
     outer = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).try_cast("array<variant>")
-    array = F.when(F.size(outer) == 1, F.get(outer, F.lit(0)))
+    array = with_value(outer, lambda items: F.when(F.size(items) == 1, F.get(items, F.lit(0))))
     arrays = F.filter(
         F.map_values(_json_members(text)),
         lambda v: F.schema_of_variant(v).startswith("ARRAY"),
     )
     chosen = F.when(text.startswith("["), array).otherwise(F.get(arrays, F.lit(0)))
-    items = F.transform(chosen.try_cast("array<variant>"), _variant_text)
-    return F.transform(F.filter(items, lambda i: strip(i) != ""), clean_item)
+    # Each item is worked out once, not once more for being looked at.
+    items = with_value(
+        F.transform(chosen.try_cast("array<variant>"), _variant_text), lambda ts: F.filter(ts, lambda i: strip(i) != "")
+    )
+    return F.transform(items, clean_item)
 
 
 def _split_commas(text: Column) -> Column:
@@ -145,7 +149,10 @@ def _split_commas(text: Column) -> Column:
 
 def parse_list(answer: Column) -> Column:
     """Names listed in a text, in order: JSON, lines, or comma-separated."""
-    text = strip(answer)
+    return with_value(strip(answer), _names_in)
+
+
+def _names_in(text: Column) -> Column:
     lines = F.filter(
         F.transform(F.split(text, fixed.LINE_BREAK), strip), lambda line: line != ""
     )

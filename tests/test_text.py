@@ -151,3 +151,11 @@ def test_folding_holds_a_part_of_a_text(spark):
     tracemalloc.stop()
     assert got[0] == " ".join(["uni code words e"] * 100_000) and got[1] is None and got[2] == ""
     assert peak < 12 * len(text)
+
+
+def test_lists_parse_json_once_for_each_kind(spark):
+    """A JSON list is parsed once, an object once as a whole; an item's kind is looked up once."""
+    from starqa.functions.answers import parse_list
+
+    plan = spark.range(1).select(parse_list(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert (plan.count("try_parse_json("), plan.count("btrim(cast(id")) == (2, 1)
