@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import chain
-from zlib import crc32
+from zlib import compress, crc32, decompress
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starqa.llm.common import chunks
-from starqa.sources.storage import stored
+from starqa.sources.storage import remove, stored
 
 UNDETERMINED = "und"
 #: Characters that end a piece; words are what blanks separate within one.
@@ -45,19 +45,19 @@ SPREAD = 0x9E3779B1
 
 WORDS = "chunk long, lang string, block long, own binary, words binary, times binary, sequence binary"
 PAIRS = "chunk long, block long, base long, codes binary, times binary, sequence binary"
-FOUND_WORDS = "chunk long, block long, lang string, word string, f long, j long, own array<long>, js array<long>"
-FOUND_PAIRS = "chunk long, block long, a long, b long, f long, j long, own array<long>, js array<long>"
+FOUND_WORDS = "chunk long, block long, lang string, word string, f long, j long, given binary"
+FOUND_PAIRS = "chunk long, block long, a long, b long, f long, j long, given binary"
 
 
 def _batch(schema: str, columns: list) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     fields = [f.split() for f in schema.split(", ")]
     arrays = [pa.array(c, kinds[kind]) for (_, kind), c in zip(fields, columns, strict=True)]
     return pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in fields])
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Whole numbers from 0 in seven bits a byte, the last byte of each below 128."""
+    """Whole numbers from 0 in seven bits a byte, the last byte of each below 128, compressed."""
     values = values.astype(np.uint64)
     lengths = np.ones(len(values), np.int64)
     for bits in range(7, 64, 7):
@@ -68,12 +68,12 @@ def packed(values: np.ndarray) -> bytes:
         on = np.flatnonzero(lengths > i)
         more = np.where(lengths[on] > i + 1, 128, 0)
         out[ends[on] - lengths[on] + i] = (values[on] >> np.uint64(7 * i) & np.uint64(127)).astype(np.int64) | more
-    return out.tobytes()
+    return compress(out.tobytes(), 1)
 
 
 def unpacked(data: bytes) -> np.ndarray:
     """What ``packed`` was given."""
-    raw = np.frombuffer(data, np.uint8)
+    raw = np.frombuffer(decompress(data), np.uint8)
     ends = np.flatnonzero(raw < 128) + 1
     lengths = np.diff(ends, prepend=0)
     values = np.zeros(len(ends), np.int64)
@@ -83,6 +83,21 @@ def unpacked(data: bytes) -> np.ndarray:
     return values
 
 
+def _answer(own: np.ndarray, j: np.ndarray, f: np.ndarray, before: np.ndarray) -> bytes:
+    """What a block tells a chunk: numbers that frequent symbols have there, and their numbers, frequencies and sums here.
+
+    The latter three rise together, so what is sent of them is small.
+    """
+    order = np.argsort(j)
+    return packed(np.concatenate([*(np.diff(x[order], prepend=0) for x in (j, f, before)), own[order]]))
+
+
+def _answered(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What ``_answer`` was given, in the order of ``j``."""
+    *rising, own = unpacked(data).reshape(4, -1)
+    return own, *(np.cumsum(x) for x in rising)
+
+
 def _slices(data: bytes) -> Iterator[bytes]:
     """The text in slices of about CHUNK bytes, cut at breaks; a piece stays whole."""
     start = 0
@@ -129,7 +144,7 @@ def _word_rows(blocks: int):
                     yield _batch(WORDS, [
                         [chunk] * (n + 1), [lang] * (n + 1), [*block[by_block[cuts]].tolist(), None],
                         [*(packed(np.diff(x, prepend=0)) for x in parts), None],
-                        [*(b" ".join([words[i] for i in order[x]]) for x in parts), None],
+                        [*(compress(b" ".join([words[i] for i in order[x]]), 1) for x in parts), None],
                         [*(packed(times[order[x]]) for x in parts), None],
                         [None] * n + [packed(own[ids] + 1)],
                     ])
@@ -142,30 +157,31 @@ def _word_block(least: int):
     """Function for a block: words of each language in all, the frequent ones, and for each chunk which of its words these are."""
 
     def rows(key: tuple, parts: pa.Table) -> pa.Table:
-        block, out, answers, known = key[0].as_py(), [], [], 0
+        block, out, answers, known, passed = key[0].as_py(), [], [], 0, 0
         langs = np.array(parts.column("lang").to_pylist(), dtype=object)
         chunk, own, words, times = (parts.column(c).to_pylist() for c in ("chunk", "own", "words", "times"))
         for lang in sorted(set(langs)):
             mine = np.flatnonzero(langs == lang)
-            listed = [words[i].split(b" ") for i in mine]
+            listed = [decompress(words[i]).split(b" ") for i in mine]
             tokens = pa.array(chain.from_iterable(listed), pa.binary()).dictionary_encode()
             which = tokens.indices.to_numpy()
             f = np.zeros(len(tokens.dictionary), np.int64)
             np.add.at(f, which, np.concatenate([unpacked(times[i]) for i in mine]))
-            frequent = np.flatnonzero(f >= least)
-            n = len(frequent)
-            place = np.full(len(f), GAP, np.int64)
-            place[frequent] = np.arange(known, known + n)
+            place, frequent = _placed(f, least)
+            n, some, sums = len(frequent), f[frequent], np.cumsum(f[frequent]) - f[frequent]
             names = tokens.dictionary.take(pa.array(frequent)).cast(pa.string())
-            out.append(_batch(FOUND_WORDS, [[None] * n, [block] * n, [lang] * n, names, f[frequent], place[frequent], [None] * n, [None] * n]))
-            out.append(_batch(FOUND_WORDS, [[None], [block], [lang], [None], [int(f.sum())], [None], [None], [None]]))
+            out.append(_batch(FOUND_WORDS, [[None] * n, [block] * n, [lang] * n, names, some, np.arange(known, known + n), [None] * n]))
+            out.append(_batch(FOUND_WORDS, [[None], [block], [lang], [None], [int(f.sum())], [None], [None]]))
             j, start = place[which], 0
             for i, x in zip(mine, listed):
-                at = np.flatnonzero(j[start : start + len(x)] >= 0)
+                here = j[start : start + len(x)]
+                at = np.flatnonzero(here >= 0)
                 if len(at):
-                    answers.append((chunk[i], block, None, None, None, None, np.cumsum(unpacked(own[i]))[at], j[start : start + len(x)][at]))
+                    here = here[at]
+                    given = _answer(np.cumsum(unpacked(own[i]))[at], here + known, some[here], sums[here] + passed)
+                    answers.append((chunk[i], block, None, None, None, None, given))
                 start += len(x)
-            known += n
+            known, passed = known + n, passed + int(some.sum())
         if answers:
             out.append(_batch(FOUND_WORDS, list(zip(*answers))))
         return pa.Table.from_batches(out)
@@ -173,6 +189,15 @@ def _word_block(least: int):
     return rows
 
 
+def _placed(f: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each symbol its place among the frequent ones, the rarest first, or GAP; and those, in order."""
+    frequent = np.flatnonzero(f >= least)
+    frequent = frequent[np.argsort(f[frequent], kind="stable")]
+    place = np.full(len(f), GAP, np.int64)
+    place[frequent] = np.arange(len(frequent))
+    return place, frequent
+
+
 def tile_counts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs (both halves), how often each occurs, and for each given pair its number among them.
 
@@ -216,18 +241,21 @@ def _line(a: np.ndarray, b: np.ndarray, f: np.ndarray, before: np.ndarray, bits:
     return a << bits | spread, before + f * (spread / (1 << bits))
 
 
-def _pair_rows(bits: int, blocks: int, total: int):
-    """Function for a chunk: its sequence and the ranks of its symbols give the next sequence and packed pairs by block."""
+def _pair_rows(bits: int, blocks: int, total: int, starts: dict[int, tuple[int, int]]):
+    """Function for a chunk: its sequence and what blocks tell of its symbols give the next sequence and packed pairs by block."""
 
     def rows(key: tuple, pieces: pa.Table, given: pa.Table) -> pa.Table:
         none = _batch(PAIRS, [[]] * 6)
         ids = unpacked(pieces.column("sequence")[0].as_py()) - 1
-        flat = given.column("given").combine_chunks().flatten()
-        own, rank, f, before = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("own", "rank", "f", "before"))
-        if not len(own):
+        if not given.num_rows:
             return pa.Table.from_batches([none])
+        parts = []
+        for block, data in zip(given.column("block").to_pylist(), given.column("given").to_pylist()):
+            own, j, f, before = _answered(data)
+            parts.append((own, j + starts[block][0], f, before + starts[block][1]))
+        own, rank, f, before = map(np.concatenate, zip(*parts))
         # The chunk's own symbols, most frequent first, so that those meet in the first tiles.
-        order = np.argsort(rank)
+        order = np.argsort(-f, kind="stable")
         here = np.full(max(int(ids.max(initial=0)), int(own.max())) + 2, GAP, np.int64)
         here[own[order]] = np.arange(len(order))
         rank, f, before = rank[order], f[order], before[order]
@@ -269,14 +297,12 @@ def _block_rows(bits: int, least: int):
         times = np.concatenate([unpacked(x) for x in parts.column("times").to_pylist()])
         f = np.zeros(len(codes), np.int64)
         np.add.at(f, which, times)
-        frequent = np.flatnonzero(f >= least)
-        place = np.full(len(codes), GAP, np.int64)
-        place[frequent] = np.arange(len(frequent))
+        place, frequent = _placed(f, least)
         j = place[which]
-        n = len(frequent)
+        n, some, sums = len(frequent), f[frequent], np.cumsum(f[frequent]) - f[frequent]
         b = (codes[frequent] & ((1 << bits) - 1)) * undo & ((1 << bits) - 1)
         out = [_batch(FOUND_PAIRS, [
-            [None] * n, [block] * n, codes[frequent] >> bits, b, f[frequent], np.arange(n), [None] * n, [None] * n,
+            [None] * n, [block] * n, codes[frequent] >> bits, b, some, np.arange(n), [None] * n,
         ])]
         answers, start = [], 0
         for chunk, base, codes_here in zip(parts.column("chunk").to_pylist(), parts.column("base").to_pylist(), lists):
@@ -284,7 +310,8 @@ def _block_rows(bits: int, least: int):
             start += len(codes_here)
             at = np.flatnonzero(mine >= 0)
             if len(at):
-                answers.append((chunk, block, None, None, None, None, at + base, mine[at]))
+                mine = mine[at]
+                answers.append((chunk, block, None, None, None, None, _answer(at + base, mine, some[mine], sums[mine])))
         if answers:
             out.append(_batch(FOUND_PAIRS, list(zip(*answers))))
         return pa.Table.from_batches(out)
@@ -292,38 +319,22 @@ def _block_rows(bits: int, least: int):
     return rows
 
 
-def ranked(frequent: DataFrame, order: list[Column]) -> DataFrame:
-    """The rows with ``rank`` (0, 1, ... in that order) and ``before``, the sum of ``f`` of all earlier ones.
+def block_starts(found: DataFrame) -> tuple[dict[int, tuple[int, int]], int, int]:
+    """For each block with frequent symbols, how many come in blocks before it and the sum of their ``f``; then both over all.
 
-    No task sees them all.
-    """
-    parts = int(frequent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = frequent.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    rows = stored(placed.withColumn("at", F.monotonically_increasing_id()), "frequent")
-    rows = rows.withColumn("part", F.shiftright("at", 33))
-    # A row per partition.
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("part").agg(F.count("*").alias("n"), F.sum("f").alias("sum"))
-    starts = sizes.select("part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("n", "sum")))
-    within = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("sum", F.coalesce(F.sum("f").over(within), F.lit(0))).join(starts, "part")
-    placed = placed.withColumn("rank", F.expr("n_before + at - (part << 33)")).withColumn("before", F.expr("sum_before + sum"))
-    return stored(placed.drop("part", "at", "sum", "n_before", "sum_before"), "ranked")
-
-
-def _given(counted: DataFrame, found: DataFrame) -> DataFrame:
-    """For each chunk (``of``), number, rank, frequency and what comes before it of its frequent symbols, a row per block.
-
-    What is gathered of a block are its frequent symbols: a ``least``-th part of all at most.
+    A row per block comes to the driver: one for about BLOCK pairs, or WORD_BLOCKS for a shuffle partition.
     """
-    ranks = found.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("j", "rank", "f", "before"))).alias("ranks"))
-    answers = counted.where(F.col("chunk").isNotNull()).select(F.col("chunk").alias("of"), "block", "own", "js")
-    at = lambda x: F.get("ranks", x["js"].cast("int"))
-    known_to = F.transform(
-        F.arrays_zip("own", "js"),
-        lambda x: F.struct(x["own"].alias("own"), *(at(x)[c].alias(c) for c in ("rank", "f", "before"))),
-    )
-    return answers.join(ranks, "block").select("of", known_to.alias("given"))
+    starts, count, total = {}, 0, 0
+    for row in found.groupBy("block").agg(F.count("*").alias("n"), F.sum("f").alias("sum")).orderBy("block").collect():
+        starts[row["block"]] = count, total
+        count, total = count + row["n"], total + row["sum"]
+    return starts, count, total
+
+
+def ranked(found: DataFrame, starts: dict[int, tuple[int, int]]) -> DataFrame:
+    """The rows with ``rank``: 0, 1, ... by block, then by number in it."""
+    of = found.sparkSession.createDataFrame([(block, first) for block, (first, _) in starts.items()], "block long, first long")
+    return found.join(F.broadcast(of), "block").withColumn("rank", F.col("first") + F.col("j")).drop("block", "first", "j")
 
 
 def _lowest_score(n: Column) -> Column:
@@ -360,14 +371,15 @@ def collocations(
 
     Each chunk of texts is written once as numbers of its own dictionary.  Words
     of all dictionaries are counted together, in blocks by hash, frequent ones
-    get ranks by frequency, and each chunk gets back only the ranks of its own
+    get ranks block by block, and each chunk gets back, packed, only those of its own
     words, so no task sees the whole vocabulary.  Pairs of neighbouring ranks are counted in
     tiles; frequent pairs get ranks and are the next symbols: neighbours that
     overlap in all but one word are a phrase one word longer.
 
     A chunk's pairs travel as sorted, packed lists, one for each block of a line
     on which all pairs lie evenly; about 2^20 pairs meet in a block, which tells
-    each chunk which of its pairs are frequent.  Ranks have 31 bits.
+    each chunk which of its pairs are frequent.  Ranks have 31 bits.  The numbers of
+    one length are removed as soon as those of the next are written.
     """
     texts = documents.select(
         F.coalesce(F.col(lang).cast("string"), F.lit(UNDETERMINED)).alias("lang"),
@@ -380,38 +392,38 @@ def collocations(
     own_rows = counted.where(F.col("chunk").isNull())
     totals = own_rows.where(F.col("word").isNull()).groupBy("lang").agg(F.sum("f").alias("n"))
     words = own_rows.where(F.col("word").isNotNull()).select("block", "lang", "word", "f", "j")
-    found = ranked(words, [F.desc("f"), F.col("lang"), F.col("word")])
-    known = found.select(
+    starts, symbols, total = block_starts(words)
+    known = ranked(words, starts).select(
         "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", "rank",
         F.array("f").alias("pre"), F.array("f").alias("suf"),
     )
-    given = _given(counted, found)
     levels: list[DataFrame] = []
     inside: list[DataFrame] = []
     for length in range(2, longest + 1):
-        symbols, total = found.agg(F.count("*"), F.coalesce(F.sum("f"), F.lit(0))).first()
         if symbols >= 1 << 31:
             raise ValueError("more frequent phrases than ranks")
         bits, blocks = max(symbols - 1, 0).bit_length(), total // BLOCK + 1
         chunked = pieces.where(F.col("sequence").isNotNull()).select("chunk", "sequence")
+        given = counted.where(F.col("chunk").isNotNull()).select(F.col("chunk").alias("of"), "block", "given")
         both = chunked.groupBy("chunk").cogroup(given.groupBy("of"))
-        pieces = stored(both.applyInArrow(_pair_rows(bits, blocks, max(total, 1)), PAIRS), f"pair-numbers-{length}")
+        shorter, pieces = pieces, stored(both.applyInArrow(_pair_rows(bits, blocks, max(total, 1), starts), PAIRS), f"pair-numbers-{length}")
+        remove(shorter)
         lists = pieces.where(F.col("block").isNotNull()).select("chunk", "block", "base", "codes", "times")
         counted = stored(lists.groupBy("block").applyInArrow(_block_rows(bits, least), FOUND_PAIRS), f"pair-counts-{length}")
         pairs = counted.where(F.col("chunk").isNull()).select("block", "a", "b", "f", "j")
-        found = ranked(pairs, [F.desc("f"), F.col("a"), F.col("b")])
+        starts, symbols, total = block_starts(pairs)
         left = known.select(F.col("rank").alias("a"), "lang", "phrase", "pre")
         right = known.select(F.col("rank").alias("b"), "last", "suf")
-        named = found.select("a", "b", "f", "rank").join(left, "a").join(right, "b").select(
+        named = ranked(pairs, starts).join(left, "a").join(right, "b").select(
             "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "a", "b", "f", "rank",
             F.concat("pre", F.array("f")).alias("pre"), F.concat("suf", F.array("f")).alias("suf"),
         )
         named = stored(named, f"phrases-{length}")
         # What contains a phrase and is longer contains one that is longer by one word and no rarer.
         inside.append(named.select(F.col("a").alias("rank"), "f").union(named.select(F.col("b").alias("rank"), "f")))
-        given = _given(counted, found)
         known = named.select("lang", "phrase", "last", "f", "rank", "pre", "suf")
         levels.append(known)
+    remove(pieces)
     kept = []
     for known, longer in zip(levels, [*inside[1:], None]):
         if longer is not None:

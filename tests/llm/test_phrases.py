@@ -1,12 +1,14 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from starqa.llm import phrases
+from starqa.sources.storage import shared_folder
 
 
 def by_hand(rows, least, longest=5, top=2000):
@@ -120,3 +122,38 @@ def test_arithmetic_beyond_64_bits(spark):
 def test_ties_go_to_the_first_cut(spark):
     row = spark.createDataFrame([(5, [10, 10, 5], [10, 10, 5], 100)], "a long, pre array<long>, suf array<long>, n long")
     assert tuple(row.select(phrases._lowest_score(F.col("n")).alias("s")).first().s) == (5000, 1, 10, 10)
+
+
+def test_numbers_of_shorter_phrases_do_not_stay(spark):
+    """Sequences and packed pairs go when the next length is written; the result reads none of them."""
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    rows = texts(4, 60, 30)
+    frame = phrases.collocations(spark.createDataFrame(rows, "lang string, text string"), least=5)
+    written = {p.name for p in set(folder.iterdir()) - before}
+    assert any(n.startswith("pair-counts-5") for n in written)
+    assert not [n for n in written if n.startswith(("word-numbers", "pair-numbers"))]
+    assert sorted(map(tuple, frame.collect())) == by_hand(rows, 5)
+
+
+def test_answers_of_blocks_are_small():
+    """Own numbers, places, frequencies and sums come back; a symbol takes a few bytes, not a row of whole numbers."""
+    rng = np.random.default_rng(6)
+    all_f = np.sort(rng.zipf(1.5, 20_000).clip(100, 10**9))
+    j = rng.permutation(20_000)[:8000]
+    own, f, before = rng.permutation(50_000)[:8000], all_f[j], (np.cumsum(all_f) - all_f)[j]
+    data = phrases._answer(own, j, f, before)
+    wanted = [x[np.argsort(j)].tolist() for x in (own, j, f, before)]
+    assert [x.tolist() for x in phrases._answered(data)] == wanted
+    assert len(data) < 8 * len(j)
+
+
+def test_ranks_follow_blocks(spark):
+    """Ranks are dense, and what comes before a block is the sum of all earlier ones."""
+    rows = [(7, 0, 5), (7, 1, 9), (2, 0, 4), (9, 0, 1), (2, 1, 6), (2, 2, 8)]
+    found = spark.createDataFrame(rows, "block long, j long, f long")
+    starts, count, total = phrases.block_starts(found)
+    assert starts == {2: (0, 0), 7: (3, 18), 9: (5, 32)} and (count, total) == (6, 33)
+    got = {(r.f, r["rank"]) for r in phrases.ranked(found, starts).collect()}
+    assert got == {(4, 0), (6, 1), (8, 2), (5, 3), (9, 4), (1, 5)}
+    assert phrases.block_starts(found.limit(0)) == ({}, 0, 0)
