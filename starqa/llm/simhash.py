@@ -173,7 +173,8 @@ def links(distinct: DataFrame) -> DataFrame:
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= THRESHOLD)
     at_home = distinct.mapInArrow(homes, "anchor long, a long")
     everywhere = distinct.mapInArrow(replicas, "anchor long, b long")
-    return at_home.join(everywhere, "anchor").where(near).select("a", "b")
+    # Spark takes replicas for as few as the fingerprints, so neither side may be broadcast.
+    return at_home.join(everywhere.hint("merge"), "anchor").where(near).select("a", "b")
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -66,6 +66,13 @@ def test_classes_equal_brute_force(spark, edges):
     assert len(set(of)) > 15
 
 
+def test_replicas_of_few_fingerprints_are_not_broadcast(spark):
+    """About 71 rows a fingerprint, which Spark does not foresee."""
+    few = spark.range(100).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.links(few)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_long_chains_and_hot_stars_become_one(spark):
     chain = [(i, i + 1) for i in range(60)] + [(1000, 1001 + i) for i in range(300)]
     found = simhash.components(spark.createDataFrame(chain, "a long, b long")).collect()
