@@ -276,10 +276,10 @@ def top_inner_products(
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     n, top = plain.agg(F.count("*"), F.coalesce(F.max(norm), F.lit(0.0))).first()
     wanted = min(MAX_PIVOTS, -(-n // page)) if n else 0
-    # A bounded sample by hash of the id: at most max(wanted, PILOT) vectors.
-    sample = [
-        (r["row"], r["v"]) for r in plain.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(max(wanted, PILOT)).collect()
-    ]
+    # A bounded sample by hash of the id: at most max(wanted, PILOT) vectors, chosen before any come to the driver.
+    by = (F.xxhash64("vec_id"), F.col("vec_id"), F.col("row"))
+    chosen = stored(plain.orderBy(*by).limit(max(wanted, PILOT)), "sample")
+    sample = [(r["row"], r["v"]) for r in chosen.orderBy(*by).collect()]
     heads = [v for _, v in sample[:wanted]]
     pages = stored(build_pages(plain, heads, np.array([len(v) for v in heads]), page), "pages")
     n_pages = pages.count()
@@ -315,7 +315,8 @@ def top_inner_products(
                     {"query": own[query], "query_id": asked_ids[query], "row": rows[row], "vec_id": ids[row], "score": score}
                 )
 
-    found = blocks.join(pages, ["page_no", "dim"]).repartition("page_no", "block").mapInPandas(
+    # Spark takes the blocks of all pages for as few as the queries, so neither side may be broadcast.
+    found = blocks.join(pages.hint("merge"), ["page_no", "dim"]).repartition("page_no", "block").mapInPandas(
         search, "query long, query_id long, row long, vec_id long, score long"
     )
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")

@@ -77,3 +77,10 @@ def test_one_id_with_a_third_of_all_rows(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     got = sorted(tuple(r) for r in top_inner_products(frame, F.col("vec_id") % 50 == 0, page=64).collect())
     assert got == by_hand(rows)
+
+
+def test_blocks_of_all_pages_are_not_broadcast(spark):
+    """Each block of queries has a row for every page, which Spark does not foresee."""
+    frame = spark.range(200).selectExpr("id AS vec_id", "array(sin(id), cos(id)) AS embedding")
+    plan = top_inner_products(frame, F.col("vec_id") % 50 == 0, page=20)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
