@@ -247,3 +247,34 @@ def test_sums_travel_in_rows_of_many_classes(spark):
     start, moves, emit = hmm.summed(hmm.encode(frame.repartition(4), known).select("classes"), 1 << 20, counts, 2, size)
     assert start[1] == 300 and start[0] == moves[0, 0] >= 1
     assert (emit[:, 0] == known.value.class_tokens()).all() and not emit[:, 1].any()
+
+
+def test_rounds_go_on_until_they_have_converged(spark, monkeypatch):
+    """As many as a plain loop over all texts takes; the log likelihood of a round is that of the model before it."""
+    monkeypatch.setattr(hmm, "CONVERGED", 1e-4)
+    rng = np.random.default_rng(6)
+    rows = [(" ".join(f"{'ab'[i % 2]}{rng.integers(6) if rng.random() < 0.8 else rng.integers(40)}" for _ in range(rng.integers(1, 30))),) for i in range(200)]
+    frame = spark.createDataFrame([*rows, (None,)], "text string").repartition(3)
+    known = spark.sparkContext.broadcast(hmm.vocabulary(hmm.count_words(frame), len(rows) + 1))
+    class_tokens = known.value.class_tokens()
+    coded = hmm.encode(frame, known)
+    begun = hmm.train_start(coded, class_tokens, 3)
+    texts = hmm.Sequences([known.value.classes(hmm.tokens(t)) for t, in [*rows, (None,)]])
+    model, logs = begun, []
+    while len(logs) < 2 or logs[-1] - logs[-2] > 1e-4 * abs(logs[-2]):
+        logs.append(texts.forward(model)[0].sum())
+        model = hmm.estimate(*texts.expected(model)[:3], class_tokens)
+    assert len(logs) > 3
+    assert np.isclose(hmm.train_round(coded, class_tokens, begun)[1], logs[0])
+    got, one = hmm.trained(coded, class_tokens, begun, None), hmm.trained(coded, class_tokens, begun, 1)
+    assert np.allclose(got.emit, model.emit) and np.allclose(got.move, model.move) and np.allclose(got.start, model.start)
+    assert not np.allclose(one.emit, model.emit)
+    assert hmm.trained(coded.limit(0), class_tokens, begun, None).emit.shape == begun.emit.shape
+
+
+def test_the_query_trains_beyond_one_round(spark):
+    got = QUERIES["op7_hmm_score"](spark, SMALL).where("NOT held_out").agg(F.sum("score")).first()[0]
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    once = hmm.score(spark.read.parquet(f"{SMALL}/documents.parquet"), held)
+    one = once.where(~held).agg(F.sum("score")).first()[0]
+    assert got - one > hmm.CONVERGED * abs(one)
