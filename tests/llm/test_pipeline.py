@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SMALL
-from starqa.llm import mixing
+from starqa.llm import mixing, simhash
 from llm.test_repeats import by_hand
 from llm.test_simhash import classes, fingerprint
 
@@ -40,6 +40,21 @@ def test_one_document_of_each_class(stages):
     assert {r.doc_id for r in stages[2].collect()} == {rows[i][0] for i in set(of)}
 
 
+def test_near_duplicates_meet_without_a_broadcast(spark, monkeypatch):
+    """However few the documents: each fingerprint has about 71 replicas, which Spark does not foresee."""
+    plans = {}
+
+    def stored(df, name, write=simhash.stored):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(simhash, "stored", stored)
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "x")], "doc_id long, text string")
+    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, SMALL)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    assert "SortMergeJoin" in plans["links"] and "Broadcast" not in plans["links"]
+
+
 def test_repeated_passages_go(stages):
     rows = stages[2].collect()
     wanted = dict(zip((r.doc_id for r in rows), by_hand([r.text for r in rows], 35)))
